@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""
             WITH sized AS (SELECT DISTINCT load_id, content FROM loaded_documents WHERE content IS NOT NULL),
             runs AS (SELECT load_id, length(content) AS n,
-                            list_max(list_transform(string_split_regex(content, '{space}'), x -> length(x))) AS longest FROM sized)
+                            list_max([length(x) for x in string_split_regex(content, '{space}')]) AS longest FROM sized)
             SELECT load_id, profile, CAST(longest > max_size AS INTEGER) AS forced
             FROM runs, size_profiles WHERE unit = 'char' AND n > max_size""",
         "p4_totals": """
