@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Pieces that cover a text without gaps; a slice of them is a substring of the text.
-COVERING = r"^\s+|\S+\s*"
+COVERING = r"^[ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
 _EMPTY = "array()"
 
 

@@ -27,18 +27,18 @@ def long_metrics(results: DataFrame, keys: list[str], maps: list[str]) -> DataFr
 
 def means(long: DataFrame, by: list[str]) -> DataFrame:
     """Mean and count of each metric over the rows where it applies."""
-    return long.groupBy(*by, "family", "metric").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("value").alias("n_values"))
+    return long.groupBy(*by, "family", "metric").agg(F.round(F.avg("value"), 9).alias("mean_value"), F.count("value").alias("n_values"))
 
 
 def means_with_totals(long: DataFrame, outer: str, inner: str) -> DataFrame:
     """Means by (outer), and by (outer, inner), in one pass; ``level`` is 0 for the finer rows, 1 for the totals."""
     grouped = long.groupingSets([[F.col(outer), F.col(inner), F.col("metric")], [F.col(outer), F.col("metric")]], F.col(outer), F.col(inner), F.col("metric"))
-    return grouped.agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("value").alias("n_values"), F.grouping(inner).cast("int").alias("level"))
+    return grouped.agg(F.round(F.avg("value"), 9).alias("mean_value"), F.count("value").alias("n_values"), F.grouping(inner).cast("int").alias("level"))
 
 
 def means_missing_as_zero(results: DataFrame, by: list[str], column: str, metric: str) -> DataFrame:
     """Mean of one metric per group, rows without it counting as 0."""
-    return results.groupBy(*by).agg(F.round(F.avg(F.coalesce(F.try_element_at(F.col(column), F.lit(metric)), F.lit(0.0))), 6).alias("mean_value"), F.count("*").alias("n_rows"))
+    return results.groupBy(*by).agg(F.round(F.avg(F.coalesce(F.try_element_at(F.col(column), F.lit(metric)), F.lit(0.0))), 9).alias("mean_value"), F.count("*").alias("n_rows"))
 
 
 def best(long_means: DataFrame) -> DataFrame:

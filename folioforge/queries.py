@@ -1,11 +1,586 @@
-"""The queries of the core operators and their SQL."""
+"""The queries of the core operators over the test tables; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioforge.functions import metrics as M
+from folioforge.functions import text as T
+from folioforge.operators import accounting, chunking, evaluation, parsing, search, snapshots, testsets, traces
+from folioforge.oracle import oracle_sql  # noqa: F401
+from folioforge.plans import pipeline
+from folioforge.runtime import read_table
+from folioforge.streaming import accounting as streams
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(function):
+    _QUERIES[function.__name__] = function
+    return function
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Name -> callable of (spark, folder)."""
+    return dict(_QUERIES)
+
+
+def _number(column: str):
+    return F.regexp_extract(column, r"(\d+)$", 1).cast("long")
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated query set of a search: golden questions whose number is divisible by 20."""
+    return read_table(spark, folder, "golden_qa").where((_number("id") % 20 == 0) & F.col("question").isNotNull())
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.once(read_table(spark, folder, "questions"), "id")
+
+
+def _results(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return evaluation.once(read_table(spark, folder, "evaluation_results").select("result_id", *columns), "result_id")
+
+
+def _loaded(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.once(read_table(spark, folder, "loaded_documents"), "load_id")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@_query
+def bm25_search(spark, folder):
+    return search.bm25(read_table(spark, folder, "documents"), "doc_id", "text", _asked(spark, folder), "id", "question")
+
+
+@_query
+def bm25_terms(spark, folder):
+    documents = read_table(spark, folder, "documents")
+    stats = search.term_stats(search.postings(documents, "doc_id", "text"), search.corpus_stats(documents, "text"))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_query
+def vector_search(spark, folder):
+    vectors = read_table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.vector_search(vectors, "vec_id", "embedding", asked, "query_id", "query_vector", 10)
+
+
+@_query
+def vector_search_euclid(spark, folder):
+    vectors = read_table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.vector_search(vectors, "vec_id", "embedding", asked, "query_id", "query_vector", 5, "euclid")
+
+
+def _legs(spark, folder, k):
+    documents, asked = read_table(spark, folder, "documents"), _asked(spark, folder)
+    vector = search.vector_search(
+        search.hashed_vectors(documents, "doc_id", "text"), "doc_id", "vector", search.hashed_vectors(asked, "id", "question"), "id", "vector", k
+    )
+    return vector, search.bm25(documents, "doc_id", "text", asked, "id", "question", k)
+
+
+@_query
+def hybrid_rrf(spark, folder):
+    return search.reciprocal_rank_fusion(list(_legs(spark, folder, 15)), "id", "doc_id", 5)
+
+
+@_query
+def hybrid_weighted(spark, folder):
+    return search.weighted_fusion(*_legs(spark, folder, 15), "id", "doc_id", 5)
+
+
+def _hit_texts(spark, folder, k):
+    documents, asked = read_table(spark, folder, "documents"), _asked(spark, folder)
+    hits = search.bm25(documents, "doc_id", "text", asked, "id", "question", k)
+    return hits.join(documents.select("doc_id", "text", "source"), "doc_id").join(asked.select("id", "question"), "id")
+
+
+@_query
+def rerank_hits(spark, folder):
+    return search.rerank(_hit_texts(spark, folder, 10), "id", "doc_id", "question", "text").select("id", "doc_id", "rank", "rerank_score", "rerank")
+
+
+@_query
+def multi_query_merge(spark, folder):
+    documents, asked = read_table(spark, folder, "documents"), _asked(spark, folder)
+    rewritten = asked.select("id", F.posexplode(F.array("question", F.array_join("expected_keywords", " "))).alias("sub_no", "query"))
+    keyed = rewritten.select(F.concat_ws("#", "id", "sub_no").alias("sub_id"), "id", "sub_no", "query")
+    hits = search.bm25(documents, "doc_id", "text", keyed, "sub_id", "query", 5).join(keyed.select("sub_id", "id", "sub_no"), "sub_id").drop("sub_id")
+    return search.merge_queries(hits, "id", "sub_no", "doc_id", 5).select("id", "doc_id", "score", "rank")
+
+
+@_query
+def context_budget(spark, folder):
+    hits = _hit_texts(spark, folder, 10).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("text") / 4)))
+    return search.within_budget(hits, "id", "tokens", 1500).select("id", "doc_id", "rank", "tokens", "running_tokens")
+
+
+@_query
+def prompt_assembly(spark, folder):
+    return search.prompts(_hit_texts(spark, folder, 3), "id", "source", "text")
+
+
+@_query
+def search_quality(spark, folder):
+    documents, asked = _loaded(spark, folder), _asked(spark, folder)
+    hits = search.bm25(documents, "load_id", "content", asked, "id", "question", 10).join(documents.select("load_id", "source_path"), "load_id")
+    return pipeline.quality(hits, asked, "source_path")
+
+
+@_query
+def answer_pipeline(spark, folder):
+    settings = pipeline.Settings(chunk_size=64, overlap=16, rerank=True)
+    documents = read_table(spark, folder, "documents")
+    chunks = pipeline.chunked(documents, settings, "doc_id", "text").withColumn("source", F.col("doc_id").cast("string"))
+    asked = _asked(spark, folder)
+    return pipeline.assemble(pipeline.retrieve(chunks, asked, settings), chunks, settings)
+
+
+# ---------------------------------------------------------------- chunks and text
+
+
+@_query
+def fixed_chunks(spark, folder):
+    return chunking.fixed_chunks(read_table(spark, folder, "documents"), "doc_id", "text", 64, 16)
+
+
+@_query
+def page_chunks(spark, folder):
+    pages = chunking.pages_of(_loaded(spark, folder), "load_id", "content")
+    return chunking.page_chunks(pages, "load_id", "page_number", "text", 24, 4, 6)
+
+
+@_query
+def page_segments(spark, folder):
+    pages = chunking.pages_of(_loaded(spark, folder), "load_id", "content")
+    segments = chunking.page_segments(pages, "load_id", "page_number", "text", 2000)
+    return segments.select("load_id", "segment_index", F.size("pages").alias("n_pages"), F.length("text").alias("n_chars"), "start_char")
+
+
+@_query
+def document_segments(spark, folder):
+    return chunking.document_segments(read_table(spark, folder, "documents"), "doc_id", "text", 4000)
+
+
+def _pair_counts(sentences):
+    import numpy as np
+
+    matrix = np.zeros((len(sentences), 128))
+    for k, sentence in enumerate(sentences):
+        for a, b in zip(sentence, sentence[1:], strict=False):
+            matrix[k, (ord(a) * 31 + ord(b)) % 128] += 1
+    return matrix
+
+
+@_query
+def semantic_chunks(spark, folder):
+    return chunking.semantic_chunks(read_table(spark, folder, "documents"), "doc_id", "text", _pair_counts, 64, 8, share=0.3)
+
+
+@_query
+def text_units(spark, folder):
+    text = F.coalesce("text", F.lit(""))
+    return read_table(spark, folder, "documents").select(
+        "doc_id", F.size(T.sentences(text)).alias("n_sentences"), F.size(T.paragraphs(text)).alias("n_paragraphs"), F.size(T.headings(text)).alias("n_headings")
+    )
+
+
+@_query
+def heading_list(spark, folder):
+    documents = read_table(spark, folder, "documents").where("text is not null")
+    return documents.select("doc_id", F.posexplode(T.headings(F.col("text"))).alias("k", "heading")).select("doc_id", (F.col("k") + 1).alias("heading_no"), "heading")
+
+
+@_query
+def page_metrics(spark, folder):
+    return parsing.page_metrics(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query
+def document_metrics(spark, folder):
+    documents = read_table(spark, folder, "documents")
+    pages = parsing.page_metrics(documents, "doc_id", "text").join(documents.select("doc_id", F.coalesce("source", F.lit("?")).alias("source")), "doc_id")
+    return pages.groupBy("source").agg(
+        F.count("*").alias("pages"), F.sum("n_chars").alias("n_chars"), F.sum("n_words").alias("n_words"), F.sum("n_headings").alias("n_headings"),
+        F.sum("n_table_rows").alias("n_table_rows"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_ratio"),
+    )
+
+
+@_query
+def table_quality(spark, folder):
+    tables = parsing.table_quality(read_table(spark, folder, "documents"), "doc_id", "text")
+    return tables.withColumn("reason", parsing.quality_reason())
+
+
+@_query
+def table_reasons(spark, folder):
+    return table_quality(spark, folder).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query
+def degenerate_tables(spark, folder):
+    return parsing.without_degenerate_tables(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query
+def table_records(spark, folder):
+    return parsing.markdown_records(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query
+def source_names(spark, folder):
+    path = F.col("source_path")
+    rules = [("annual", "annual_report"), ("research", "research_report")]
+    return _loaded(spark, folder).select(
+        "load_id", T.file_name(path).alias("file_name"), T.stem(path).alias("stem"), T.parent_stem(path).alias("parent_stem"),
+        T.safe_name(F.lit("Set 01-a")).alias("safe_name"), T.category_of(path, rules).alias("category"), T.preview(F.coalesce("content", F.lit("")), 20).alias("preview"),
+    )
+
+
+@_query
+def amounts(spark, folder):
+    found = _results(spark, folder, "answer").select("result_id", F.posexplode(T.numbers_with_unit(F.col("answer"))).alias("k", "amount"))
+    return found.select("result_id", (F.col("k") + 1).alias("amount_no"), "amount")
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@_query
+def retrieval_metrics(spark, folder):
+    expected = F.transform("source_files", lambda p: T.stem(p))
+    retrieved = F.transform("source_chunks", lambda c: T.stem(T.chunk_stem(c)))
+    return _questions(spark, folder).select(
+        "id", M.hit_rate(retrieved, expected).alias("hit_rate"),
+        *(F.round(M.recall(retrieved, expected, k), 6).alias(f"recall_{k}") for k in (3, 5, 10)),
+        F.round(M.reciprocal_rank(retrieved, expected), 6).alias("mrr"), F.round(M.ndcg(retrieved, expected), 6).alias("ndcg"),
+        F.round(M.diversity(retrieved), 6).alias("diversity"),
+    )
+
+
+@_query
+def chunk_metrics(spark, folder):
+    """Chunks one further than the expected ones in every other place, in reverse order, against the expected ones."""
+    struct = lambda c: F.struct(c.alias("id"), T.chunk_stem(c).alias("stem"), T.chunk_number(c).alias("number"))
+    expected = F.transform("source_chunks", struct)
+    shifted = F.transform(
+        F.reverse("source_chunks"),
+        lambda c, k: F.when(k % 2 == 0, F.format_string("%s::chunk::%03d", T.chunk_stem(c), T.chunk_number(c) + 1)).otherwise(c),
+    )
+    graded = _questions(spark, folder).select("id", expected.alias("expected"), shifted.alias("retrieved"))
+    graded = graded.withColumn("rel", F.transform("retrieved", lambda c: M.chunk_relevance(T.chunk_stem(c), T.chunk_number(c), c, F.col("expected"))))
+    return graded.select(
+        "id", M.chunk_hit(F.col("rel")).alias("chunk_hit"), F.round(M.chunk_reciprocal_rank(F.col("rel")), 6).alias("chunk_mrr"),
+        F.round(M.chunk_ndcg(F.col("rel"), F.size("expected")), 6).alias("chunk_ndcg"),
+    )
+
+
+@_query
+def dedup_metrics(spark, folder):
+    expected = F.transform("source_files", lambda p: T.stem(p))
+    retrieved = F.array_distinct(F.transform("source_chunks", lambda c: T.stem(T.chunk_stem(c))))
+    return _questions(spark, folder).select("id", M.hit_rate(retrieved, expected).alias("dedup_hit_rate"), F.round(M.ndcg(retrieved, expected), 6).alias("dedup_ndcg"))
+
+
+@_query
+def false_positives(spark, folder):
+    refused = _questions(spark, folder).where(F.col("expect_retrieval").eqNullSafe(False))
+    rated = refused.select("question_type", M.false_positive_rate(F.col("source_chunks")).alias("r"))
+    return rated.groupBy("question_type").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("false_positive_rate"))
+
+
+def _long(spark, folder, *extra):
+    return evaluation.long_metrics(_results(spark, folder, "variant", "question_id", "retrieval_metrics", "generation_metrics", *extra), ["variant", "question_id"], ["retrieval_metrics", "generation_metrics"])
+
+
+@_query
+def variant_means(spark, folder):
+    return evaluation.means(_long(spark, folder), ["variant"])
+
+
+@_query
+def type_means(spark, folder):
+    types = _questions(spark, folder).select(F.col("id").alias("question_id"), "question_type")
+    long = _long(spark, folder).join(types, "question_id")
+    return evaluation.means_with_totals(long, "variant", "question_type").select("variant", "question_type", "metric", "mean_value", "n_values", "level")
+
+
+@_query
+def category_means(spark, folder):
+    categories = _questions(spark, folder).select(F.col("id").alias("question_id"), F.coalesce("category", F.lit("unknown")).alias("category"))
+    results = _results(spark, folder, "variant", "question_id", "retrieval_metrics").join(categories, "question_id")
+    return evaluation.means_missing_as_zero(results, ["variant", "category"], "retrieval_metrics", "hit_rate")
+
+
+@_query
+def best_variants(spark, folder):
+    return evaluation.best(variant_means(spark, folder)).select("family", "metric", "variant", "mean_value")
+
+
+@_query
+def win_counts(spark, folder):
+    return evaluation.win_counts(best_variants(spark, folder))
+
+
+@_query
+def hallucination_rate(spark, folder):
+    value = F.try_element_at("generation_metrics", F.lit("faithfulness"))
+    return _results(spark, folder, "variant", "generation_metrics").groupBy("variant").agg(evaluation.share_below(value, 0.5).alias("hallucination_rate"))
+
+
+def _pairs(spark, folder):
+    truths = _questions(spark, folder).select(F.col("id").alias("question_id"), F.col("answer").alias("truth"))
+    return _results(spark, folder, "question_id", "question", "answer", "contexts").join(truths, "question_id")
+
+
+@_query
+def answer_scores(spark, folder):
+    return evaluation.answer_scores(_pairs(spark, folder), "result_id", "question", "answer", "truth", "contexts")
+
+
+@_query
+def context_recall(spark, folder):
+    return _pairs(spark, folder).select("result_id", F.round(evaluation.context_recall(F.col("truth"), F.col("contexts")), 6).alias("context_recall"))
+
+
+@_query
+def error_counts(spark, folder):
+    errors = _results(spark, folder, "variant", "error").groupBy("variant").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+    return errors.select("variant", "n", "errors", F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"))
+
+
+# ---------------------------------------------------------------- accounting
+
+
+@_query
+def token_totals(spark, folder):
+    return accounting.totals(read_table(spark, folder, "token_records"))
+
+
+@_query
+def token_split(spark, folder):
+    parts = ["system_prompt_tokens", "contexts_tokens", "query_tokens"]
+    records = evaluation.once(read_table(spark, folder, "token_records").select("record_id", "output_tokens", *parts), "record_id")
+    return records.select("record_id", *accounting.proportional_split("output_tokens", parts, "query_tokens"))
+
+
+@_query
+def time_stats(spark, folder):
+    return accounting.describe(_results(spark, folder, "variant", "time_seconds"), ["variant"], "time_seconds")
+
+
+@_query
+def stage_profile(spark, folder):
+    return accounting.stage_profile(_results(spark, folder, "variant", "time_seconds"), "variant", "time_seconds")
+
+
+@_query
+def day_numbers(spark, folder):
+    return accounting.day_numbers(_results(spark, folder, "finished_at"), "result_id", "finished_at", "er")
+
+
+@_query
+def token_windows(spark, folder):
+    return streams.token_windows(read_table(spark, folder, "token_records"), width="1 day")
+
+
+@_query
+def event_windows(spark, folder):
+    return streams.resource_windows(read_table(spark, folder, "events"), "ts", "value", "event_type", "1 day")
+
+
+@_query
+def event_sessions(spark, folder):
+    return streams.sessions(read_table(spark, folder, "events"), "ts", "user_id", "2 hours")
+
+
+# ---------------------------------------------------------------- test sets
+
+
+@_query
+def question_filter(spark, folder):
+    kept = testsets.filtered(_questions(spark, folder), ["single_fact", "reasoning"], ["comparison", "summary"], None, ["approved", "auto_approved"])
+    return kept.select("id", "test_set", "question_type", "category")
+
+
+@_query
+def merged_testset(spark, folder):
+    return testsets.renumbered(testsets.merged(_questions(spark, folder), ["test_set", "id"]), "test_set", ["id"]).select("id", "test_set", "question", "new_id")
+
+
+@_query
+def unknown_sources(spark, folder):
+    return testsets.sources_known(_questions(spark, folder), read_table(spark, folder, "loaded_documents"))
+
+
+@_query
+def testset_audit(spark, folder):
+    return testsets.audit(_questions(spark, folder))
+
+
+@_query
+def repeated_questions(spark, folder):
+    return testsets.repeated(_questions(spark, folder).where("question is not null"), ["question", "question_type"])
+
+
+@_query
+def review_progress(spark, folder):
+    return testsets.review_progress(_questions(spark, folder))
+
+
+@_query
+def question_quota(spark, folder):
+    weights = _questions(spark, folder).groupBy("test_set", "question_type").agg(F.count("*").alias("weight")).withColumn("total", F.lit(50))
+    return testsets.largest_remainder(weights, "test_set", "question_type", "weight", "total")
+
+
+@_query
+def round_robin(spark, folder):
+    documents = _loaded(spark, folder).where("content is not null")
+    return testsets.round_robin(_questions(spark, folder), "id", ["id"], documents, "load_id")
+
+
+@_query
+def hash_sample(spark, folder):
+    return testsets.hash_sample(_questions(spark, folder), "test_set", "id", 5).select("test_set", "id")
+
+
+@_query
+def page_budget(spark, folder):
+    sized = _loaded(spark, folder).select(F.col("metadata.format").alias("format"), "load_id", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars")).where("format is not null")
+    return testsets.until_target(sized, "format", ["load_id"], "n_chars", 50_000).select("format", "load_id", "n_chars", "running")
+
+
+@_query
+def systematic_sample(spark, folder):
+    return testsets.systematic(_questions(spark, folder).select("test_set", "id"), "test_set", ["id"], 7)
+
+
+@_query
+def greedy_unique(spark, folder):
+    blocks = _questions(spark, folder).select(F.explode(F.array_distinct("source_files")).alias("source_path"), "id", "question")
+    return testsets.greedy_unique(blocks, "source_path", "id", "question")
+
+
+@_query
+def capped_shares(spark, folder):
+    sized = _loaded(spark, folder).select(F.coalesce("metadata.format", F.lit("?")).alias("format"), "load_id", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars"))
+    by_source = sized.withColumn("folder", F.concat_ws("/", "format", (_number("load_id") % 97).cast("string"))).drop("format")
+    return testsets.capped_shares(by_source, "folder", "load_id", "n_chars", 20)
+
+
+@_query
+def excerpt_found(spark, folder):
+    source = F.translate(F.get("source_files", 0), "\\", "/")
+    asked = _questions(spark, folder).where("ground_truth_excerpt is not null").select("id", source.alias("path"), "ground_truth_excerpt")
+    documents = _loaded(spark, folder).select(F.translate("source_path", "\\", "/").alias("path"), "content").where("content is not null")
+    return asked.join(documents, "path").select("id", testsets.excerpt_found(F.col("ground_truth_excerpt"), F.col("content")).alias("found"))
+
+
+# ---------------------------------------------------------------- snapshots and traces
+
+
+def _files(spark, folder):
+    path = F.translate("source_path", "\\", "/")
+    return _loaded(spark, folder).select(path.alias("path"), snapshots.content_hash(F.col("content")).alias("sha"), (_number("load_id") % 3).alias("snapshot"), "load_id")
+
+
+@_query
+def snapshot_ids(spark, folder):
+    return snapshots.data_ids(_files(spark, folder), "snapshot", "sha")
+
+
+@_query
+def snapshot_merge(spark, folder):
+    return snapshots.merged(_files(spark, folder), "sha", ["snapshot", "load_id"]).select("sha", "snapshot", "load_id")
+
+
+@_query
+def snapshot_extend(spark, folder):
+    files = _files(spark, folder)
+    return snapshots.extended(files.where("snapshot = 0"), files.where("snapshot <= 1"), "path").select("path", "snapshot", "load_id")
+
+
+@_query
+def snapshot_status(spark, folder):
+    files = _files(spark, folder)
+    present = files.where(_number("load_id") % 10 != 0).withColumn("sha", F.when(_number("load_id") % 7 == 0, "changed").otherwise(F.col("sha")))
+    return snapshots.status(files, present, "snapshot", "path", "sha")
+
+
+@_query
+def unparsed_files(spark, folder):
+    files = _files(spark, folder)
+    return snapshots.unparsed(files, files.where("snapshot = 1"), "path", "sha").select("path", "sha")
+
+
+@_query
+def equivalence_groups(spark, folder):
+    path = F.regexp_replace(F.translate("source_path", "\\", "/"), r"_\d+\.", F.when(_number("load_id") % 2 == 0, "_摘要.").otherwise("."))
+    groups = snapshots.equivalence_groups(_loaded(spark, folder).select(path.alias("path")), "path")
+    return groups.select("group_key", F.array_join("members", "|").alias("members"))
+
+
+@_query
+def variant_plan(spark, folder):
+    variants = _results(spark, folder, "variant", "error").groupBy("variant").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+    wanted = variants.select("variant", F.sha2(F.concat_ws(":", "variant", F.lit("v2")), 256).alias("hash"))
+    done = variants.select("variant", F.sha2(F.concat_ws(":", "variant", F.when(F.col("n") % 2 == 0, "v2").otherwise("v1")), 256).alias("hash"), (F.col("errors") % 3 != 0).alias("completed"))
+    return snapshots.plan(wanted, done, "variant", "hash")
+
+
+@_query
+def fingerprint_differences(spark, folder):
+    fields = ["difficulty", "category", "question_type"]
+    left = _questions(spark, folder).select("id", *fields)
+    right = left.withColumn("difficulty", F.when(_number("id") % 5 == 0, "hard").otherwise(F.col("difficulty"))).withColumn("category", F.when(_number("id") % 7 == 0, None).otherwise(F.col("category")))
+    return snapshots.differences(left, right, "id", fields)
+
+
+@_query
+def newest_results(spark, folder):
+    return traces.newest(_results(spark, folder, "variant", "finished_at"), "variant", "finished_at", "result_id", 10)
+
+
+@_query
+def chat_turns(spark, folder):
+    results = _results(spark, folder, "variant", "question", "answer")
+    both = results.select("variant", F.explode(F.array(
+        F.struct(F.concat("result_id", F.lit("a")).alias("turn"), F.lit("user").alias("role"), F.col("question").alias("text")),
+        F.struct(F.concat("result_id", F.lit("b")).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text")),
+    )).alias("t"), F.concat_ws("-", "variant", (F.floor(_number("result_id") / 40)).cast("string")).alias("conversation"))
+    return traces.chat_turns(both.select("conversation", "t.*"), "conversation", "turn", "role", "text")
+
+
+@_query
+def root_causes(spark, folder):
+    metric = lambda m: F.coalesce(F.try_element_at("retrieval_metrics", F.lit(m)), F.lit(0.0))
+    results = _results(spark, folder, "question", "answer", "contexts", "retrieval_metrics", "error")
+    held = F.size(F.coalesce("contexts", F.array().cast("array<string>"))) > 0
+    return results.select("result_id", traces.root_cause(
+        metric("hit_rate") > 0, metric("mrr") > 0.3, held, T.overlap(T.bigrams(F.col("question")), T.bigrams(F.col("answer"))) < 0.02, F.col("error").isNull()
+    ).alias("root_cause"))
+
+
+@_query
+def truth_in_stages(spark, folder):
+    """The expected document of each asked question in a wide and a narrow stage of retrieval."""
+    asked, documents = _asked(spark, folder), _loaded(spark, folder)
+    hits = search.bm25(documents, "load_id", "content", asked, "id", "question", 20).join(documents.select("load_id", "source_path"), "load_id")
+    stages = hits.select("id", F.explode(F.array(F.lit("retrieval"), F.when(F.col("rank") <= 5, "rerank"))).alias("stage"), F.col("source_path").alias("item"), "rank", "score").where("stage is not null")
+    truth = asked.select("id", F.explode(F.array_distinct("expected_sources")).alias("item"))
+    return traces.truth_in_stages(stages, truth, "id", "stage", "item")
+
+
+@_query
+def case_lookup(spark, folder):
+    questions = _questions(spark, folder).where("question is not null")
+    cases = questions.where(_number("id") % 3 == 0).select(F.col("id").alias("case_id"), F.substring("question", 1, 30).alias("preview"))
+    return traces.cases_for(cases, questions.select("id", "question"), "preview", "question")
