@@ -127,7 +127,7 @@ def pack_corpus(counts: DataFrame, profiles: list[tuple[str, int]]) -> DataFrame
 
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     spread = counts.select(bucket.alias("bucket"), "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-    return spread.groupBy("bucket").applyInPandas(run, schema)
+    return spread.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, schema)
 
 
 def container_fill(packed: DataFrame) -> DataFrame:
