@@ -55,8 +55,7 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["category", "model_name"]
-    summaries = percentiles.digests(read_table(spark, folder, "token_records"), keys, _TOKENS, "record_id")
-    return percentiles.quantiles(summaries, keys, SHARES)
+    return percentiles.quantiles(percentiles.merge(p4_daily(spark, folder), keys), keys, SHARES)
 
 
 def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +65,7 @@ def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["category", "model_name"]
-    summaries = percentiles.digests(read_table(spark, folder, "token_records"), keys, _TOKENS, "record_id")
+    summaries = percentiles.merge(p4_daily(spark, folder), keys)
     return summaries.groupBy(*keys, "metric").agg(F.sum("n").alias("n_values"))
 
 
