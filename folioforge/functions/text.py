@@ -27,9 +27,12 @@ def search_terms(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """The set of character pairs of the lower-case text without white space; one character stands for itself."""
+    """The set of character pairs of the lower-case text without white space; one character stands for itself.
+
+    Characters beyond the basic plane are one character: no pair begins in the middle of them.
+    """
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s", "")
-    pairs = F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)(?=(..))"), F.lit(1)))
+    pairs = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(..))"), F.lit(1)))
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).when(F.length(bare) == 1, F.array(bare)).otherwise(pairs)
 
 

@@ -39,7 +39,7 @@ def content_hash(content: Column) -> Column:
 def data_ids(files: DataFrame, by: str, sha: str) -> DataFrame:
     """(by, data_id, files): order-independent id of a set of files.
 
-    Hashes of 64 characters are summed up in two steps, so that no task holds a whole snapshot's texts.
+    The id is by definition a hash of the snapshot's whole sorted list, so one task holds 64 characters a file, but no texts.
     """
     return files.where(F.col(sha).isNotNull()).groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(sha)), "|"), 256).alias("data_id"), F.count("*").alias("files"))
 

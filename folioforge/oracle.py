@@ -276,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT result_id, finished_at, row_number() OVER (PARTITION BY finished_at::DATE ORDER BY finished_at, result_id) AS k FROM {_R})""",
         "token_windows": f"""SELECT date_trunc('day', ts) AS window_start, coalesce(category, '__none__') AS category, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
             CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM {_T} GROUP BY ALL""",
-        "event_windows": """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 9) AS mean_value, max(value) AS peak_value FROM events GROUP BY ALL""",
+        "event_windows": """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS peak_value FROM events GROUP BY ALL""",
         "event_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
             s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
             SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
