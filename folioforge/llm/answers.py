@@ -20,7 +20,12 @@ CLOSERS = {v: k for k, v in OPENERS.items()}
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _TAIL_MARK = re.compile(r"(?:\s*[\[［(（](?:\d{1,3}|p\. ?\d+|[^\[\]()（）]{0,24}\d+)[\]］)）])+$|[\s*_~`#>]+$|\s*-{3,}$|\s*—{2,}$")
 _SPLIT = re.compile(r"(?<=[。！？!?；])|(?<=[a-zà-ÿ)]\.)\s|\n")
-_WORD = re.compile(r"[a-zà-öø-ÿœß]+")
+_WORD = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]+(?!\w)")
+_FIRST_WORD = re.compile(r"(?:^|[\n.!?¿¡:\"“-])\s*([A-ZÀ-Ý][a-zà-öø-ÿœß]*)(?!\w)")
+_WIDE_RUN = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]{2,}")
+_NAME = re.compile(r"\b[A-ZÀ-Ý]\w+")
+_HIRAGANA = re.compile("[ぁ-ゖ]")
+_CHINESE = frozenset(W.CHINESE_ONLY)
 _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿豈-﫿]"), re.compile("[ぁ-ゖァ-ヺー]"), re.compile("[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
 _FUNCTION = {lang: frozenset(words.split()) for lang, words in W.FUNCTION_WORDS.items()}
 _INABLE = {k: re.compile(v, re.I) for k, v in W.INABILITY.items()}
@@ -166,8 +171,11 @@ def language(text: str) -> tuple[frozenset[str], int]:
     if wide + latin == 0:
         return frozenset(), 0
     if wide > latin:
-        return frozenset(["ja" if kana * 8 >= han else "zh"]), wide
-    words = _WORD.findall(text.lower())
+        particles = len(_HIRAGANA.findall(text))
+        if particles * 20 >= han and particles:
+            return frozenset(["ja"]), wide
+        return frozenset(["zh"] if any(c in _CHINESE for c in text) else ["zh", "ja"]), wide
+    words = _WORD.findall(text) + [w.lower() for w in _FIRST_WORD.findall(text)]
     votes = {lang: sum(w in known for w in words) + sum(text.count(c) for c in W.OWN_LETTERS[lang]) for lang, known in _FUNCTION.items()}
     best = max(votes.values())
     return frozenset(lang for lang, n in votes.items() if n == best), latin
@@ -176,14 +184,18 @@ def language(text: str) -> tuple[frozenset[str], int]:
 def other_language(question: str, answer: str) -> bool:
     """True if the answer is mainly in another language than its question, and the question doesn't ask for that.
 
-    Fewer than 20 letters (a Han character or kana counts as three) are a figure or a name and have no language.
+    Names that the answer takes over from the question say nothing about its language. Fewer than 20 letters (a Han
+    character or kana counts as three) are a figure or a name and have no language.
     """
-    theirs, letters = language(answer)
+    own = _WIDE_RUN.sub(lambda m: " " if m[0] in question else m[0], answer)
+    names = set(_NAME.findall(question))
+    own = _NAME.sub(lambda m: " " if m[0] in names and len(m[0]) > 3 else m[0], own)
+    theirs, letters = language(own)
     if letters < 20 or not theirs:
         return False
     asked, _ = language(question)
-    wanted = requested_language(question)
-    return not theirs & (wanted or asked) and bool(wanted or asked)
+    allowed = asked | requested_language(question)
+    return bool(allowed) and not theirs & allowed
 
 
 def requested_language(question: str) -> set[str]:

@@ -12,6 +12,9 @@ FUNCTION_WORDS = {
 # Letters and marks that only one of these languages uses.
 OWN_LETTERS = {"en": "", "de": "ßäöüÄÖÜ", "fr": "èêëîïùûœÈÊœ", "es": "ñ¿¡Ñ", "pt": "ãõÃÕ"}
 
+# Characters of simplified Chinese, and Chinese function characters, that Japanese doesn't write.
+CHINESE_ONLY = "的了是们这个从对为与该项资应业务产净报单亿经现营负债货转费过发开关时将较仅让还没吗呢吧给说问题汇总额实减预计风险变动变销购继续组织结构归"
+
 # What says that one cannot or will not, by language.
 INABILITY = {
     "zh": r"无法|不能|难以|恕难|恕不|不便|没有|未(?:涉及|提及|提到|找到|包含|披露|说明|能)|不在|超出|不足以|缺乏|拒绝|不予",
