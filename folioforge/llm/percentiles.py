@@ -49,10 +49,13 @@ def compress(groups: np.ndarray, nodes: np.ndarray, counts: np.ndarray, epsilon:
     """Merge small nodes into their parents, for all groups at once; groups are numbered from 0.
 
     Nodes are heap numbers: the leaf of a code is 2**LEVELS + code, a node's parent is half of it. Going up level by level, a
-    pair of children and their parent with no more than epsilon * n / LEVELS values together become the parent.
+    pair of children and their parent with no more than epsilon * n / LEVELS values together become the parent. A group's
+    greatest leaf stays, so that the greatest value isn't lost.
     """
     totals = np.bincount(groups, weights=counts)
     allowed = np.floor(epsilon * totals / LEVELS)
+    greatest = np.zeros(len(totals), dtype=np.int64)
+    np.maximum.at(greatest, groups, nodes)
     done_g, done_n, done_c = [], [], []
     key = (groups.astype(np.int64) << (LEVELS + 1)) | nodes
     for level in range(LEVELS, 0, -1):
@@ -64,7 +67,7 @@ def compress(groups: np.ndarray, nodes: np.ndarray, counts: np.ndarray, epsilon:
         parents = (g << (LEVELS + 1)) | (node >> 1)
         both, both_c = _added(np.concatenate([parents, key]), np.concatenate([here_c, counts]))
         family = both_c[np.searchsorted(both, parents)]
-        small = family <= allowed[g]
+        small = (family <= allowed[g]) & (node != greatest[g])
         done_g.append(g[~small])
         done_n.append(node[~small])
         done_c.append(here_c[~small])
@@ -135,7 +138,7 @@ def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon:
     """(*keys, metric, share, values, low, estimate, high, rank_error) of each group.
 
     Nodes in order of their greatest leaf, smaller ranges first, are run through until the wanted rank is reached; the
-    answer is that node's greatest leaf, whose values lie between low and high. Its rank is off by at most rank_error. A
+    answer is that node's greatest leaf, or the group's if that is smaller; its values lie between low and high. Its rank is off by at most rank_error. A
     group has no more nodes than the tree, whatever the number of its records.
     """
     level = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
@@ -144,10 +147,11 @@ def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon:
     group = [*keys, "metric"]
     run = Window.partitionBy(*group).orderBy("last", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = merged.withColumn("span", span).withColumn("last", last)
-    walked = walked.withColumn("upto", F.sum("n").over(run)).withColumn("values", F.sum("n").over(Window.partitionBy(*group)))
+    greatest = F.max(F.when(F.col("span") == 1, F.col("last"))).over(Window.partitionBy(*group))
+    walked = walked.withColumn("upto", F.sum("n").over(run)).withColumn("_leaf", F.least("last", greatest)).withColumn("values", F.sum("n").over(Window.partitionBy(*group)))
     hit = walked.withColumn("share", F.explode(F.array(*(F.lit(float(q)) for q in shares))))
     rank = F.greatest(F.ceil(F.col("share") * F.col("values")), F.lit(1))
-    low, high = value_range(F.col("last"))
+    low, high = value_range(F.col("_leaf"))
     return hit.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(
         *group, "share", "values", low.alias("low"), F.round((low + high) / 2.0, 3).alias("estimate"), high.alias("high"),
         F.floor(F.col("values") * epsilon).alias("rank_error"),
