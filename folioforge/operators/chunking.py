@@ -69,8 +69,8 @@ def page_chunks(pages: DataFrame, key: str, page: str, text: str, size: int = 51
 
 def pages_of(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, page_number, text): parts of a text between blank lines, numbered from 1."""
-    parts = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n\n", -1)).alias("k", "text"))
-    return parts.select(key, (F.col("k") + 1).alias("page_number"), "text")
+    parts = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n\n", -1)).alias("_k", "text"))
+    return parts.select(key, (F.col("_k") + 1).alias("page_number"), "text")
 
 
 def buffered_sentences(text: Column, least: int = 10) -> Column:

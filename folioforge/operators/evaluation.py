@@ -102,4 +102,4 @@ def context_recall(truth: Column, contexts: Column) -> Column:
 def resolve_metrics(wanted: DataFrame, backends: DataFrame) -> DataFrame:
     """(metric, backend): the backend of highest priority that supports each wanted metric; null if none does."""
     order = Window.partitionBy("metric").orderBy(F.col("priority").asc_nulls_last(), "backend")
-    return wanted.join(backends, "metric", "left").withColumn("k", F.row_number().over(order)).where("k = 1").select("metric", "backend")
+    return wanted.join(backends, "metric", "left").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("metric", "backend")

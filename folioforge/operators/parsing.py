@@ -11,8 +11,8 @@ SEPARATOR = r"^\|[\s\-:]+\|[\s\-:\|]*$"
 
 def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line) with lines counted from 1."""
-    parts = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("k", "line"))
-    return parts.select(key, (F.col("k") + 1).alias("line_no"), "line")
+    parts = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("_k", "line"))
+    return parts.select(key, (F.col("_k") + 1).alias("line_no"), "line")
 
 
 def table_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -103,6 +103,6 @@ def markdown_records(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = table_rows(documents, key, text).where(~F.col("row").rlike(SEPARATOR)).withColumn("cells", cells(F.col("row")))
     header = F.first("cells").over(Window.partitionBy(key, "table_no").orderBy("line_no"))
     number = F.row_number().over(Window.partitionBy(key, "table_no").orderBy("line_no"))
-    tabled = rows.withColumn("header", header).withColumn("k", number).where("k > 1")
+    tabled = rows.withColumn("header", header).withColumn("_k", number).where("_k > 1")
     entries = F.arrays_zip(F.col("header"), F.slice("cells", F.lit(1), F.size("header")))
     return tabled.select(key, "table_no", "line_no", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["header"], e["1"])), "; ").alias("record"))

@@ -46,7 +46,7 @@ def data_ids(files: DataFrame, by: str, sha: str) -> DataFrame:
 
 def merged(files: DataFrame, path: str, order: list[str]) -> DataFrame:
     """Union of snapshots: the first file of each path in ``order``."""
-    return files.withColumn("k", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where("k = 1").drop("k")
+    return files.withColumn("_k", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where("_k = 1").drop("_k")
 
 
 def extended(base: DataFrame, more: DataFrame, path: str) -> DataFrame:

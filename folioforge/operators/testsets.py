@@ -28,7 +28,7 @@ def merged(questions: DataFrame, order: list[str]) -> DataFrame:
     kept = not_rejected(questions)
     text = F.coalesce("question", F.concat(F.lit("\x00"), "id"))
     place = F.row_number().over(Window.partitionBy(text).orderBy(*order))
-    return kept.withColumn("k", place).where("k = 1").drop("k")
+    return kept.withColumn("_k", place).where("_k = 1").drop("_k")
 
 
 def renumbered(questions: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def round_robin(items: DataFrame, item: str, order: list[str], holders: DataFram
 def hash_sample(frame: DataFrame, by: str, key: str, n: int, seed: str = "0") -> DataFrame:
     """n rows of each group, chosen by a hash of seed and key: the same on every run and engine."""
     order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return frame.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
+    return frame.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
 def until_target(frame: DataFrame, by: str, order: list[str], size: str, target: int) -> DataFrame:

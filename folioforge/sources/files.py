@@ -53,7 +53,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """All documents below a folder; where a name exists in both formats, the pages win."""
     both = markdown(spark, folder).unionByName(page_documents(pages(spark, folder)))
     order = Window.partitionBy("name").orderBy(F.desc("format"), "source_path")
-    return both.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+    return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
