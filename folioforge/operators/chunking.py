@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import text as X
-from folioforge.runtime import ship
+from folioforge.runtime import ship, spread
 
 
 def _windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -130,11 +130,22 @@ def semantic_chunks(documents: DataFrame, key: str, text: str, embed, size: int
     def tokenise(run: str) -> list[str]:
         return re.findall(r"^\s+|\S+\s*", run)
 
+    def buffered(parts: list[str], least_chars: int = 10) -> list[str]:
+        done, held = [], ""
+        for part in parts:
+            held += part.strip()
+            if len(held) >= least_chars:
+                done.append(held)
+                held = ""
+        if held and done:
+            done[-1] += held
+        return done or ([held] if held else [])
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def chunks(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: chunk(list(x)))
+        return column.map(lambda x: chunk(buffered(list(x))))
 
-    runs = documents.select(key, buffered_sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
+    runs = spread(documents.where(F.length(F.trim(text)) > 0).select(key, text)).select(key, X.sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
     return runs.select(key, F.posexplode(chunks("s")).alias("chunk_index", "text"))
 
 

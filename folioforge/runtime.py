@@ -35,6 +35,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame over all cores, for work that costs far more than moving its rows.
+
+    Only an input with fewer splits than the cluster has cores is moved, so at scale this is the frame itself.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    splits = frame._jdf.queryExecution().toRdd().getNumPartitions()
+    return frame if splits >= cores else frame.repartition(cores)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a folder of our own only where none is named (tests)."""
     context = spark.sparkContext
