@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioforge.runtime import ship
+from folioforge.runtime import ship, spread
 
 #: Folder of the vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -102,7 +102,7 @@ def encode_corpus(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
             values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -115,7 +115,7 @@ def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
             sizes = [len(encode_tree(encode, t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def decode_corpus(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

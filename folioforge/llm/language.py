@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.visual import visual_form
-from folioforge.runtime import ship
+from folioforge.runtime import ship, spread
 
 LANGUAGES = ("zh", "en", "ja", "de", "fr", "es", "pt")
 #: Labelled documents a language that profiles are trained on.
@@ -222,7 +222,7 @@ def _run(documents: DataFrame, rows, schema: str) -> DataFrame:
                 part = batch.slice(k, 1000)
                 yield rows(part, [t or "" for t in part["text"].to_pylist()], table)
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "lang", "text")).mapInArrow(run, schema)
 
 
 def document_languages(documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.visual import visual, visual_form
-from folioforge.runtime import cut, ship
+from folioforge.runtime import cut, ship, spread
 
 #: A line is repeated if it stands in at least so many documents of its source, and in at least this share of them.
 LEAST_DOCUMENTS, LEAST_SHARE = 5, 0.2
@@ -58,7 +58,7 @@ def source_of(name: Column | str) -> Column:
 def hashed_lines(documents: DataFrame) -> DataFrame:
     """One row a document: source, line numbers and hashes of its countable lines; texts don't travel further."""
     ship(documents.sparkSession)
-    named = documents.select("load_id", F.coalesce(source_of("name"), F.lit("")).alias("source"), "content")
+    named = spread(documents.select("load_id", "name", "content")).select("load_id", F.coalesce(source_of("name"), F.lit("")).alias("source"), "content")
     hashed = named.mapInArrow(_hashed, "load_id string, source string, line_nos array<int>, hashes array<long>")
     return cut(hashed.dropDuplicates(["load_id"]))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.runtime import ship
+from folioforge.runtime import ship, spread
 
 #: Buckets of hashed character pairs, and units on either side of a boundary that are compared.
 BUCKETS, BLOCK = 64, 3
@@ -130,7 +130,7 @@ def split_corpus(documents: DataFrame, profiles: list[tuple[str, int, int]], wit
                 yield _batch(rows, schema)
 
     ddl = "load_id string, profile string, piece_no int, pieces int, start int, length int, cut string, longest_run int" + (", text string" if with_text else "")
-    return documents.select("load_id", "content").mapInArrow(run, ddl)
+    return spread(documents.select("load_id", "content")).mapInArrow(run, ddl)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.runtime import cut
+from folioforge.runtime import cut, spread
 
 # Letters of other scripts drawn like a letter of the Latin script, and kana drawn like a Han character.
 LOOK_ALIKES = {
@@ -132,7 +132,7 @@ def same_look_pairs(frame: DataFrame, key: str, text: str) -> DataFrame:
     each other and only then spread to their members, so groups of exact copies alone cost no pairs. Repeated rows count
     once. Null texts have no look and take part in no pair.
     """
-    source = frame.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    source = spread(frame.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).where("k is not null and t is not null")
     shaped = source.withColumn("v", visual("t"))
     hashes = cut(
         shaped.select(
