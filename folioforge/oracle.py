@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from folioforge.operators.validation import ACADEMIC as _ACADEMIC
+from folioforge.operators.validation import TEMPLATE_STARTS as _STARTS
+
 _Q = "(SELECT DISTINCT ON (id) * FROM questions)"
 _R = "(SELECT DISTINCT ON (result_id) * FROM evaluation_results)"
 _L = "(SELECT DISTINCT ON (load_id) * FROM loaded_documents)"
@@ -132,7 +135,7 @@ def oracle_sql() -> dict[str, str]:
     stem_files, stem_chunks = f"[{_stem('p')} for p in source_files]", "[" + _stem(f"({_chunk_stem('c')})") + " for c in source_chunks]"
     metrics = f"SELECT id, {stem_chunks} AS g, {stem_files} AS e FROM {_Q}"
     hit5 = "CAST(len(list_intersect(g[1:5], e)) > 0 AS DOUBLE)"
-    return {
+    sql = {
         "bm25_search": f"WITH {_bm25('documents', 'doc_id', 'text', 5)} SELECT id, doc_id, score, rank FROM hits",
         "bm25_terms": f"""WITH docs AS (SELECT doc_id, {_terms('text')} AS terms FROM documents), stats AS (SELECT count(*) AS n FROM docs)
             SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf
@@ -325,6 +328,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM d WHERE old IS DISTINCT FROM new""",
         "newest_results": f"""SELECT result_id, variant, finished_at, place FROM (SELECT result_id, variant, finished_at,
             CAST(row_number() OVER (PARTITION BY variant ORDER BY finished_at DESC, result_id DESC) AS INTEGER) AS place FROM {_R}) WHERE place <= 10""",
+        "contained_documents": r"""WITH b AS (SELECT min(load_id) AS id, bare, length(bare) AS n FROM (SELECT load_id, regexp_replace(content, '\s+', '', 'g') AS bare FROM loaded_documents WHERE content IS NOT NULL) WHERE bare <> '' GROUP BY bare)
+            SELECT a.id AS inner, o.id AS outer FROM b a, b o WHERE a.id <> o.id AND a.n >= 100 AND (o.n > a.n OR (o.n = a.n AND a.id < o.id))
+            AND contains(o.bare, substr(a.bare, 1, 500)) AND contains(o.bare, substr(a.bare, a.n // 2 + 1, 500)) AND contains(o.bare, right(a.bare, 500))""",
+        "text_classes": r"""WITH h AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS bare FROM documents WHERE text IS NOT NULL)
+            SELECT member, class FROM (SELECT doc_id AS member, min(doc_id) OVER (PARTITION BY bare) AS class FROM h) WHERE member <> class""",
+        "authenticity": f"""WITH q AS (SELECT id, [x for x in [{", ".join(f"CASE WHEN contains(question, '{p}') THEN 'phrase {p}' END" for p in _ACADEMIC)},
+                {", ".join(f"CASE WHEN starts_with(question, '{p}') THEN 'opening {p}' END" for p in _STARTS)}, CASE WHEN length(question) > 100 THEN 'too long' END] if x IS NOT NULL] AS i FROM {_Q} WHERE question IS NOT NULL)
+            SELECT id, array_to_string(i, '; ') AS issues, len(i) = 0 AS authentic FROM q""",
+        "unit_errors": rf"""WITH t AS (SELECT id, [CAST(replace(x, ',', '') AS DOUBLE) for x in regexp_extract_all(answer, '([\d,.]+)\s*亿', 1) if try_cast(replace(x, ',', '') AS DOUBLE) IS NOT NULL] AS told,
+                CAST(trunc(CAST(regexp_extract(answer, '(\d+\.\d+)亿', 1) AS DOUBLE) * CASE WHEN {_number('id')} % 3 = 0 THEN 10 ELSE 1 END * 100000000) AS BIGINT) / 1e8 AS e FROM {_Q} WHERE regexp_matches(answer, '\d+\.\d+亿')),
+            u AS (SELECT id, unnest(told) AS a, e FROM t WHERE e > 1 AND length(CAST(CAST(e * 1e8 AS BIGINT) AS VARCHAR)) >= 8)
+            SELECT id, a AS answer_value, round(e, 2) AS excerpt_value FROM u WHERE a BETWEEN e * 9.5 AND e * 10.5 OR a BETWEEN e * 0.05 AND e * 0.15""",
+        "short_answers": f"""WITH a AS (SELECT result_id, answer, substr(answer, 1, 60) AS h FROM {_R} WHERE answer IS NOT NULL),
+            b AS (SELECT *, length(h) - instr(reverse(h), '。') + 1 AS last, instr(reverse(h), '。') AS p FROM a)
+            SELECT result_id, CASE WHEN length(answer) <= 60 THEN answer WHEN p > 0 AND last > 30 THEN substr(h, 1, last) ELSE h END AS short_answer FROM b""",
         "case_lookup": f"""WITH q AS (SELECT id, question FROM {_Q} WHERE question IS NOT NULL), c AS (SELECT id AS case_id, substr(question, 1, 30) AS preview FROM q WHERE {_number('id')} % 3 = 0)
             SELECT id, min(case_id) AS case_id FROM q JOIN c ON length(preview) >= 8 AND starts_with(question, preview) GROUP BY id""",
     }
+    sql["chunk_neighbours"] = f"""WITH c AS ({sql["fixed_chunks"]})
+        SELECT a.chunk_id, b.chunk_id AS neighbour_id FROM c a JOIN c b ON a.doc_id = b.doc_id AND abs(a.chunk_index - b.chunk_index) <= 1"""
+    return sql

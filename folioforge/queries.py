@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import metrics as M
 from folioforge.functions import text as T
-from folioforge.operators import accounting, chunking, evaluation, parsing, search, snapshots, testsets, traces
+from folioforge.operators import accounting, chunking, evaluation, parsing, search, snapshots, testsets, traces, validation
 from folioforge.oracle import oracle_sql  # noqa: F401
 from folioforge.plans import pipeline
 from folioforge.runtime import read_table
@@ -584,3 +584,57 @@ def case_lookup(spark, folder):
     questions = _questions(spark, folder).where("question is not null")
     cases = questions.where(_number("id") % 3 == 0).select(F.col("id").alias("case_id"), F.substring("question", 1, 30).alias("preview"))
     return traces.cases_for(cases, questions.select("id", "question"), "preview", "question")
+
+
+# ---------------------------------------------------------------- checks
+
+
+@_query
+def contained_documents(spark, folder):
+    return validation.contained_documents(read_table(spark, folder, "loaded_documents"), "load_id", "content")
+
+
+@_query
+def text_classes(spark, folder):
+    return validation.text_classes(read_table(spark, folder, "documents"), "doc_id", "text").where("member <> class")
+
+
+@_query
+def primary_pool(spark, folder):
+    documents = read_table(spark, folder, "loaded_documents").select("load_id", "source_path").distinct()
+    return validation.primary_pool(documents, contained_documents(spark, folder), "load_id")
+
+
+@_query
+def authenticity(spark, folder):
+    issues = validation.authenticity_issues(F.col("question"))
+    return _questions(spark, folder).where("question is not null").select("id", F.array_join(issues, "; ").alias("issues"), (F.size(issues) == 0).alias("authentic"))
+
+
+@_query
+def unit_errors(spark, folder):
+    """Answers against excerpts whose amounts are written out in full, one in three of them ten times too large."""
+    amount = F.regexp_extract("answer", r"(\d+\.\d+)亿", 1)
+    told = _questions(spark, folder).where(amount != "").select("id", "answer", (amount.cast("double") * F.when(_number("id") % 3 == 0, 10).otherwise(1) * 100_000_000).cast("long").alias("v"))
+    pairs = told.select("id", validation.unit_errors(F.col("answer"), F.concat(F.lit("共 "), F.col("v").cast("string"), F.lit(" 元"))).alias("e"))
+    return pairs.select("id", F.explode("e").alias("e")).select("id", "e.answer_value", "e.excerpt_value")
+
+
+@_query
+def short_answers(spark, folder):
+    return _results(spark, folder, "answer").where("answer is not null").select("result_id", validation.cut_answer(F.col("answer"), 60).alias("short_answer"))
+
+
+@_query
+def quote_matches(spark, folder):
+    """Excerpts with one character in eleven replaced, looked for in the document they are from."""
+    source = F.translate(F.get("source_files", 0), "\\", "/")
+    asked = _questions(spark, folder).where("ground_truth_excerpt is not null").select("id", source.alias("path"), F.regexp_replace("ground_truth_excerpt", "(.{10}).", "$1_").alias("quote"))
+    documents = _loaded(spark, folder).select(F.translate("source_path", "\\", "/").alias("path"), "content").where("content is not null")
+    return validation.quote_matches(asked.join(documents, "path"), ["id"], "quote", "content")
+
+
+@_query
+def chunk_neighbours(spark, folder):
+    chunks = chunking.fixed_chunks(read_table(spark, folder, "documents"), "doc_id", "text", 64, 16).select("doc_id", "chunk_index", "chunk_id")
+    return validation.neighbours(chunks, "doc_id", "chunk_index", "chunk_id")
