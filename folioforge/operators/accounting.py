@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.ordering import numbered
+
 TOKEN_FIELDS = ("input_tokens", "output_tokens", "system_prompt_tokens", "contexts_tokens", "query_tokens")
 
 
@@ -55,5 +57,5 @@ def stage_profile(records: DataFrame, stage: str, seconds: str) -> DataFrame:
 
 def day_numbers(records: DataFrame, key: str, at: str, prefix: str) -> DataFrame:
     """Ids of the form prefix_yyyymmdd_nnn, numbered within each day by time, then key."""
-    number = F.row_number().over(Window.partitionBy(F.to_date(at)).orderBy(at, key))
-    return records.select(key, F.format_string(f"{prefix}_%s_%03d", F.date_format(at, "yyyyMMdd"), number).alias("day_id"))
+    dated = numbered(records.select(key, at, F.to_date(at).alias("_day")), [at, key], "_n", ["_day"])
+    return dated.select(key, F.format_string(f"{prefix}_%s_%03d", F.date_format(at, "yyyyMMdd"), F.col("_n") + 1).alias("day_id"))

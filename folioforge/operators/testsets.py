@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.ordering import numbered, running
 from folioforge.runtime import ship
 
 
@@ -33,7 +34,7 @@ def merged(questions: DataFrame, order: list[str]) -> DataFrame:
 
 def renumbered(questions: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Ids q001, q002, ... within each test set."""
-    return questions.withColumn("new_id", F.format_string("q%03d", F.row_number().over(Window.partitionBy(by).orderBy(*order))))
+    return numbered(questions, order, "_n", [by]).withColumn("new_id", F.format_string("q%03d", F.col("_n") + 1)).drop("_n")
 
 
 def sources_known(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -83,8 +84,6 @@ def largest_remainder(weights: DataFrame, by: str, name: str, weight: str, total
 
 def round_robin(items: DataFrame, item: str, order: list[str], holders: DataFrame, holder: str) -> DataFrame:
     """Item i goes to holder i mod n, both in order. Running numbers come from range partitions, not from one task."""
-    from folioforge.operators.ordering import numbered
-
     places = numbered(holders.select(holder).distinct(), [holder], "place")
     n = places.count()
     if n == 0:
@@ -100,15 +99,13 @@ def hash_sample(frame: DataFrame, by: str, key: str, n: int, seed: str = "0") ->
 
 def until_target(frame: DataFrame, by: str, order: list[str], size: str, target: int) -> DataFrame:
     """Rows of each group in order until their sizes reach the target, the crossing row included."""
-    running = F.sum(size).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return frame.withColumn("running", running).where(F.col("running") - F.col(size) < target)
+    return running(frame, [by], order, F.col(size), "running").where(F.col("running") - F.col(size) < target)
 
 
 def systematic(frame: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The rows at floor(i * size / n) of each group, i from 0 to n - 1; groups of fewer rows whole."""
-    whole = Window.partitionBy(by)
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    ranked = frame.withColumn("place", place).withColumn("size", F.count("*").over(whole))
+    sizes = frame.groupBy(by).agg(F.count("*").alias("size"))
+    ranked = numbered(frame, order, "place", [by]).join(sizes, by)
     chosen = F.floor(F.ceil(F.col("place") * n / F.col("size")) * F.col("size") / n) == F.col("place")
     return ranked.where((F.col("size") <= n) | chosen).drop("place", "size")
 
@@ -155,7 +152,8 @@ def similar(a: str, b: str, least: float = 0.85) -> bool:
 def greedy_unique(questions: DataFrame, block: str, key: str, text: str) -> DataFrame:
     """(block, key, kept): within a block, in key order, a question is dropped if it is like one that was kept before.
 
-    Order decides, and likeness isn't transitive, so a block is one sequential fold; blocks are single source documents.
+    Order decides, and likeness isn't transitive, so a block is one sequential fold and can't be split. Equal texts are
+    reduced to their first before, so what one task holds are the different questions about one source document.
     """
     ship(questions.sparkSession)
     kinds = dict(questions.dtypes)
@@ -170,7 +168,9 @@ def greedy_unique(questions: DataFrame, block: str, key: str, text: str) -> Data
                 kept.append(value)
         return pd.DataFrame({block: frame[block], key: frame[key], "kept": flags})
 
-    return questions.select(block, key, text).groupBy(block).applyInPandas(fold, f"{block} {kinds[block]}, {key} {kinds[key]}, kept boolean")
+    first = questions.groupBy(block, F.lower(F.trim(F.coalesce(text, F.lit("")))).alias("_t")).agg(F.min(F.struct(F.col(key), F.coalesce(text, F.lit("")).alias(text))).alias("_f"))
+    folded = first.select(block, "_f.*").groupBy(block).applyInPandas(fold, f"{block} {kinds[block]}, {key} {kinds[key]}, kept boolean")
+    return questions.select(block, key).join(folded, [block, key], "left").select(block, key, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def excerpt_found(excerpt: Column, document: Column, window: int = 15, step: int = 7) -> Column:

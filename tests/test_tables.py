@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from folioforge.operators import accounting, snapshots, testsets, traces
-from folioforge.operators.ordering import numbered
+from folioforge.operators.ordering import numbered, running
 from folioforge.sources import files
 from folioforge.sources.vectors import Collection
 from folioforge.streaming import accounting as streams
@@ -16,6 +16,18 @@ def test_numbers_run_without_gaps(spark):
     assert [r["n"] for r in numbered(frame, ["k"], "n").orderBy("k").collect()] == list(range(1000))
 
 
+def test_running_sums_within_groups(spark):
+    rows = [("a" if k % 3 else None, k, k % 5) for k in range(500)]
+    frame = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    sums: dict = {}
+    wanted = {}
+    for g, k, v in rows:
+        sums[g] = sums.get(g, 0) + v
+        wanted[k] = sums[g]
+    assert {r["k"]: r["s"] for r in running(frame, ["g"], ["k"], F.col("v"), "s").collect()} == wanted
+    assert {r["k"]: r["n"] for r in numbered(frame, ["k"], "n", ["g"]).collect()} == {k: sum(1 for h, j, _ in rows if h == g and j < k) for g, k, _ in rows}
+
+
 def test_largest_remainder_adds_up(spark):
     frame = spark.createDataFrame([("s", "a", 1, 10), ("s", "b", 1, 10), ("s", "c", 1, 10), ("z", "a", 0, 5), ("z", "b", 0, 5)], "s string, t string, w int, total int")
     got = {(r["s"], r["t"]): r["allotted"] for r in testsets.largest_remainder(frame, "s", "t", "w", "total").collect()}
@@ -83,15 +95,15 @@ def test_documents_prefer_pages(spark, tmp_path):
 
 def test_parser_errors_are_rows(spark, tmp_path):
     (tmp_path / "good.bin").write_bytes(b"ok")
-    (tmp_path / "bad.bin").write_bytes(b"")
+    (tmp_path / "bad.bin").write_bytes(b"bad")
 
     def parser(path, content):
-        if not content:
-            raise ValueError("empty")
+        if content == b"bad":
+            raise ValueError("broken")
         return [{"page_number": 1, "text": content.decode()}]
 
     found = files.parsed(spark, str(tmp_path), "*.bin", parser, "path string, error string, page_number int, text string").collect()
-    assert sorted((r["text"] or "", r["error"] or "") for r in found) == [("", "ValueError: empty"), ("ok", "")]
+    assert sorted((r["text"] or "", r["error"] or "") for r in found) == [("", "ValueError: broken"), ("ok", "")]
 
 
 def test_chunk_lines_keep_corrupt_ones(spark, tmp_path):
