@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import text as X
+from folioforge.runtime import ship
 
 PAGES = T.ArrayType(T.StructType([T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]))
 CHUNK = T.StructType([
@@ -72,20 +73,24 @@ def parsed(spark: SparkSession, folder: str, pattern: str, parser, schema: str)
 
     A file that fails gives one row with its error, so the schema needs path and error.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(spark)
+    fields = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches):
-        for frame in batches:
+        for batch in batches:
             rows: list[dict] = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 try:
                     rows += [{"path": path, "error": None, **page} for page in parser(path, content)]
                 except Exception as error:  # noqa: BLE001
                     rows.append({"path": path, "error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in schema.split(",")])
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def within(frame: DataFrame, sources: DataFrame, column: str = "source_path") -> DataFrame:
