@@ -166,7 +166,8 @@ def language(text: str) -> tuple[frozenset[str], int]:
 
     More than one candidate means that nothing tells them apart; a text without letters has none.
     """
-    kana, han, latin = len(_KANA.findall(text)), len(_HAN.findall(text)), len(_LATIN.findall(text))
+    plain = text.isascii()
+    kana, han, latin = 0 if plain else len(_KANA.findall(text)), 0 if plain else len(_HAN.findall(text)), len(_LATIN.findall(text))
     wide = 3 * (kana + han)
     if wide + latin == 0:
         return frozenset(), 0
@@ -244,7 +245,7 @@ def refuses(answer: str) -> bool:
         clauses = [c.strip() for c in re.split(r"[，,、；;]|(?<=ありません)が", bare) if c.strip()]
         if any(_INABLE[k].search(bare) and _ABOUT[k].search(bare) for k in langs) and not _gives(bare):
             declined = True
-        elif all(any(p.search(c) for p in _POLITE.values()) for c in clauses) or any(p.search(bare) for p in _POLITE.values()) and len(clauses) < 2:
+        elif all(any(_POLITE[k].search(c) for k in langs) for c in clauses):
             continue
         else:
             return False

@@ -24,6 +24,8 @@ from folioforge.runtime import ship, spread
 LANGUAGES = ("zh", "en", "ja", "de", "fr", "es", "pt")
 #: Labelled documents a language that profiles are trained on.
 SAMPLE_DOCUMENTS = 400
+#: Texts that training holds n-grams of at once.
+TRAIN_TEXTS = 200
 #: n-grams in a profile; also the penalty of one that it lacks.
 PROFILE = 1500
 #: Letters that make up a sentence worth counting: Latin letters, or Han characters and kana.
@@ -115,7 +117,9 @@ class Units:
         one, two = np.append(0, narrow[:-1]).astype(np.uint64), np.append([0, 0], narrow[:-2]).astype(np.uint64)[: len(narrow)]
         gram = (two * np.uint64(0x9E3779B1) + one * np.uint64(0x85EBCA77) + narrow * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
         gram = np.where(is_wide, c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), gram) >> np.uint64(64 - _GRAM_BITS)
-        used = is_wide | ((one > 0) & ((narrow > 0) | (two > 0)))
+        # Names in the script that a sentence isn't mainly written in say nothing about its language.
+        mainly_wide = (3 * self.wide > self.latin)[unit]
+        used = (is_wide & mainly_wide) | (~is_wide & ~mainly_wide & (one > 0) & ((narrow > 0) | (two > 0)))
         key = np.sort((unit[used].astype(np.int64) << _GRAM_BITS) | gram[used].astype(np.int64))
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
         count = np.diff(np.append(new, len(key)))
@@ -140,32 +144,41 @@ class Units:
             return out
         begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         width = np.diff(np.append(begin, len(unit)))
-        own = ranks[gram]
         for k in range(ranks.shape[1]):
-            place = own[:, k]
+            place = ranks[gram, k].astype(np.int32)
             off = np.where(place < PROFILE, np.minimum(np.abs(place - rank), PROFILE), PROFILE)
             out[unit[begin], k] = np.add.reduceat(off, begin) / (width * PROFILE)
         return out
 
 
 def train(texts: list[str], labels: list[str]) -> np.ndarray:
-    """Ranks of every n-gram in every language's profile; PROFILE where it has none."""
-    units = Units(texts)
+    """Ranks of every n-gram in every language's profile; PROFILE where it has none.
+
+    Trained twice: the second time without sentences whose nearest profile isn't that of their label.
+    """
     language = np.array([LANGUAGES.index(x) for x in labels], dtype=np.int64)
-    of_unit = language[units.text] if len(texts) else np.zeros(0, int)
-    ranks = _profiles(units, of_unit)
-    distance = units.distances(ranks)
-    agrees = (distance.argmin(axis=1) == of_unit) & (units.latin + 3 * units.wide >= LEAST_LATIN)
-    return _profiles(units, np.where(agrees, of_unit, -1))
+    ranks = None
+    for _ in range(2):
+        counts = np.zeros((len(LANGUAGES), 1 << _GRAM_BITS), dtype=np.int32)
+        for k in range(0, len(texts), TRAIN_TEXTS):
+            units = Units(texts[k : k + TRAIN_TEXTS])
+            of_unit = language[k : k + TRAIN_TEXTS][units.text]
+            if ranks is not None:
+                agrees = (units.distances(ranks).argmin(axis=1) == of_unit) & (units.latin + 3 * units.wide >= LEAST_LATIN)
+                of_unit = np.where(agrees, of_unit, -1)
+            owner = of_unit[units.unit]
+            for lang in range(len(LANGUAGES)):
+                own = owner == lang
+                np.add.at(counts[lang], units.gram[own], units.count[own])
+        ranks = _profiles(counts)
+    return ranks
 
 
-def _profiles(units: Units, of_unit: np.ndarray) -> np.ndarray:
-    ranks = np.full((1 << _GRAM_BITS, len(LANGUAGES)), PROFILE, dtype=np.int32)
-    for k in range(len(LANGUAGES)):
-        own = of_unit[units.unit] == k
-        counts = np.bincount(units.gram[own], weights=units.count[own], minlength=1 << _GRAM_BITS)
-        top = np.argsort(-counts, kind="stable")[:PROFILE]
-        top = top[counts[top] > 0]
+def _profiles(counts: np.ndarray) -> np.ndarray:
+    ranks = np.full((1 << _GRAM_BITS, len(LANGUAGES)), PROFILE, dtype=np.int16)
+    for k, own in enumerate(counts):
+        seen = np.flatnonzero(own)
+        top = seen[np.argsort(-own[seen], kind="stable")[:PROFILE]]
         ranks[top, k] = np.arange(len(top))
     return ranks
 
@@ -196,7 +209,8 @@ def judge(texts: list[str], ranks: np.ndarray) -> tuple[Units, np.ndarray, np.nd
     clear = (weight > 0) & (lead >= LEAST_MARGIN)
     mass = np.bincount(units.text * m + language, weights=np.where(clear, weight * np.minimum(lead * 10, 1), 0) + 1e-6 * (weight > 0), minlength=n * m).reshape(n, m)
     main = np.where(mass.sum(axis=1) > 0, mass.argmax(axis=1), -1)
-    worth = (units.latin >= LEAST_LATIN) | (units.wide >= LEAST_WIDE)
+    various = np.bincount(units.unit, minlength=len(units.start)) >= LEAST_WIDE - 1
+    worth = ((units.latin >= LEAST_LATIN) | (units.wide >= LEAST_WIDE)) & various
     follows = ~(worth & clear)
     language = np.where(weight == 0, -1, np.where(follows, main[units.text], language))
     full = worth & clear & units.stopped & ~units.marked
@@ -213,10 +227,10 @@ def judge(texts: list[str], ranks: np.ndarray) -> tuple[Units, np.ndarray, np.nd
 def _run(documents: DataFrame, rows, schema: str) -> DataFrame:
     """Map over (doc_id, text) with the profiles broadcast; their size is fixed."""
     spark = ship(documents.sparkSession)
-    ranks = spark.sparkContext.broadcast(np.minimum(trained_on(documents), PROFILE).astype(np.int16))
+    ranks = spark.sparkContext.broadcast(trained_on(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value.astype(np.int32)
+        table = ranks.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
