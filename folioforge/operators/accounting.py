@@ -59,3 +59,12 @@ def day_numbers(records: DataFrame, key: str, at: str, prefix: str) -> DataFrame
     """Ids of the form prefix_yyyymmdd_nnn, numbered within each day by time, then key."""
     dated = numbered(records.select(key, at, F.to_date(at).alias("_day")), [at, key], "_n", ["_day"])
     return dated.select(key, F.format_string(f"{prefix}_%s_%03d", F.date_format(at, "yyyyMMdd"), F.col("_n") + 1).alias("day_id"))
+
+
+def length_stats(documents: DataFrame, text: str, by: str, limit: int = 512) -> DataFrame:
+    """Estimated tokens (a quarter of the characters, at least one) of each group: least, most, mean, and share over a limit."""
+    tokens = F.greatest(F.lit(1), F.floor(F.length(text) / 4))
+    return documents.where(F.col(text).isNotNull()).groupBy(by).agg(
+        F.count("*").alias("n"), F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.round(F.avg(tokens), 4).alias("mean_tokens"),
+        F.round(F.avg((tokens > limit).cast("double")), 6).alias("share_over"),
+    )

@@ -76,6 +76,18 @@ def equivalence_groups(files: DataFrame, path: str) -> DataFrame:
     return files.groupBy(key.alias("group_key")).agg(F.array_sort(F.collect_set(path)).alias("members")).where(F.size("members") > 1)
 
 
+def canonical(lists: DataFrame, key: str, column: str, groups: DataFrame) -> DataFrame:
+    """(key, column): arrays of paths with each member of an equivalence group replaced by its group's key, in place.
+
+    A path in several groups takes the first key. Groups of one folder are few; the lists are exploded, not collected.
+    """
+    member = groups.select("group_key", F.explode("members").alias("_path")).groupBy("_path").agg(F.min("group_key").alias("_group"))
+    places = lists.select(key, F.posexplode_outer(F.col(column)).alias("_k", "_path"))
+    named = places.join(member, "_path", "left").select(key, "_k", F.coalesce("_group", "_path").alias("_p"))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_p"))))
+    return named.groupBy(key).agg(F.transform(ordered, lambda x: x["_p"]).alias(column))
+
+
 def plan(wanted: DataFrame, done: DataFrame, name: str, hashed: str) -> DataFrame:
     """run, reuse or confirm for each variant: new, done with the same hash, done with another."""
     both = wanted.join(done.select(name, F.col(hashed).alias("_done"), "completed"), name, "left")

@@ -179,3 +179,30 @@ def excerpt_found(excerpt: Column, document: Column, window: int = 15, step: int
     starts = F.sequence(F.lit(1), F.greatest(F.length(a) - window + 1, F.lit(1)), F.lit(step))
     part = F.exists(starts, lambda k: b.contains(F.substring(a, k, F.lit(window))))
     return F.when(F.length(a) == 0, False).otherwise(b.contains(a) | ((F.length(a) >= window) & part))
+
+
+def stratified(frame: DataFrame, by: str, size: str, key: str, n: int) -> DataFrame:
+    """n rows of each third of each group by size: the first in the order of a hash of the key."""
+    ranked = numbered(frame, [size, key], "_place", [by]).join(frame.groupBy(by).agg(F.count("*").alias("_size")), by)
+    each, more = F.floor(F.col("_size") / 3), F.col("_size") % 3
+    larger = more * (each + 1)
+    third = F.when(F.col("_place") < larger, F.floor(F.col("_place") / (each + 1))).otherwise(more + F.floor((F.col("_place") - larger) / F.greatest(each, F.lit(1)))) + 1
+    order = Window.partitionBy(by, "third").orderBy(F.md5(F.col(key).cast("string")), key)
+    chosen = ranked.withColumn("third", third.cast("int")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+    return chosen.select(*frame.columns, "third")
+
+
+def quality(questions: DataFrame, genuine: Column) -> DataFrame:
+    """Of each test set: questions, share of genuine ones, of verified excerpts and of answered ones, kinds of questions."""
+    share = lambda c: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), 4)
+    return questions.groupBy("test_set").agg(
+        F.count("*").alias("n"), share(genuine).alias("authenticity_rate"), share(F.col("metadata.excerpt_verified")).alias("excerpt_rate"),
+        share(F.col("answer").isNotNull()).alias("answer_rate"), F.count_distinct("question_type").alias("question_types"),
+    )
+
+
+def positional_overlap(a: Column, b: Column) -> Column:
+    """Share of places at which two texts have the same character, over the length of the shorter; 0 if one is empty."""
+    shorter = F.least(F.length(a), F.length(b))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda k: F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))))
+    return F.when(F.coalesce(shorter, F.lit(0)) == 0, 0.0).otherwise(same / F.greatest(shorter, F.lit(1)))

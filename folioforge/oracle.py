@@ -343,6 +343,26 @@ def oracle_sql() -> dict[str, str]:
         "short_answers": f"""WITH a AS (SELECT result_id, answer, substr(answer, 1, 60) AS h FROM {_R} WHERE answer IS NOT NULL),
             b AS (SELECT *, length(h) - instr(reverse(h), '。') + 1 AS last, instr(reverse(h), '。') AS p FROM a)
             SELECT result_id, CASE WHEN length(answer) <= 60 THEN answer WHEN p > 0 AND last > 30 THEN substr(h, 1, last) ELSE h END AS short_answer FROM b""",
+        "document_keywords": f"""WITH docs AS (SELECT doc_id, {_terms('text')} AS terms FROM documents), stats AS (SELECT count(*) AS n FROM docs),
+            post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM docs) GROUP BY ALL), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+            w AS (SELECT doc_id, term, round(tf * ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS weight FROM post JOIN freq USING (term), stats)
+            SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM w) WHERE rank <= 5""",
+        "length_stats": """SELECT doc_kind, count(*) AS n, min(t) AS least, max(t) AS most, round(avg(t), 4) AS mean_tokens, round(avg(CASE WHEN t > 512 THEN 1.0 ELSE 0.0 END), 6) AS share_over
+            FROM (SELECT doc_kind, greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS t FROM documents WHERE text IS NOT NULL) GROUP BY doc_kind""",
+        "stratified_sample": f"""WITH s AS (SELECT coalesce(metadata.format, '?') AS format, load_id, CAST(coalesce(length(content), 0) AS INTEGER) AS n_chars FROM {_L}),
+            t AS (SELECT *, CAST(ntile(3) OVER (PARTITION BY format ORDER BY n_chars, load_id) AS INTEGER) AS third FROM s)
+            SELECT format, load_id, n_chars, third FROM (SELECT *, row_number() OVER (PARTITION BY format, third ORDER BY md5(load_id), load_id) AS k FROM t) WHERE k <= 4""",
+        "testset_quality": f"""SELECT test_set, count(*) AS n, round(avg(CASE WHEN {" OR ".join([f"contains(question, '{p}')" for p in _ACADEMIC] + [f"starts_with(question, '{p}')" for p in _STARTS])} OR length(question) > 100 THEN 0.0 ELSE 1.0 END), 4) AS authenticity_rate,
+            round(avg(CASE WHEN metadata.excerpt_verified THEN 1.0 ELSE 0.0 END), 4) AS excerpt_rate, round(avg(CASE WHEN answer IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS answer_rate, count(DISTINCT question_type) AS question_types
+            FROM {_Q} GROUP BY test_set""",
+        "answer_positions": f"""WITH {_PAIRS} SELECT result_id, CASE WHEN least(length(answer), length(truth)) = 0 THEN 0.0 ELSE round(len([i for i in range(1, least(length(answer), length(truth)) + 1)
+            if substr(answer, i, 1) = substr(truth, i, 1)])::DOUBLE / least(length(answer), length(truth)), 6) END AS overlap FROM pairs WHERE answer IS NOT NULL AND truth IS NOT NULL""",
+        "equivalent_hits": rf"""WITH m AS (SELECT min(regexp_extract(replace(source_path, '\', '/'), '^(.*_\d{{4}})_', 1)) AS g, replace(source_path, '\', '/') AS p FROM {_L} GROUP BY 2),
+            x AS (SELECT id, [replace(p, '\', '/') for p in source_files] AS f FROM {_Q}),
+            n AS (SELECT id, [coalesce(list_extract(map_extract(d, p), 1), p) for p in f] AS e FROM x, (SELECT map(list(p), list(g)) AS d FROM m)),
+            y AS (SELECT id, e, list_reverse(e) AS g FROM n)
+            SELECT id, CAST(len(e) AS INTEGER) AS n_expected, CASE WHEN len(e) = 0 THEN 0.0 ELSE round({_NDCG.format(kept="list_filter(g[1:5], lambda v, n: list_position(g[1:5], v) = n)")}, 6) END AS ndcg,
+                CAST(len(list_intersect(g[1:1], e)) > 0 AS DOUBLE) AS hit_1 FROM y""",
         "case_lookup": f"""WITH q AS (SELECT id, question FROM {_Q} WHERE question IS NOT NULL), c AS (SELECT id AS case_id, substr(question, 1, 30) AS preview FROM q WHERE {_number('id')} % 3 = 0)
             SELECT id, min(case_id) AS case_id FROM q JOIN c ON length(preview) >= 8 AND starts_with(question, preview) GROUP BY id""",
     }

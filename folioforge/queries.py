@@ -638,3 +638,41 @@ def quote_matches(spark, folder):
 def chunk_neighbours(spark, folder):
     chunks = chunking.fixed_chunks(read_table(spark, folder, "documents"), "doc_id", "text", 64, 16).select("doc_id", "chunk_index", "chunk_id")
     return validation.neighbours(chunks, "doc_id", "chunk_index", "chunk_id")
+
+
+@_query
+def document_keywords(spark, folder):
+    return search.keywords(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query
+def length_stats(spark, folder):
+    return accounting.length_stats(read_table(spark, folder, "documents"), "text", "doc_kind")
+
+
+@_query
+def stratified_sample(spark, folder):
+    sized = _loaded(spark, folder).select(F.coalesce("metadata.format", F.lit("?")).alias("format"), "load_id", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars"))
+    return testsets.stratified(sized, "format", "n_chars", "load_id", 4)
+
+
+@_query
+def testset_quality(spark, folder):
+    return testsets.quality(_questions(spark, folder), F.size(validation.authenticity_issues(F.col("question"))) == 0)
+
+
+@_query
+def answer_positions(spark, folder):
+    return _pairs(spark, folder).where("answer is not null and truth is not null").select("result_id", F.round(testsets.positional_overlap(F.col("answer"), F.col("truth")), 6).alias("overlap"))
+
+
+@_query
+def equivalent_hits(spark, folder):
+    """Hits of questions where files of one folder and year stand for each other."""
+    questions = _questions(spark, folder)
+    year = F.regexp_extract(F.translate("source_path", "\\", "/"), r"^(.*_\d{4})_", 1)
+    groups = _loaded(spark, folder).groupBy(year.alias("group_key")).agg(F.array_sort(F.collect_set(F.translate("source_path", "\\", "/"))).alias("members"))
+    posix = lambda c: F.transform(c, lambda p: F.translate(p, "\\", "/"))
+    expected = snapshots.canonical(questions.select("id", posix("source_files").alias("e")), "id", "e", groups)
+    retrieved = snapshots.canonical(questions.select("id", posix(F.reverse("source_files")).alias("g")), "id", "g", groups)
+    return expected.join(retrieved, "id").select("id", F.size("e").alias("n_expected"), F.round(M.ndcg(F.col("g"), F.col("e")), 6).alias("ndcg"), M.hit_rate(F.col("g"), F.col("e"), 1).alias("hit_1"))

@@ -70,3 +70,42 @@ class Collection:
     def info(self) -> dict | None:
         """Number of points and status, or None."""
         return {"points": self.count(), "version": self.version(), "status": "ready"} if self.version() else None
+
+
+class KeyedTable(Collection):
+    """A small table by key in versions: sessions, experiences, pointers from names to folders."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, schema: str) -> None:
+        super().__init__(spark, folder)
+        self.key, self.schema = key, schema
+
+    def put(self, rows: list[tuple]) -> int:
+        """Add rows; those with a known key replace it."""
+        new = self.spark.createDataFrame(rows, self.schema)
+        now = self.read()
+        return self._write(new if now is None else now.join(new, self.key, "left_anti").select(*new.columns).unionByName(new))
+
+    def get(self, key):
+        """The row of a key, or None."""
+        now = self.read()
+        return None if now is None else now.where(F.col(self.key) == key).first()
+
+    def remove(self, key) -> int:
+        """Drop the row of a key."""
+        now = self.read()
+        return self.version() if now is None else self._write(now.where(~F.col(self.key).eqNullSafe(key)))
+
+
+class Pointers(KeyedTable):
+    """Names that stand for folders; a name whose folder is gone resolves to None."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        super().__init__(spark, folder, "name", "name string, path string")
+
+    def resolve(self, name: str) -> str | None:
+        """The folder of a name if it exists."""
+        row = self.get(name)
+        if row is None:
+            return None
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+        return row["path"] if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path) else None

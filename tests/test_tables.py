@@ -150,3 +150,23 @@ def test_stream_keeps_newest(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out/b1")).collect()) == ["r4", "r5"]
+
+
+def test_keyed_table_and_pointers(spark, tmp_path):
+    from folioforge.sources.vectors import KeyedTable, Pointers
+
+    sessions = KeyedTable(spark, str(tmp_path / "s"), "id", "id string, note string")
+    assert sessions.get("a") is None
+    sessions.put([("a", "one"), ("b", "two")])
+    sessions.put([("a", "three")])
+    assert sessions.get("a")["note"] == "three" and sessions.read().count() == 2
+    sessions.remove("a")
+    assert sessions.get("a") is None
+    pointers = Pointers(spark, str(tmp_path / "p"))
+    pointers.put([("here", str(tmp_path)), ("gone", str(tmp_path / "nowhere"))])
+    assert pointers.resolve("here") == str(tmp_path) and pointers.resolve("gone") is None and pointers.resolve("never") is None
+
+
+def test_positional_overlap(spark):
+    frame = spark.createDataFrame([("abc", "abd"), ("", "a"), ("ab", "abcd")], "a string, b string")
+    assert [round(r[0], 3) for r in frame.select(testsets.positional_overlap(F.col("a"), F.col("b"))).collect()] == [0.667, 0.0, 1.0]
