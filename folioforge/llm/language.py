@@ -270,8 +270,7 @@ def language_segments(documents: DataFrame) -> DataFrame:
         length = units.end[some[until]] - units.text_start[own] - start
         length = np.minimum(length, np.array([len(texts[k]) for k in own], dtype=np.int64) - start)
         number = np.arange(len(begin)) - np.repeat(np.flatnonzero(np.append(True, own[1:] != own[:-1])), np.diff(np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)))) if len(own) else own
-        ids = batch["doc_id"].to_numpy()
-        columns = [pa.array(ids[own]), pa.array(number.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array([LANGUAGES[x] for x in lang[begin]], pa.string()), pa.array(np.round(sure, 6))]
+        columns = [batch["doc_id"].take(pa.array(own)), pa.array(number.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array([LANGUAGES[x] for x in lang[begin]], pa.string()), pa.array(np.round(sure, 6))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "segment", "start", "length", "lang", "confidence"])
 
     return _run(documents, rows, "doc_id long, segment int, start int, length int, lang string, confidence double")
