@@ -66,6 +66,8 @@ def unmatched(text: str) -> bool:
 def ending(answer: str) -> tuple[str, str]:
     """(state, stem): ``closed``, ``open``, or ``ask`` when only the text before the end can tell; stem is that text.
 
+    ``ask-dots`` is that with dots at the end, ``ask-clause`` with a clause before it.
+
     Forms are read before marks: JSON must parse, code fences, emphasis, brackets and quotations must close, a table row must
     have the cells of the row before it. Marks that follow a complete answer (citations, page references, symbols, rules) are
     taken off first.
@@ -107,7 +109,7 @@ def ending(answer: str) -> tuple[str, str]:
         return "closed", stem
     if end in CLOSERS and len(stem) > 1 and not dots:
         return ("closed" if stem[-2] in TERMINAL else "ask"), stem[:-1] if stem[-2] not in TERMINAL else stem
-    return ("ask-dots" if dots else "ask"), stem
+    return ("ask-dots" if dots else "ask-clause" if re.search("[，,;；、]", stem) else "ask"), stem
 
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, ORDERS[-1] + 1)], dtype=np.uint64)
@@ -227,7 +229,9 @@ def copies(question: str, answer: str) -> bool:
         return False
     rest = a.replace(q, "")
     if rest != a:
-        return len(rest) <= 1 or bool(re.fullmatch(W.LABELS, rest, re.I)) or len(rest) <= 0.1 * len(q)
+        # Whatever stands before a colon and the question, with nothing after it, only introduces the question.
+        introduced = a.endswith(q) and bool(re.match(r"^[^:：]{1,40}[:：]", answer)) and len(rest) <= 20
+        return len(rest) <= 1 or introduced or bool(re.fullmatch(W.LABELS.replace(" ", ""), rest, re.I)) or len(rest) <= 0.1 * len(q)
     plain = _bare(_LABEL.sub("", visual_form(answer), count=1))
     return len(plain) >= 0.6 * len(q) and plain in q
 
