@@ -258,4 +258,4 @@ def refuses(answer: str) -> bool:
 
 def _gives(sentence: str) -> bool:
     """A sentence that declines one thing and goes on to give another."""
-    return bool(re.search(r"但可以|但是?可|不过|yet |but (?:the|here|we can)|however|jedoch|toutefois|sin embargo|no entanto|ただし|以下|following|folgend|suivant|siguiente|seguinte", sentence, re.I))
+    return bool(re.search(r"但可以|但是?可|不过|yet |but (?:here (?:is|are)|we can|i can\b(?!'t|not))|however|jedoch|toutefois|sin embargo|no entanto|ただし|以下|following|folgend|suivant|siguiente|seguinte", sentence, re.I))
