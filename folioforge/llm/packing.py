@@ -2,7 +2,8 @@
 
 Documents are spread over buckets of bounded size by a hash of their id; each bucket is packed by itself. Within a bucket,
 documents come in descending size, and each goes to the container with the lowest estimated cost (linear plus quadratic
-attention cost) among those with room, so that containers end up both full and equally costly.
+attention cost) among those with room, so that containers end up equally costly. Where that leaves too much unused space, the
+large documents are set tightly and only the others go by cost.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from folioforge.runtime import cut, ship
 BUCKET_DOCUMENTS = 20_000
 #: Cost of a document of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1.0 / 4096
+#: Documents above this share of the capacity go to the container with the least room that suffices: spread by cost, they
+#: would leave gaps in many containers that no later document fits into.
+TIGHT = 1.0 / 8
+#: That is done where packing all by cost takes so many more containers than the tokens need.
+SLACK = 0.005
 
 
 class _Room:
@@ -66,13 +72,38 @@ class _Room:
             return None
         while where < self.width:
             where = 2 * where if best[2 * where] == top else 2 * where + 1
-        free = where - self.width
-        heapq.heappop(self.heaps[free])
+        return self._pop(where - self.width)
+
+    def take_tight(self, need: int) -> tuple[float, int, int] | None:
+        """Remove and return (cost, container, free) of the container with the least room that suffices, or None."""
+        best, at = self.best, need + self.width
+        while best[at][1] < 0:
+            while at & 1:
+                at >>= 1
+            if at == 0:
+                return None
+            at += 1
+        while at < self.width:
+            at = 2 * at if best[2 * at][1] >= 0 else 2 * at + 1
+        return self._pop(at - self.width)
+
+    def _pop(self, free: int) -> tuple[float, int, int]:
+        cost, container = heapq.heappop(self.heaps[free])
         self._refresh(free)
-        return (*top, free)
+        return cost, container, free
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """The packing by cost; where that takes over SLACK more containers than the tokens need, the one with large items tight."""
+    needed = max(1, -(-int(sizes.sum()) // capacity))
+    by_cost = _pack(sizes, capacity, np.inf)
+    if max((r[3] for r in by_cost), default=0) + 1 <= needed * (1 + SLACK):
+        return by_cost
+    tight = _pack(sizes, capacity, TIGHT * capacity)
+    return min((by_cost, tight), key=lambda rows: max((r[3] for r in rows), default=0))
+
+
+def _pack(sizes: np.ndarray, capacity: int, tight_above: float) -> list[tuple[int, int, int, int, int]]:
     """(item, part, tokens, container, offset) for every item; only items beyond the capacity have more than one part.
 
     Such an item fills containers of its own; what is left of it is packed like any other. Items without tokens go to
@@ -95,7 +126,7 @@ def pack(sizes: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int
         if size == 0:
             out.append((item, part, 0, 0, 0))
             continue
-        taken = room.take(size)
+        taken = room.take_tight(size) if size > tight_above else room.take(size)
         if taken is None:
             taken, made = (0.0, made, capacity), made + 1
         cost, container, free = taken
