@@ -38,10 +38,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def spread(frame: DataFrame) -> DataFrame:
     """The frame over all cores, for work that costs far more than moving its rows.
 
-    Only an input with fewer splits than the cluster has cores is moved, so at scale this is the frame itself.
+    Only a scan with fewer splits than the cluster has cores is moved, so at scale this is the frame itself.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    splits = frame._jdf.queryExecution().toRdd().getNumPartitions()
+    execution = frame._jdf.queryExecution()
+    if execution.executedPlan().nodeName().startswith("Adaptive"):
+        return frame  # it is shuffled anyway; asking for its partitions would run it
+    splits = execution.toRdd().getNumPartitions()
     return frame if splits >= cores else frame.repartition(cores)
 
 
