@@ -24,6 +24,7 @@ _WORD = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]+(?!\w)")
 _FIRST_WORD = re.compile(r"(?:^|[\n.!?¿¡:\"“-])\s*([A-ZÀ-Ý][a-zà-öø-ÿœß]*)(?!\w)")
 _WIDE_RUN = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]{2,}")
 _NAME = re.compile(r"\b[A-ZÀ-Ý]\w+")
+_WORD_RUN, _NO_WORD = re.compile(r"[^\W_]+"), re.compile(r"[\W_]+")
 _HIRAGANA = re.compile("[ぁ-ゖ]")
 _CHINESE = frozenset(W.CHINESE_ONLY)
 _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿豈-﫿]"), re.compile("[ぁ-ゖァ-ヺー]"), re.compile("[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
@@ -40,6 +41,8 @@ def carries_nothing(answer: str | None) -> bool:
     """Null, blank, invisible, a placeholder, an empty container or a label without anything after it."""
     if answer is None:
         return True
+    if "<" not in answer and "`" not in answer and len(_WORD_RUN.sub("", answer)) + 24 < len(answer):
+        return False  # more letters and figures than any label or placeholder has
     text = visual_form(answer)
     text = re.sub(r"<[^<>]*>|```\w*", " ", text).strip().strip("\"'“”`*").strip()
     if text.lower().strip(".") in W.NOTHING or not any(c.isalnum() for c in text):
@@ -207,7 +210,7 @@ def requested_language(question: str) -> set[str]:
 
 
 def _bare(text: str) -> str:
-    return "".join(c for c in visual_form(text).casefold() if c.isalnum())
+    return _NO_WORD.sub("", visual_form(text).casefold())
 
 
 _PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
@@ -240,7 +243,10 @@ def refuses(answer: str) -> bool:
     """True if every sentence declines, says that nothing can be answered, or is a courtesy; and one declines."""
     declined = False
     text = _LABEL.sub("", visual_form(answer), count=1)
-    for sentence in _SPLIT.split(text):
+    while text:
+        # Sentence by sentence: most answers give something in their first.
+        sentence, *rest = _SPLIT.split(text, maxsplit=1)
+        text = rest[0] if rest else ""
         bare = sentence.strip().strip("。.!！?？;；*\"“”").strip()
         if not bare or not any(c.isalnum() for c in bare):
             continue
