@@ -61,9 +61,9 @@ def label_language():
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letter, wide, hidden): each code point's lower-case letter in its visual form, 0 for other characters; whether it is
-    Han or kana; and whether it is a combining mark or invisible."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letter, wide, hidden, space): each code point's lower-case letter in its visual form, 0 for other characters; whether it
+    is Han or kana; whether it is a combining mark or invisible; and whether it is white space of any kind or ends a text."""
     letter = np.zeros(0x110000, dtype=np.uint32)
     hidden = np.zeros(0x110000, dtype=bool)
     for code in range(0x10000):
@@ -83,22 +83,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         form = visual_form(chr(code))
         if len(form) == 1 and wide[ord(form)]:
             letter[code], wide[code] = ord(form), True
-    return letter, wide, hidden
+    space = np.zeros(0x110000, dtype=bool)
+    space[[code for code in range(0x10000) if chr(code).isspace() or unicodedata.category(chr(code)) == "Zs"]] = True
+    space[0] = True
+    return letter, wide, hidden, space
 
 
 class Units:
     """The sentences and lines of many texts, and their n-grams as (unit, n-gram, rank within the unit)."""
 
     def __init__(self, texts: list[str]) -> None:
-        letter, wide, hidden = _tables()
+        letter, wide, hidden, space = _tables()
         codes = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass") + b"\x00\x00\x00\x00", dtype=np.uint32)
         self.text_start = np.append(0, np.flatnonzero(codes == 0)[:-1] + 1)
         seen = np.flatnonzero(~hidden[codes])
         length, codes = len(codes), codes[seen]
         after = np.append(codes[1:], 0)
         stop = (codes == 0x3002) | (codes == 0xFF01) | (codes == 0xFF1F)
-        space_after = (after == 32) | (after == 10) | (after == 0) | (after == 13) | (after == 0x3000)
-        stop |= ((codes == 46) | (codes == 33) | (codes == 63)) & space_after
+        stop |= ((codes == 46) | (codes == 33) | (codes == 63)) & space[after]
         text_end = codes == 0
         ends = stop | (codes == 10) | text_end
         last = np.flatnonzero(ends)

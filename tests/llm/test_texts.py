@@ -208,6 +208,16 @@ def test_languages(spark):
     assert language.mislabelled(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gap", ["\t", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u2002", "\u2005", "\u2007", "\u2009", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000"])
+def test_sentences_end_before_every_white_space(gap):
+    ranks = language.train([text for _, text, _ in labelled()], [lang for _, _, lang in labelled()])
+    s = SENTENCES
+    plain, spaced = (f"{s['en']}{x}{s['en']}{x}{s['en']}\n{s['de']}{x}{s['de'][:-1]}!{x}{s['ja']}" for x in (" ", gap))
+    (a, a_langs, _, a_found), (b, b_langs, _, b_found) = (language.judge([t], ranks) for t in (plain, spaced))
+    assert b.start.tolist() == a.start.tolist() and b_langs.tolist() == a_langs.tolist()
+    assert list(b_found[0]) == list(a_found[0]) == ["en", "de"]
+
+
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judged = language.document_languages(documents).withColumn("named", language.label_language()(F.col("label")))
