@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,8 @@ def _blank(text: str) -> str:
 def fuzzy_find(quote: str | None, text: str | None, least: float = 0.85) -> tuple[bool, int | None, float]:
     """(found, position, similarity) of the part of a text most like a quote; white space counts as one blank.
 
-    An exact match wins. Else windows of the quote's length are compared, first a tenth of it apart, then one by one around
-    the best.
+    An exact match wins. Else windows of the quote's length are compared, a tenth of it apart, and one by one around each
+    that is alike enough.
     """
     if not quote or not text:
         return False, None, 0.0
@@ -72,16 +73,18 @@ def fuzzy_find(quote: str | None, text: str | None, least: float = 0.85) -> tupl
         matcher.set_seq1(_blank(text[start : start + size]))
         return matcher.ratio() if matcher.real_quick_ratio() > floor and matcher.quick_ratio() > floor else 0.0
 
-    best, at = 0.0, None
+    best, at, tried = 0.0, None, 0
     for start in range(0, max(len(text) - size, 0) + 1, step):
-        score = like(start, best)
+        score = like(start, min(best, math.nextafter(least, 0)))
         if score > best:
             best, at = score, start
-    if at is not None and best >= least:
-        for start in range(max(0, at - step), min(len(text) - size + 1, at + step)):
-            score = like(start, best)
-            if score > best:
-                best, at = score, start
+        if score >= least:
+            until = min(len(text) - size + 1, start + step)
+            for fine in range(max(tried, start - step), until):
+                score = like(fine, best)
+                if score > best:
+                    best, at = score, fine
+            tried = max(tried, until)
     return best >= least, at if best >= least else None, best
 
 

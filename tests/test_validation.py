@@ -36,6 +36,15 @@ def test_fuzzy_find():
     assert not validation.fuzzy_find("the quick brown fox", "something entirely different here")[0]
 
 
+def test_fuzzy_find_refines_around_each_window():
+    # The first place is on the coarse grid and nearly right; the second, off the grid, is right but for a blank.
+    quote = "the quick brown fox jumps over the lazy dog near the river bank"
+    near, right = quote.replace("lazy", "lamb"), quote.replace(" ", "\n", 1)
+    for shift in range(12):
+        text = near + "." * (30 + shift) + right + "." * 40
+        assert validation.fuzzy_find(quote, text) == (True, len(near) + 30 + shift, 1.0)
+
+
 def test_located_chunks(spark):
     chunks = spark.createDataFrame([("d", 1, "c1", "alpha beta gamma delta"), ("d", 1, "c2", "other text altogether"), ("d", 2, "c3", "alpha beta gamma delta")], "doc string, page_number int, chunk_id string, text string")
     quotes = spark.createDataFrame([("exact", "d", [1], "beta gamma"), ("none", "d", [1], "zzzzzzzzzz"), ("blank", "d", [2], None)], "id string, doc string, pages array<int>, quote string")
