@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 
 import numpy as np
+import xxhash
 import zstandard
 
 from folioforge.llm import wordlists as W
@@ -25,6 +27,8 @@ _FIRST_WORD = re.compile(r"(?:^|[\n.!?¿¡:\"“-])\s*([A-ZÀ-Ý][a-zà-öø-ÿ
 _WIDE_RUN = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]{2,}")
 _NAME = re.compile(r"\b[A-ZÀ-Ý]\w+")
 _WORD_RUN, _NO_WORD = re.compile(r"[^\W_]+"), re.compile(r"[\W_]+")
+_WIDE = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]")
+_FIGURES = re.compile(r"\d+")
 _HIRAGANA = re.compile("[ぁ-ゖ]")
 _CHINESE = frozenset(W.CHINESE_ONLY)
 _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿豈-﫿]"), re.compile("[ぁ-ゖァ-ヺー]"), re.compile("[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
@@ -33,21 +37,24 @@ _INABLE = {k: re.compile(v, re.I) for k, v in W.INABILITY.items()}
 _ABOUT = {k: re.compile(v, re.I) for k, v in W.ANSWERING.items()}
 _POLITE = {k: re.compile(v, re.I) for k, v in W.COURTESY.items()}
 _LABEL = re.compile(rf"^\W*{W.LABELS}\s*[:：]\s*", re.I)
+_ONLY_LABELS = re.compile(rf"^(?:\W*{W.LABELS}\s*[:：])*\W*$", re.I)
+#: A plain character that no label or placeholder has; where a text has one outside a tag, it carries something.
+_TELLS = re.compile("[" + "".join(c for c in map(chr, [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x3041, 0x3097), *range(0x4E00, 0xA000)]) if c not in W.LABELS and c not in "".join(W.NOTHING)) + "]")
 _NAMED = {k: re.compile(v, re.I) for k, v in W.LANGUAGE_NAMES.items()}
 _ASKS = re.compile(W.ASKS_FOR_LANGUAGE, re.I)
 
 
 def carries_nothing(answer: str | None) -> bool:
-    """Null, blank, invisible, a placeholder, an empty container or a label without anything after it."""
+    """Null, blank, invisible, a placeholder, an empty container or labels without anything after them."""
     if answer is None:
         return True
-    if "<" not in answer and "`" not in answer and len(_WORD_RUN.sub("", answer)) + 24 < len(answer):
-        return False  # more letters and figures than any label or placeholder has
+    if "<" not in answer and "`" not in answer and _TELLS.search(answer):
+        return False
     text = visual_form(answer)
     text = re.sub(r"<[^<>]*>|```\w*", " ", text).strip().strip("\"'“”`*").strip()
     if text.lower().strip(".") in W.NOTHING or not any(c.isalnum() for c in text):
         return True
-    return not any(c.isalnum() for c in _LABEL.sub("", text, count=1))
+    return bool(_ONLY_LABELS.match(text))
 
 
 def collapsed(text: str) -> str:
@@ -108,7 +115,8 @@ def ending(answer: str) -> tuple[str, str]:
     end = stem[-1]
     if end in "。！？!?":
         return "closed", stem
-    if end == "." and len(stem) > 1 and not stem[-2].isdigit() and not re.search(r"\b[A-ZÀ-Ý]\.$", stem):
+    # A point after a plain number may be a decimal point; after a word with figures (a reference) it is a full stop.
+    if end == "." and len(stem) > 1 and (not stem[-2].isdigit() or re.search(r"[A-Za-z]\d+\.$", stem)) and not re.search(r"\b[A-ZÀ-Ý]\.$", stem):
         return "closed", stem
     if end in CLOSERS and len(stem) > 1 and not dots:
         return ("closed" if stem[-2] in TERMINAL else "ask"), stem[:-1] if stem[-2] not in TERMINAL else stem
@@ -216,31 +224,91 @@ def _bare(text: str) -> str:
 _PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
 
 
-def copies(question: str, answer: str) -> bool:
-    """True if the answer says nothing beyond the question.
+def _compressed(text: str, given: str | None = None) -> int:
+    if given is None:
+        return len(_PLAIN.compress(text.encode()))
+    content = zstandard.ZstdCompressionDict(given.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=content, write_content_size=False, write_checksum=False).compress(text.encode()))
+
+
+#: What zstandard writes around the content of a short text.
+_FRAME = 9
+#: Where the share that is left parts copies from answers before any is seen; the search for a better place, in percent.
+COPY_SHARE, COPY_RANGE = 0.4, (15, 60)
 
-    The answer is compressed with its question as dictionary; only where that saves most of it does the exact check follow:
-    what is left of the answer without the question must be a label or nothing, or the answer is most of the question.
+
+def beyond_question(question: str, answer: str) -> tuple[float, bool]:
+    """(share, adds): the share of an answer that is left once its question is known, by compressing it with the question as
+    zstandard dictionary; and whether it goes on after the question, has a figure that the question lacks, or is much shorter.
+
+    Case, marks, white space and visual form don't count. An equal text leaves nothing, however short it is; one without
+    letters has no share below 1.
     """
     q, a = _bare(question), _bare(answer)
-    if len(q) < 4 or len(a) < 4:
-        return False
-    content = zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    given = len(zstandard.ZstdCompressor(level=3, dict_data=content, write_content_size=False, write_checksum=False).compress(a.encode()))
-    alone = len(_PLAIN.compress(a.encode()))
-    if given > 0.5 * alone + 14:
-        return False
-    rest = a.replace(q, "")
-    if rest != a:
-        # Whatever stands before a colon and the question, with nothing after it, only introduces the question.
-        introduced = a.endswith(q) and bool(re.match(r"^[^:：]{1,40}[:：]", answer)) and len(rest) <= 20
-        return len(rest) <= 1 or introduced or bool(re.fullmatch(W.LABELS.replace(" ", ""), rest, re.I)) or len(rest) <= 0.1 * len(q)
-    plain = _bare(_LABEL.sub("", visual_form(answer), count=1))
-    return len(plain) >= 0.6 * len(q) and plain in q
+    if not q or not a:
+        return 1.0, True
+    if q == a:
+        return 0.0, False
+    given = max(_compressed(a, q) - _FRAME, 0) / max(_compressed(a) - _FRAME, 1)
+    if given > COPY_RANGE[1] / 100:
+        return given, True
+    after = a.rpartition(q)[2] if q in a else ""
+    return given, len(a) < 0.6 * len(q) or len(after) > 1 or not set(_FIGURES.findall(a)) <= set(_FIGURES.findall(q))
+
+
+def copy_threshold(bins: np.ndarray, counts: np.ndarray) -> float:
+    """The share left that parts copies from other answers: the emptiest place between both, from counts by percent.
+
+    Few answers leave it near COPY_SHARE.
+    """
+    density = np.zeros(121)
+    np.add.at(density, np.clip(bins, 0, 120), counts)
+    width = np.arange(-8, 9)
+    smooth = np.convolve(density, np.exp(-(width**2) / 18.0) / np.exp(-(width**2) / 18.0).sum(), "same")
+    places = np.arange(*COPY_RANGE)
+    pull = 2.0 * ((places / 100 - COPY_SHARE) / 0.1) ** 2
+    return float(places[np.argmin(smooth[places] + pull)]) / 100 + 0.01
 
 
-def refuses(answer: str) -> bool:
-    """True if every sentence declines, says that nothing can be answered, or is a courtesy; and one declines."""
+class Phrases:
+    """Which words and pairs of wide characters declining answers have: a naive Bayes model counted over sampled answers."""
+
+    def __init__(self, counts, declining: int, other: int) -> None:
+        self.counts, self.declining, self.other = counts, declining, other
+
+    def score(self, text: str) -> float:
+        """Log odds that a sentence declines; what was never seen speaks a little against it."""
+        if not self.declining or not self.other:
+            return -1.0
+        total = PHRASE_PRIOR
+        for first, second in self.counts.of(phrase_hashes(text)):
+            if first + second == 0:
+                total += UNSEEN_PHRASE
+            else:
+                total += min(max(math.log((first + 0.2) / (self.declining + 1)) - math.log((second + 0.2) / (self.other + 1)), -4.0), 4.0)
+        return total
+
+
+#: Log odds that a sentence declines before its words are seen, and of a word or pair that the sample lacks.
+PHRASE_PRIOR, UNSEEN_PHRASE = -4.0, -0.7
+
+
+def phrase_hashes(text: str) -> list[int]:
+    """Hashes of the distinct words and pairs of wide characters of a text; figures are one kind of word."""
+    lowered = collapsed(text).lower()
+    found = {w if w.isascii() or not _WIDE.search(w) else "" for w in _WORD_RUN.findall(lowered)}
+    for run in _WIDE_RUN.findall(lowered):
+        found.update(run[k : k + 2] for k in range(len(run) - 1))
+    found.discard("")
+    return [xxhash.xxh3_64_intdigest(x) >> 1 for x in sorted(found)]
+
+
+def refuses(answer: str, phrases: Phrases | None = None) -> bool:
+    """True if every sentence declines, says that nothing can be answered, or is a courtesy; and one declines.
+
+    A sentence declines by the dictionaries, or where they don't know it and it has no figure, by the phrases of other
+    declining answers.
+    """
     declined = False
     text = _LABEL.sub("", visual_form(answer), count=1)
     while text:
@@ -257,6 +325,8 @@ def refuses(answer: str) -> bool:
             declined = True
         elif all(any(_POLITE[k].search(c) for k in langs) for c in clauses):
             continue
+        elif phrases is not None and not any(c.isdigit() for c in bare) and not _gives(bare) and phrases.score(bare) > 0:
+            declined = True
         else:
             return False
     return declined
