@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,32 +23,31 @@ _SPACE = re.compile(r"\s+")
 def line_form(line: str) -> str | None:
     """The form in which two lines are compared; None for blank lines, headings and table rows.
 
-    Visual form, without white space, each run of digits as one 0.
+    Visual form, without white space, then each run of digits as one 0.
     """
-    form = _SPACE.sub("", _NUMBER.sub("0", visual_form(line)))
+    form = _NUMBER.sub("0", _SPACE.sub("", visual_form(line)))
     return None if not form or form[0] in "#|" else form
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known: dict[str, int | None] = {}
-        numbers, hashes = [], []
+        known: dict[str, bytes | None] = {}
+        numbers, digests, offsets = [], [], [0]
         for content in batch["content"].to_pylist():
-            own_numbers, own_hashes = [], []
             for number, line in enumerate((content or "").split("\n"), 1):
-                h = known.get(line, 0)
-                if h == 0:
+                digest = known.get(line, b"")
+                if digest == b"":
                     form = line_form(line)
-                    h = known[line] = None if form is None else xxhash.xxh3_64_intdigest(form) - (1 << 63)
-                if h is not None:
-                    own_numbers.append(number)
-                    own_hashes.append(h)
-            numbers.append(own_numbers)
-            hashes.append(own_hashes)
-        yield pa.RecordBatch.from_arrays(
-            [batch["load_id"], batch["source"], pa.array(numbers, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-            ["load_id", "source", "line_nos", "hashes"],
-        )
+                    digest = known[line] = None if form is None else xxhash.xxh3_128_digest(form)
+                if digest is not None:
+                    numbers.append(number)
+                    digests.append(digest)
+            offsets.append(len(numbers))
+        # The 128 bits of a line's form as two numbers; no two forms share both.
+        halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        fields = [pa.array(numbers, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+        lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["line_no", "hash", "check"]))
+        yield pa.RecordBatch.from_arrays([batch["load_id"], batch["source"], lines], ["load_id", "source", "lines"])
 
 
 def source_of(name: Column | str) -> Column:
@@ -59,7 +59,7 @@ def hashed_lines(documents: DataFrame) -> DataFrame:
     """One row a document: source, line numbers and hashes of its countable lines; texts don't travel further."""
     ship(documents.sparkSession)
     named = spread(documents.select("load_id", "name", "content")).select("load_id", F.coalesce(source_of("name"), F.lit("")).alias("source"), "content")
-    hashed = named.mapInArrow(_hashed, "load_id string, source string, line_nos array<int>, hashes array<long>")
+    hashed = named.mapInArrow(_hashed, "load_id string, source string, lines array<struct<line_no:int,hash:long,check:long>>")
     return cut(hashed.dropDuplicates(["load_id"]))
 
 
@@ -71,11 +71,12 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """
     hashed = hashed_lines(documents)
     sizes = hashed.groupBy("source").agg(F.count("*").alias("documents"))
-    held = hashed.select("source", F.explode(F.array_distinct("hashes")).alias("hash"))
-    counts = held.groupBy("source", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    frequent = counts.join(sizes, "source").where(F.col("n") >= LEAST_SHARE * F.col("documents")).select("source", "hash")
-    places = hashed.select("load_id", "source", F.explode(F.arrays_zip("line_nos", "hashes")).alias("x"))
-    return places.select("load_id", "source", F.col("x.line_nos").alias("line_no"), F.col("x.hashes").alias("hash")).join(frequent, ["source", "hash"])
+    forms = F.array_distinct(F.transform("lines", lambda x: F.struct(x["hash"], x["check"])))
+    held = hashed.select("source", F.inline(forms).alias("hash", "check"))
+    counts = held.groupBy("source", "hash", "check").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    frequent = counts.join(sizes, "source").where(F.col("n") >= LEAST_SHARE * F.col("documents")).select("source", "hash", "check")
+    places = hashed.select("load_id", "source", F.inline("lines"))
+    return places.join(frequent, ["source", "hash", "check"]).select("load_id", "line_no", "source", "hash")
 
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
