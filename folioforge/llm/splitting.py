@@ -1,7 +1,7 @@
 """Cutting oversized texts at natural boundaries, with overlap (problem 3).
 
-Lexical cohesion: the similarity of character pairs in the blocks before and after each line and sentence end is low where
-the topic changes. Within the window in which a piece may end, the deepest valley of that curve is taken; where there is no
+Lexical cohesion: the similarity of the terms (words, pairs of wide characters) in the blocks before and after each line and
+sentence end is low where the topic changes. Within the window in which a piece may end, the deepest valley of that curve is taken; where there is no
 sentence end, the last word end; where there is none, the cut is forced.
 """
 
@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.ordering import numbered
 from folioforge.runtime import ship, spread
 
-#: Buckets of hashed character pairs, and units on either side of a boundary that are compared.
-BUCKETS, BLOCK = 64, 3
+#: Units on either side of a boundary that are compared.
+BLOCK = 8
 #: A piece is filled to at least this share of its size before a valley may end it.
 LEAST_FILL = 0.5
 _UNIT_END = re.compile(r"[.!?;](?=\s)\s*|[。！？；]+[”’」』）)]*\s*|\s*\n\s*")
@@ -26,24 +28,77 @@ _SPACE = re.compile(r"\s")
 _BREAK = re.compile(r"[\s.!?;。！？；]")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """(lower, wide): each code point's lower-case letter, 0 for other characters; and whether it is Han or kana."""
+    lower = np.zeros(0x110000, dtype=np.uint64)
+    for code in range(0x10000):
+        if chr(code).isalpha():
+            low = chr(code).lower()
+            lower[code] = ord(low) if len(low) == 1 else code
+    wide = np.zeros(0x110000, dtype=bool)
+    for low, high in ((0x3041, 0x3097), (0x30A1, 0x30FB), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000)):
+        wide[low:high] = True
+    return lower, wide
+
+
+def _terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the terms of a text: its words but single letters, and its pairs of Han characters or kana."""
+    lower, wide = _letters()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter, is_wide = lower[codes], wide[codes]
+    narrow = (letter > 0) & ~is_wide
+    first = np.flatnonzero(narrow & ~np.append(False, narrow[:-1]))
+    hashes = np.zeros(0, dtype=np.uint64)
+    if len(first):
+        inside = np.flatnonzero(narrow)
+        begin = np.searchsorted(inside, first)
+        length = np.diff(np.append(begin, len(inside)))
+        place = np.arange(len(inside)) - np.repeat(begin, length)
+        power = np.uint64(0x9E3779B97F4A7C15) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        hashes = np.add.reduceat(letter[inside] * power ^ (power >> np.uint64(7)), begin)
+        first, hashes = first[length > 1], hashes[length > 1]
+    both = np.flatnonzero(is_wide[:-1] & is_wide[1:])
+    pairs = (codes[both].astype(np.uint64) << np.uint64(32)) | codes[both + 1]
+    return np.concatenate([first, both]), np.concatenate([hashes, pairs])
+
+
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(places, depths) of line and sentence ends: how deep the valley of cohesion is there, between 0 and 2.
 
-    The depth of a place is how far the curve climbs on its left plus how far on its right.
+    Cohesion is the cosine of the terms of the BLOCK units before and after. A term of one unit says nothing, one that returns
+    says more, one of nearly all units less again. The depth of a place is how far the curve climbs on its left plus how far
+    on its right.
     """
     places = np.array([m.end() for m in _UNIT_END.finditer(text) if 0 < m.end() < len(text)], dtype=np.int64)
     if len(places) < 2:
         return places, np.zeros(len(places))
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    pairs = ((codes[:-1] * np.uint64(2654435761) + codes[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-    unit = np.searchsorted(places, np.arange(len(pairs)), side="right")
-    counts = np.bincount(unit * BUCKETS + pairs.astype(np.int64), minlength=(len(places) + 1) * BUCKETS).reshape(-1, BUCKETS)
-    summed = np.vstack([np.zeros(BUCKETS), np.cumsum(counts, axis=0)])
-    at = np.arange(1, len(places) + 1)
-    before = summed[at] - summed[np.maximum(at - BLOCK, 0)]
-    after = summed[np.minimum(at + BLOCK, len(places) + 1)] - summed[at]
-    norm = np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1)
-    curve = (before * after).sum(axis=1) / np.where(norm > 0, norm, 1)
+    at, hashes = _terms(text)
+    units = len(places) + 1
+    unit = np.searchsorted(places, at, side="right")
+    term, number = np.unique(hashes, return_inverse=True)
+    entry = np.unique(number.astype(np.int64) * units + unit)
+    of_term, of_unit = entry // units, entry % units
+    spread_over = np.bincount(of_term, minlength=len(term))[of_term]
+    weight = np.where(spread_over > 1, np.log(1 + spread_over) * (1 - spread_over / (2 * units)), 0)
+    # product[d][u]: that of unit u and unit u + d.
+    reach = 2 * BLOCK
+    product = np.zeros((reach, units + reach))
+    product[0, :units] = np.bincount(of_unit, weights=weight * weight, minlength=units)
+    for step in range(1, min(reach, len(entry))):
+        apart = of_unit[step:] - of_unit[:-step]
+        near = (of_term[step:] == of_term[:-step]) & (apart < reach)
+        np.add.at(product, (apart[near], of_unit[:-step][near]), (weight[step:] * weight[:-step])[near])
+    padded = np.pad(product, ((0, 0), (BLOCK, 0)))
+    middle = np.arange(1, len(places) + 1) + BLOCK
+    across, before, after = (np.zeros(len(places)) for _ in range(3))
+    for a in range(BLOCK):
+        for b in range(BLOCK):
+            across += padded[a + b + 1, middle - 1 - a]
+            before += padded[abs(a - b), middle - 1 - max(a, b)]
+            after += padded[abs(a - b), middle + min(a, b)]
+    norm = np.sqrt(before * after)
+    curve = across / np.where(norm > 0, norm, 1)
     return places, _climb(curve) + _climb(curve[::-1])[::-1] - 2 * curve
 
 
@@ -142,3 +197,31 @@ def oversized(documents: DataFrame, profiles: list[tuple[str, int, int]]) -> Dat
     limits = F.create_map(*(F.lit(x) for name, size, _ in profiles for x in (name, size)))
     pieces = split_corpus(documents, profiles, with_text=False).where("piece_no = 0 and pieces > 1")
     return pieces.select("load_id", "profile", (F.col("longest_run") > limits[F.col("profile")]).cast("int").alias("forced")).distinct()
+
+
+def seam_recall(documents: DataFrame, key: str, text: str, by: str, reach: int = 300, least: int = 600) -> DataFrame:
+    """(by, pairs, found, by_chance): how often the deepest valley within ``reach`` characters of a planted seam is the seam.
+
+    Documents of at least ``least`` characters are put together two by two within a group, by a hash of their key; the seam
+    is where the second begins. ``by_chance`` is what a place chosen blindly would find.
+    """
+    ship(documents.sparkSession)
+    long = documents.where((F.length(text) >= least) & F.col(by).isNotNull()).select(F.col(key).alias("_key"), F.col(by).alias("_by")).distinct()
+    placed = numbered(long.withColumn("_hash", F.xxhash64("_key")), ["_hash", "_key"], "_n", ["_by"]).select("_key", "_by", F.floor(F.col("_n") / 2).alias("_pair"), (F.col("_n") % 2).alias("_side"))
+    texts = placed.join(documents.select(F.col(key).alias("_key"), F.rtrim(text).alias("_text")).dropDuplicates(["_key"]), "_key")
+    sides = [texts.where(F.col("_side") == k).select("_by", "_pair", F.col("_text").alias(name)) for k, name in enumerate(("first", "second"))]
+    pairs = sides[0].join(sides[1], ["_by", "_pair"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, chance = [], []
+            for first, second in zip(batch["first"].to_pylist(), batch["second"].to_pylist(), strict=True):
+                seam = len(first) + 1
+                places, depths = boundaries(f"{first}\n{second}")
+                near = np.flatnonzero(np.abs(places - seam) <= reach)
+                found.append(bool(len(near)) and int(places[near[np.argmax(depths[near])]]) == seam)
+                chance.append(1 / max(len(near), 1))
+            yield pa.RecordBatch.from_arrays([batch["_by"], pa.array(found, pa.bool_()), pa.array(chance, pa.float64())], ["group", "found", "chance"])
+
+    rated = pairs.select("_by", "first", "second").mapInArrow(run, f"group {dict(pairs.dtypes)['_by']}, found boolean, chance double")
+    return rated.groupBy(F.col("group").alias(by)).agg(F.count("*").alias("pairs"), F.count_if("found").alias("found"), F.round(F.avg("chance"), 4).alias("by_chance"))
