@@ -1,9 +1,10 @@
 """One consistent form for texts that look the same (problem 1).
 
-``visual_form`` removes what a reader cannot see: width and code-block variants (compatibility decomposition, composed
+``visual_form`` is the key by which texts are compared; it removes what a reader cannot see: width and code-block variants (compatibility decomposition, composed
 again), the kind of a space, default-ignorable characters, joined letters and look-alike letters of other scripts. Raised,
 lowered, circled, squared and vertical characters keep their own form, because they look different. Letter case is kept by
-default; ``fold_case=True`` adds full case folding for comparisons that should ignore it.
+default; ``fold_case=True`` adds full case folding for comparisons that should ignore it. ``readable_form`` is the same text for
+readers: letters of another script stay, unless they stand in a Latin word.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     # Armenian and Cherokee
-    "Օ": "O", "օ": "o", "Ѕ": "S", "ո": "n", "ս": "u", "հ": "h", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H",
+    "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H",
     "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     # Latin letters outside the basic alphabet
     "ɑ": "a", "ɡ": "g",
@@ -103,16 +105,64 @@ def visual_form(text: str | None, fold_case: bool = False) -> str | None:
     return text.casefold() if fold_case else text
 
 
-@F.pandas_udf(T.StringType())
-def _visual(texts: pd.Series) -> pd.Series:
-    known: dict = {}
-    return pd.Series([known[t] if t in known else known.setdefault(t, visual_form(t)) for t in texts], dtype=object)
+class _Plain(dict):
+    """Character -> its form with look-alikes of other scripts left as they are."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        self[code] = form = char if char in LOOK_ALIKES else _plain(char)
+        return form
+
+
+def _plain(char: str) -> str:
+    parts = unicodedata.normalize("NFKD", char) if unicodedata.decomposition(char) and not unicodedata.decomposition(char).startswith(_KEEPS_LOOK) else char
+    return "".join(c if c in LOOK_ALIKES else _form(c) for c in parts)
+
+
+_PLAIN = _Plain()
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def readable_form(text: str | None) -> str | None:
+    """The consistent form for readers: composed, mapped spaces, without invisible characters; null stays null.
+
+    Look-alikes are letters of their own script (カタログ, Москва) unless their word has a Latin letter and no other one.
+    """
+    if text is None:
+        return None
+    text = unicodedata.normalize("NFC", _LINE_END.sub("\n", text).translate(_PLAIN))
+
+    def latin(word: re.Match) -> str:
+        parts = unicodedata.normalize("NFD", word[0])
+        letters = [c for c in parts if not unicodedata.combining(c)]
+        mixed = any(c in LOOK_ALIKES for c in letters) and any(c.isascii() for c in letters) and all(c.isascii() or c in LOOK_ALIKES or "LATIN" in unicodedata.name(c, "") for c in letters)
+        return unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c, c) for c in parts)) if mixed else word[0]
+
+    if _UNUSUAL.search(text):
+        text = _WORD.sub(latin, text)
+    return re.sub(" +(?=\n|$)", "", text)
 
 
-@F.pandas_udf(T.StringType())
-def _visual_folded(texts: pd.Series) -> pd.Series:
-    known: dict = {}
-    return pd.Series([known[t] if t in known else known.setdefault(t, visual_form(t, True)) for t in texts], dtype=object)
+def _per_value(function):
+    """A column function over the distinct values of a batch; each is mapped once, however often it occurs."""
+
+    @F.pandas_udf(T.StringType())
+    def mapped(texts: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(texts)
+        forms = np.array([*map(function, values), None], dtype=object)
+        return pd.Series(forms[codes])
+
+    return mapped
+
+
+_visual = _per_value(visual_form)
+_visual_folded = _per_value(lambda text: visual_form(text, True))
+_readable = _per_value(readable_form)
+
+
+def readable(column: Column | str) -> Column:
+    """``readable_form`` as a column."""
+    return _readable(column)
 
 
 def visual(column: Column | str, fold_case: bool = False) -> Column:
@@ -125,27 +175,41 @@ def with_visual_form(frame: DataFrame, column: str, output: str, fold_case: bool
     return frame.withColumn(output, visual(F.col(column), fold_case))
 
 
+def _hashes(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, v1, v2, t1, t2) once a record: two hashes of its visual form and two of its text; null texts are left out."""
+    source = spread(frame.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).where("k is not null and t is not null")
+    shaped = source.withColumn("v", visual("t"))
+    seeds = [F.xxhash64(F.lit(seed), c).alias(f"{c}{seed}") for c in ("v", "t") for seed in (1, 2)]
+    return cut(shaped.select("k", *seeds).distinct())
+
+
+def look_classes(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(member, class, links) of every record with a text: the least key of those that look the same, and how many of them differ
+    from it in a character.
+
+    No pair is formed; a look that a third of all records have is counted by partition first.
+    """
+    hashes = _hashes(frame, key, text)
+    looks = hashes.groupBy("v1", "v2").agg(F.min("k").alias("class"), F.count("*").alias("_all"))
+    texts = hashes.groupBy("v1", "v2", "t1", "t2").agg(F.count("*").alias("_same"))
+    found = hashes.join(texts.join(looks, ["v1", "v2"]), ["v1", "v2", "t1", "t2"])
+    return found.select(F.col("k").alias("member"), "class", (F.col("_all") - F.col("_same")).alias("links"))
+
+
 def same_look_pairs(frame: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of different keys whose texts look the same and differ in a character: (key_a, key_b), key_a < key_b.
 
     Rows are reduced to hashes before anything is shuffled. Equal texts form one class; classes of one form are paired with
-    each other and only then spread to their members, so groups of exact copies alone cost no pairs. Repeated rows count
-    once. Null texts have no look and take part in no pair.
+    each other and only then spread to their members, so groups of exact copies alone cost no pairs; ``look_classes`` has the
+    same links without pairs. Repeated rows count once. Null texts have no look and take part in no pair.
     """
-    source = spread(frame.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).where("k is not null and t is not null")
-    shaped = source.withColumn("v", visual("t"))
-    hashes = cut(
-        shaped.select(
-            "k",
-            *(F.xxhash64(F.lit(seed), "v").alias(f"v{seed}") for seed in (1, 2)),
-            *(F.xxhash64(F.lit(seed), "t").alias(f"t{seed}") for seed in (1, 2)),
-        ).distinct()
-    )
+    hashes = _hashes(frame, key, text)
     classes = hashes.select("v1", "v2", "t1", "t2").distinct()
     mixed = classes.groupBy("v1", "v2").agg(F.count("*").alias("n")).where("n > 1").select("v1", "v2")
     classes = classes.join(mixed, ["v1", "v2"], "left_semi")
     other = classes.select("v1", "v2", F.col("t1").alias("o1"), F.col("t2").alias("o2"))
     paired = classes.join(other, ["v1", "v2"]).where("(t1, t2) < (o1, o2)")
+    hashes = hashes.join(mixed, ["v1", "v2"], "left_semi")
     one = hashes.select("v1", "v2", "t1", "t2", F.col("k").alias("a"))
     two = hashes.select("v1", "v2", F.col("t1").alias("o1"), F.col("t2").alias("o2"), F.col("k").alias("b"))
     pairs = paired.join(one, ["v1", "v2", "t1", "t2"]).join(two, ["v1", "v2", "o1", "o2"]).where("a <> b")
