@@ -118,6 +118,16 @@ def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
     return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
+def decode_tree(decode, ids: list[int], leaf: int = LEAF) -> bytes:
+    """Bytes of a list of ids: those of its halves, put together up the tree."""
+    if len(ids) <= leaf:
+        return decode(ids)
+    nodes = [decode(ids[k : k + leaf]) for k in range(0, len(ids), leaf)]
+    while len(nodes) > 1:
+        nodes = [b"".join(nodes[k : k + 2]) for k in range(0, len(nodes), 2)]
+    return nodes[0]
+
+
 def decode_corpus(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, text) back from ids; a list without ids is the empty text, null ids are null."""
     ship(encoded.sparkSession)
@@ -125,7 +135,7 @@ def decode_corpus(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", folder: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = load(tokenizer, folder).decode_bytes
         for batch in batches:
-            texts = [None if x is None else decode(x).decode("utf-8", "replace") for x in batch["ids"].to_pylist()]
+            texts = [None if x is None else decode_tree(decode, x).decode("utf-8", "replace") for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -20,29 +20,37 @@ from folioforge.runtime import ship
 
 #: Values below 2**MANTISSA are their own code; larger ones keep this many leading bits, a relative error under 2**-MANTISSA.
 MANTISSA = 12
-#: Levels of the tree: codes of 63-bit values fit into LEVELS bits.
-LEVELS = 18
+#: Levels of the tree: the codes of 63-bit values fit into LEVELS - 1 bits; negative values have the other half of the leaves.
+LEVELS = 19
+_ZERO = 1 << (LEVELS - 1)
 #: Rank error allowed, as a share of a group's values.
 EPSILON = 0.001
 #: Rows of a partition that are summarised together.
 BATCH_ROWS = 1 << 19
+#: Parts that every group is split into before it is summarised, so that none, however large, is one task's.
+PARTS = 256
 
 
 def code_of_array(values: np.ndarray) -> np.ndarray:
-    """The leaves of values; negative values count as 0, order is kept."""
-    v = np.maximum(values.astype(np.int64), 0)
+    """The leaves of values, in their order; -1 - v mirrors v."""
+    v = values.astype(np.int64)
+    sign = v >> 63
+    v = v ^ sign
     bits = np.frexp(v.astype(np.float64))[1]
     bits = np.where((v >> np.maximum(bits - 1, 0)) == 0, bits - 1, bits)
     shift = np.maximum(bits - (MANTISSA + 1), 0)
-    return (shift.astype(np.int64) << MANTISSA) + (v >> shift)
+    return (((shift.astype(np.int64) << MANTISSA) + (v >> shift)) ^ sign) + _ZERO
 
 
-def value_range(code: Column) -> tuple[Column, Column]:
+def value_range(leaf: Column) -> tuple[Column, Column]:
     """Least and greatest value of a leaf."""
+    signed = leaf - _ZERO
+    code = F.when(signed < 0, -1 - signed).otherwise(signed)
     shift = F.greatest(F.floor(code / (1 << MANTISSA)) - 1, F.lit(0))
     head = code - shift * (1 << MANTISSA)
     width = F.pow(F.lit(2.0), shift)
-    return (head * width).cast("long"), ((head + 1) * width - 1).cast("long")
+    low, high = (head * width).cast("long"), ((head + 1) * width - 1).cast("long")
+    return F.when(signed < 0, -1 - high).otherwise(low), F.when(signed < 0, -1 - low).otherwise(high)
 
 
 def compress(groups: np.ndarray, nodes: np.ndarray, counts: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +95,19 @@ def _added(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(counts, first)
 
 
-def digests(records: DataFrame, keys: list[str], metrics: list[str], record_id: str, epsilon: float = EPSILON) -> DataFrame:
-    """(*keys, metric, node, n): a summary of each group and metric, from one row a record.
+def parts(records: DataFrame, keys: list[str], metrics: list[str], record_id: str, by: list[str] | None = None, epsilon: float = EPSILON) -> DataFrame:
+    """(*keys, metric, node, n): summaries of the parts of each group and metric, from one row a record.
 
-    Repeated records count once. Null values don't count; null keys make groups of their own. Every partition summarises what
-    it holds before anything else is shuffled, so a group that holds a third of all rows costs no task more than its share;
-    equal nodes are then added. Put a day among the keys for summaries that are kept and combined later.
+    Repeated rows of a record count once. Null values don't count; null keys make groups of their own. Records are moved once,
+    by ``by`` (keys that are summed up later; all keys if not given) and one of PARTS parts of each, which also finds repeated rows; every partition summarises what it
+    holds, so a group that holds a third of all rows costs no task more than its share, and equal nodes meet before anything
+    else is shuffled. Put a day among the keys for summaries that are kept and combined later.
     """
     ship(records.sparkSession)
-    once = records.select(record_id, *keys, *metrics).dropDuplicates([record_id]).drop(record_id)
+    by = keys if by is None else by
+    part = F.pmod(F.xxhash64(record_id), F.lit(PARTS)).cast("int")
+    moved = records.select(record_id, *keys, *metrics, part.alias("_part")).repartition(*by, "_part")
+    once = moved.dropDuplicates([record_id, *keys, "_part"]).drop(record_id, "_part")
     kinds = dict(once.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", metric string, node long, n long"
 
@@ -126,7 +138,12 @@ def digests(records: DataFrame, keys: list[str], metrics: list[str], record_id:
         if rows:
             yield from summarised(pa.Table.from_batches(held))
 
-    return merge(once.mapInArrow(run, schema), keys)
+    return once.mapInArrow(run, schema)
+
+
+def digests(records: DataFrame, keys: list[str], metrics: list[str], record_id: str, epsilon: float = EPSILON) -> DataFrame:
+    """(*keys, metric, node, n): one summary of each group and metric; see ``parts``."""
+    return merge(parts(records, keys, metrics, record_id, None, epsilon), keys)
 
 
 def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,6 +151,21 @@ def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return summaries.groupBy(*keys, "metric", "node").agg(F.sum("n").alias("n"))
 
 
+def compacted(merged: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """Merged summaries compressed again, for keeping: at most 3 * LEVELS / epsilon nodes a group, however much was merged.
+
+    The rank error adds to that of the summaries merged. A group has no more nodes than the tree, so one task holds it.
+    """
+    ship(merged.sparkSession)
+    group, kinds = [*keys, "metric"], dict(merged.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        _, node, n = compress(np.zeros(len(table), dtype=np.int64), table["node"].to_numpy(), table["n"].to_numpy(), epsilon)
+        return table.select(group).take(np.zeros(len(node), dtype=np.int64)).append_column("node", pa.array(node)).append_column("n", pa.array(n.astype(np.int64)))
+
+    return merged.select(*group, "node", "n").groupBy(*group).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", node long, n long")
+
+
 def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon: float = EPSILON) -> DataFrame:
     """(*keys, metric, share, values, low, estimate, high, rank_error) of each group.
 
@@ -143,7 +175,7 @@ def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon:
     """
     level = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
     span = F.pow(F.lit(2.0), LEVELS - level).cast("long")
-    last = (F.col("node") + 1) * span - 1 - (1 << LEVELS)
+    last = (F.col("node") + 1) * span - 1 - (1 << LEVELS)  # the greatest leaf below the node
     group = [*keys, "metric"]
     run = Window.partitionBy(*group).orderBy("last", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = merged.withColumn("span", span).withColumn("last", last)
@@ -156,3 +188,21 @@ def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon:
         *group, "share", "values", low.alias("low"), F.round((low + high) / 2.0, 3).alias("estimate"), high.alias("high"),
         F.floor(F.col("values") * epsilon).alias("rank_error"),
     )
+
+
+def rank_check(records: DataFrame, answers: DataFrame, keys: list[str], metrics: list[str], record_id: str) -> DataFrame:
+    """(*keys, metric, share, n_values, within): whether each answer of ``quantiles`` keeps its stated rank error, from exact ranks.
+
+    The values of a group are counted before they meet its answers, whose number depends on the groups only.
+    """
+    once = records.select(record_id, *keys, *metrics).dropDuplicates([record_id])
+    long = once.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select(*keys, "x.metric", "x.v")
+    counted = long.where("v is not null").groupBy(*keys, "metric", "v").agg(F.count("*").alias("_n"))
+    same = [counted[c].eqNullSafe(answers[c]) for c in (*keys, "metric")]
+    met = counted.join(answers, same).select(*(answers[c] for c in (*keys, "metric")), "share", "low", "high", "rank_error", "v", "_n")
+    summed = met.groupBy(*keys, "metric", "share", "rank_error").agg(
+        F.sum("_n").alias("n_values"), F.sum(F.when(F.col("v") < F.col("low"), F.col("_n")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("v") <= F.col("high"), F.col("_n")).otherwise(0)).alias("_upto")
+    )
+    rank = F.greatest(F.ceil(F.col("share") * F.col("n_values")), F.lit(1))
+    within = (F.col("_below") - F.col("rank_error") < rank) & (rank <= F.col("_upto") + F.col("rank_error"))
+    return summed.select(*keys, "metric", "share", "n_values", within.alias("within"))

@@ -133,9 +133,60 @@ def test_packing_is_full_and_balanced(spark):
 
 def test_codes_keep_order_and_ranges():
     values = np.unique(np.concatenate([np.arange(9000), 2 ** np.arange(1, 63), 2 ** np.arange(1, 63) - 1, [2**63 - 1]])).astype(np.int64)
+    values = np.concatenate([-1 - values[::-1], values])
     codes = percentiles.code_of_array(values)
-    assert (np.diff(codes) >= 0).all() and codes.max() < 1 << percentiles.LEVELS
-    assert (np.diff(codes[values < 8192]) == 1).all()
+    assert (np.diff(codes) >= 0).all() and codes.min() >= 0 and codes.max() < 1 << percentiles.LEVELS
+    assert (np.diff(codes[(values > -8193) & (values < 8192)]) == 1).all()
+
+
+def test_negative_values_and_kept_summaries(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(0, 5000, 30_000).astype(int)
+    frame = spark.createDataFrame([(k, "a" if k % 3 else None, k % 5, int(v)) for k, v in enumerate(values)] * 2, "record_id long, category string, day int, tokens long")
+    merged = percentiles.merge(percentiles.parts(frame, ["category", "day"], ["tokens"], "record_id", ["category"]), ["category"])
+    answers = percentiles.quantiles(merged, ["category"], [0.0, 0.05, 0.5, 1.0])
+    checked = percentiles.rank_check(frame, answers, ["category"], ["tokens"], "record_id").collect()
+    assert len(checked) == 8 and all(r["within"] for r in checked) and {r["n_values"] for r in checked} == {10_000, 20_000}
+    least = answers.where("category is null and share = 0").first()
+    assert least["low"] <= min(values[::3]) <= least["high"] < 0
+    kept = percentiles.compacted(merged, ["category"], 0.05)
+    assert kept.groupBy("category").agg(F.sum("n").alias("n")).select("n").distinct().count() == 2
+    assert kept.groupBy("category").count().agg(F.max("count")).first()[0] <= 3 * percentiles.LEVELS / 0.05
+
+
+def test_repeated_lines_of_broken_numbers():
+    assert lines.line_form("更新日期:20 23年4月") == lines.line_form("更新日期：2023年 12月") == "更新日期:0年0月"
+
+
+def test_decoding_up_the_tree():
+    encoding_ = encoding.load("byte_bpe_50k")
+    for text in ("", "a", "Zürich 中文 🙂 " * 500):
+        ids = encoding_.encode_ordinary(text)
+        assert encoding.decode_tree(encoding_.decode_bytes, ids, 7) == text.encode()
+
+
+def test_valley_at_a_planted_seam(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"{head}{k}word" for k in "abcdefgh"] for head in ("river", "engine", "garden", "market", "planet", "winter")]
+    texts = [(k, " ".join("The " + " ".join(rng.choice(topics[k], 4)) + " was seen again." for _ in range(25)), "en") for k in range(6)]
+    texts += [(9, None, "en"), (10, "short", "en"), (11, texts[0][1], None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, named string")
+    row = splitting.seam_recall(frame, "doc_id", "text", "named").collect()
+    assert [(r["named"], r["pairs"], r["found"]) for r in row] == [("en", 3, 3)] and row[0]["by_chance"] < 0.5
+    assert splitting.seam_recall(frame.limit(0), "doc_id", "text", "named").count() == 0
+
+
+def test_texts_in_no_known_language():
+    model = language.train([text for _, text, _ in labelled()], [lang for _, _, lang in labelled()])
+    others = [
+        "Il consiglio di amministrazione della società ha approvato il bilancio e la direzione ritiene che le vendite torneranno a crescere.",
+        "De raad van bestuur van de onderneming heeft het plan goedgekeurd en de directie verwacht dat de omzet weer zal stijgen.",
+        "Совет директоров компании одобрил план, и руководство считает, что продажи снова вырастут в следующем году.",
+        "회사의 이사회는 계획을 승인했으며 경영진은 내년에 매출이 다시 증가할 것으로 보고 있다.",
+        "Hội đồng quản trị của công ty đã thông qua kế hoạch và ban giám đốc cho rằng doanh thu sẽ tăng trở lại vào năm tới.",
+    ]
+    assert [x for x in language.judge(others, model)[3] if x] == []
+    assert [list(x) for x in language.judge([*SENTENCES.values()], model)[3]] == [[k] for k in SENTENCES]
 
 
 def test_percentiles_within_the_bound(spark):

@@ -1,7 +1,7 @@
 import itertools
 
 from folioforge.llm import visual
-from folioforge.llm.visual import visual_form
+from folioforge.llm.visual import readable_form, visual_form
 
 SAME = [
     ("Ａｂｃ　１２", "Abc 12"), ("été", "été"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("ﬁn", "fin"),
@@ -37,3 +37,17 @@ def test_empty_table(spark):
     frame = spark.createDataFrame([], "id string, question string")
     assert visual.same_look_pairs(frame, "id", "question").count() == 0
     assert visual.with_visual_form(frame, "question", "form").columns == ["id", "question", "form"]
+
+
+def test_readable_form_keeps_scripts():
+    assert [readable_form(t) for t in ("カタログ", "Москва", "Аррlе", "Ａｂｃ　é\u200b", None)] == ["カタログ", "Москва", "Apple", "Abc é", None]
+    for a, b in SAME:
+        assert visual_form(readable_form(a)) == visual_form(a) and visual_form(readable_form(b)) == visual_form(a)
+
+
+def test_classes_against_brute_force(spark):
+    texts = ["Abc", "Ａbc", "Abc", "Аbc", "other", None, "", "\u200b"]
+    frame = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)] + [("k0", "Abc")], "id string, question string")
+    found = {r["member"]: (r["class"], r["links"]) for r in visual.look_classes(frame, "id", "question").collect()}
+    assert found == {"k0": ("k0", 2), "k1": ("k0", 3), "k2": ("k0", 2), "k3": ("k0", 3), "k4": ("k4", 0), "k6": ("k6", 1), "k7": ("k6", 1)}
+    assert visual.look_classes(frame.limit(0), "id", "question").count() == 0
