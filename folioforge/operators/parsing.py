@@ -53,12 +53,15 @@ def quality_reason(least_cols: int = 3, most_empty: float = 0.5, least_rows: int
 
 
 def better_table(old: str = "old", new: str = "new") -> Column:
-    """Whether the new table of a pair is taken: fewer merged cells, else clearly fewer empty ones, else clearly more rows, else yes."""
+    """Whether the new table of a pair is taken: if only one of them has merged cells, the other one; else the one with clearly
+    fewer empty cells; else, if both have data rows, the one with clearly more of the greater number; else the new one."""
     a, b = (lambda c: F.col(f"{old}_{c}")), (lambda c: F.col(f"{new}_{c}"))
+    most = F.greatest(a("data_rows"), b("data_rows"))
     return (
-        F.when(b("merged_ratio") != a("merged_ratio"), b("merged_ratio") < a("merged_ratio"))
-        .when(F.abs(b("empty_ratio") - a("empty_ratio")) > 0.15, b("empty_ratio") < a("empty_ratio"))
-        .when(F.abs(b("n_rows") - a("n_rows")) > 0.3 * a("n_rows"), b("n_rows") > a("n_rows")).otherwise(True)
+        F.when((a("merged_ratio") > 0) != (b("merged_ratio") > 0), b("merged_ratio") == 0)
+        .when(F.abs(a("empty_ratio") - b("empty_ratio")) > 0.15, b("empty_ratio") < a("empty_ratio"))
+        .when((F.least(a("data_rows"), b("data_rows")) > 0) & (F.abs(b("data_rows") - a("data_rows")) > 0.3 * most), b("data_rows") == most)
+        .otherwise(True)
     )
 
 

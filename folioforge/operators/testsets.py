@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.ordering import numbered, running
-from folioforge.runtime import ship
+from folioforge.runtime import cut, ship
 
 
 def filtered(questions: DataFrame, types: list[str] | None = None, categories: list[str] | None = None, difficulties: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
@@ -110,67 +114,126 @@ def systematic(frame: DataFrame, by: str, order: list[str], n: int) -> DataFrame
     return ranked.where((F.col("size") <= n) | chosen).drop("place", "size")
 
 
-def capped_shares(sizes: DataFrame, by: str, name: str, size: str, total: int) -> DataFrame:
-    """``total`` shared out within each group by size, at most 5, 3 or 1 a member by its tier, overflow going to those with room.
+#: Least kilobytes of a document's tier, and most questions that a document of it gets.
+TIERS = ((200.0, 5), (50.0, 3), (0.0, 1))
+
+
+def capped_shares(sizes: DataFrame, by: str, name: str, kilobytes: str, total: int, tiers: tuple = TIERS) -> DataFrame:
+    """(by, name, allotted): ``total`` questions shared out within each group in proportion to size, at most the tier's cap each.
 
-    Members of a group are few by definition (documents of one test set); the loop over them is sequential.
+    What the caps leave over goes, at most one at a time, to members with room from the largest on, round after round, for at
+    most 3 * total turns. Shares are then rounded half to even, and the largest members mend the difference one by one, caps
+    aside. Only the 3 * total + 1 largest members with room and the ``total`` largest of all can be touched after the cap, so
+    only they meet in one task; all others are worked out where they are. Groups without any size have no shares.
     """
     ship(sizes.sparkSession)
     kinds = dict(sizes.dtypes)
-
-    def share(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([size, name], ascending=[False, True])
-        cap = frame[size].map(lambda s: 5 if s >= 8000 else 3 if s >= 2000 else 1).to_numpy()
-        given = [0] * len(frame)
-        left = min(total, int(cap.sum()))
-        while left > 0:
-            room = [k for k in range(len(frame)) if given[k] < cap[k]]
-            mass = sum(frame[size].iloc[k] for k in room) or len(room)
-            before = left
-            for k in room:
-                more = min(int(left * (frame[size].iloc[k] if mass != len(room) else 1) / mass), int(cap[k]) - given[k])
-                given[k] += more
-                before -= more
-            if before == left:
-                for k in room[:left]:
-                    given[k] += 1
-                    before -= 1
-            left = before
-        return pd.DataFrame({by: frame[by], name: frame[name], "allotted": given})
-
-    return sizes.select(by, name, size).groupBy(by).applyInPandas(share, f"{by} {kinds[by]}, {name} {kinds[name]}, allotted int")
-
-
-def similar(a: str, b: str, least: float = 0.85) -> bool:
-    """Whether the share of the longer text's characters that stand in the other reaches ``least``; case and ends aside."""
-    a, b = a.lower().strip(), b.lower().strip()
-    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
-    held = set(shorter)
-    return not longer or sum(c in held for c in longer) / len(longer) >= least
-
-
-def greedy_unique(questions: DataFrame, block: str, key: str, text: str) -> DataFrame:
-    """(block, key, kept): within a block, in key order, a question is dropped if it is like one that was kept before.
-
-    Order decides, and likeness isn't transitive, so a block is one sequential fold and can't be split. Equal texts are
-    reduced to their first before, so what one task holds are the different questions about one source document.
+    cap = F.coalesce(*(F.when(F.col(kilobytes) >= least, float(most)) for least, most in tiers), F.lit(float(tiers[-1][1])))
+    mass = sizes.groupBy(by).agg(F.sum(kilobytes).alias("_mass"))
+    capped = sizes.join(mass, by).where("_mass > 0").select(by, name, kilobytes, cap.alias("_cap"), F.least(F.col(kilobytes) / F.col("_mass") * total, cap).alias("_share"))
+    ranked = cut(numbered(capped.withColumn("_room", F.col("_share") < F.col("_cap")), [F.desc(kilobytes), name], "_place", [by, "_room"]))
+    touched = F.col("_place") < F.when(F.col("_room"), 3 * total + 1).otherwise(total)
+    sums = ranked.groupBy(by).agg(F.sum("_share").alias("_given"), F.sum(F.when(~touched, F.bround("_share", 0)).otherwise(0.0)).alias("_others"))
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([kilobytes, name], ascending=[False, True], kind="stable")
+        share, most = frame["_share"].to_numpy().copy(), frame["_cap"].to_numpy()
+        over, turns = total - frame["_given"].iloc[0], itertools.cycle(np.flatnonzero(frame["_room"].to_numpy()))
+        for k in itertools.islice(turns, 3 * total + 1):
+            if over <= 0.01:
+                break
+            more = min(over, most[k] - share[k], 1.0)
+            if more > 0.01:
+                share[k] += more
+                over -= more
+        whole = np.round(share).astype(int)
+        lacking = total - int(whole.sum() + frame["_others"].iloc[0])
+        for k in itertools.islice(itertools.cycle(range(len(whole))), abs(lacking)):
+            whole[k] = max(whole[k] + (1 if lacking > 0 else -1), 0)
+        return pd.DataFrame({by: frame[by], name: frame[name], "allotted": whole})
+
+    schema = f"`{by}` {kinds[by]}, `{name}` {kinds[name]}, allotted int"
+    settled = ranked.where(touched).join(sums, by).groupBy(by).applyInPandas(settle, schema)
+    rest = ranked.where(~touched).select(by, name, F.bround("_share", 0).cast("int").alias("allotted"))
+    return settled.unionByName(rest)
+
+
+def type_allotments(n: int, shares: dict[str, float]) -> dict[str, int]:
+    """n questions divided into types in proportion, each rounded half to even; the largest types mend what is over or missing."""
+    given = {kind: round(share * n) for kind, share in shares.items()}
+    order = sorted(shares, key=lambda kind: -shares[kind])
+    lacking = n - sum(given.values())
+    for kind in itertools.islice(itertools.cycle(order), abs(lacking)):
+        given[kind] = max(given[kind] + (1 if lacking > 0 else -1), 0)
+    return given
+
+
+def with_types(shares: DataFrame, count: str, types: dict[str, float], most: int) -> DataFrame:
+    """(..., question_type, n) of each share's types; counts up to ``most`` are looked up, which bounds the table."""
+    table = {n: type_allotments(n, types) for n in range(most + 1)}
+    rows = [(n, kind, k) for n, kinds in table.items() for kind, k in kinds.items() if k > 0]
+    allotted = shares.sparkSession.createDataFrame(rows, f"`{count}` int, question_type string, n int")
+    return shares.join(F.broadcast(allotted), count).drop(count)
+
+
+def similar(a: Column, b: Column, least: float = 0.85) -> Column:
+    """Whether so many characters of the shorter text (of ``b`` if both are as long) stand in the longer one that they reach this
+    share of its length."""
+    shorter, longer = F.when(F.length(a) < F.length(b), a).otherwise(b), F.when(F.length(a) < F.length(b), b).otherwise(a)
+    held = F.size(F.filter(F.split(shorter, ""), lambda c: (c != "") & longer.contains(c)))
+    return (a == b) | ((F.length(longer) > 0) & (held >= least * F.length(longer)))
+
+
+def similar_pairs(questions: DataFrame, key: str, text: str, files: str, least: float = 0.85) -> DataFrame:
+    """(first, second): different questions with a file in common whose texts, case and ends aside, are ``similar``; first < second.
+
+    Texts that are alike have lengths within ``least`` of each other, so they meet by file and band of length; within a band
+    by one of the rarest characters of the shorter: at most 1 - least of its characters can be missing from the longer one.
+    """
+    shaped = questions.select(F.col(key).alias("k"), F.lower(F.trim(F.coalesce(text, F.lit("")))).alias("t"), F.coalesce(F.col(files), F.array().cast("array<string>")).alias("f"))
+    shaped = shaped.withColumn("_n", F.length("t")).withColumn("_band", F.floor(F.log(F.greatest("_n", F.lit(1)).cast("double")) / -math.log(least)))
+    letters = shaped.select("k", F.explode(F.filter(F.split("t", ""), lambda c: c != "")).alias("c")).groupBy("k", "c").agg(F.count("*").alias("m"))
+    frequency = letters.groupBy("c").agg(F.count("*").alias("df"))
+    rarest = letters.join(frequency, "c").withColumn("_before", F.coalesce(F.sum("m").over(Window.partitionBy("k").orderBy("df", "c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sized = cut(shaped)
+    # A text's characters from the rarest on, until more have been taken than may be missing.
+    probes = rarest.join(sized.select("k", "_n"), "k").where(F.col("_before") <= (1 - least) * F.col("_n") + 1e-9).select("k", "c")
+    probing = sized.join(probes, "k").select("k", "t", "_n", "c", F.explode("f").alias("file"), F.explode(F.array("_band", F.col("_band") + 1)).alias("_band"))
+    probed = sized.join(letters.select("k", "c"), "k").select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("_n").alias("_n2"), "c", F.explode("f").alias("file"), "_band")
+    met = probing.join(probed, ["file", "_band", "c"]).where(((F.col("_n") < F.col("_n2")) | ((F.col("_n") == F.col("_n2")) & (F.col("k") < F.col("k2")))) & (F.col("_n") >= least * F.col("_n2") - 1e-9))
+    alike = met.where(similar(F.col("t2"), F.col("t"), least)).select(F.least("k", "k2").alias("first"), F.greatest("k", "k2").alias("second"))
+    blank = sized.where("_n = 0").select("k", F.explode("f").alias("file"))
+    first = blank.groupBy("file").agg(F.min("k").alias("first"))
+    return alike.unionByName(blank.join(first, "file").where("k <> first").select("first", F.col("k").alias("second"))).distinct()
+
+
+def greedy_unique(questions: DataFrame, key: str, text: str, files: str, least: float = 0.85) -> DataFrame:
+    """(key, kept): in key order over all questions, one is dropped if it is like one that was kept before and shares a file with it.
+
+    Equal questions about the same files are reduced to their first. Order decides and likeness isn't transitive: a question
+    is kept as soon as no earlier one like it is undecided or kept, and drops those like it; so few rounds decide all, however
+    large a group of connected questions is, and none is held in one task.
     """
-    ship(questions.sparkSession)
-    kinds = dict(questions.dtypes)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        kept: list[str] = []
-        flags = []
-        for value in frame[text].fillna(""):
-            flags.append(not any(similar(value, other) for other in kept))
-            if flags[-1]:
-                kept.append(value)
-        return pd.DataFrame({block: frame[block], key: frame[key], "kept": flags})
-
-    first = questions.groupBy(block, F.lower(F.trim(F.coalesce(text, F.lit("")))).alias("_t")).agg(F.min(F.struct(F.col(key), F.coalesce(text, F.lit("")).alias(text))).alias("_f"))
-    folded = first.select(block, "_f.*").groupBy(block).applyInPandas(fold, f"{block} {kinds[block]}, {key} {kinds[key]}, kept boolean")
-    return questions.select(block, key).join(folded, [block, key], "left").select(block, key, F.coalesce("kept", F.lit(False)).alias("kept"))
+    own = questions.select(key, text, F.array_sort(F.array_distinct(F.coalesce(F.col(files), F.array().cast("array<string>")))).alias(files))
+    same = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    leaders = cut(own.where(F.size(files) > 0).groupBy(same.alias("_t"), files).agg(F.min(key).alias(key)))
+    edges = cut(similar_pairs(leaders.withColumnRenamed("_t", text), key, text, files, least))
+    dropped = None
+    while True:
+        waiting = edges.select("second").distinct()
+        heads = edges.select("first").distinct().join(waiting, F.col("first") == F.col("second"), "left_anti")
+        out = cut(edges.join(heads, "first").select("second").distinct())
+        if out.isEmpty():
+            break
+        dropped = out if dropped is None else dropped.unionByName(out)
+        gone = out.withColumnRenamed("second", "_gone")
+        edges = edges.join(heads, "first", "left_anti").join(gone, F.col("first") == F.col("_gone"), "left_anti").join(gone, F.col("second") == F.col("_gone"), "left_anti")
+        edges = cut(edges)
+    kept = leaders.select(F.col(key).alias("_k"))
+    if dropped is not None:
+        kept = kept.join(dropped, F.col("_k") == F.col("second"), "left_anti")
+    flagged = own.join(kept.withColumn("_kept", F.lit(True)), F.col(key) == F.col("_k"), "left")
+    return flagged.select(key, (F.coalesce("_kept", F.lit(False)) | (F.size(files) == 0)).alias("kept"))
 
 
 def excerpt_found(excerpt: Column, document: Column, window: int = 15, step: int = 7) -> Column:

@@ -13,12 +13,34 @@ def truth_in_stages(hits: DataFrame, truth: DataFrame, trace: str, stage: str, i
     return wanted.groupBy(trace, stage).agg(best["rank"].alias("best_rank"), best["score"].alias("best_score"), F.coalesce(F.bool_or("_true"), F.lit(False)).alias("in_stage"))
 
 
-def root_cause(retrieved: Column, reranked: Column, in_context: Column, mismatch: Column, answered: Column) -> Column:
-    """Code of the first cause that applies: query mismatch, not retrieved, ranked away, cut from the context, not used, none."""
-    return (
-        F.when(~retrieved & mismatch, "RC-1").when(~retrieved, "RC-5").when(retrieved & ~in_context & reranked, "RC-3")
-        .when(retrieved & ~reranked, "RC-2").when(~answered, "RC-4").otherwise("RC-0")
+def stage_ranks(items: Column, truth: Column) -> Column:
+    """Place of the first wanted item in a stage's list, from 1; null if it has none, or the stage didn't run."""
+    places = F.transform(truth, lambda x: F.array_position(items, x))
+    return F.array_min(F.filter(places, lambda k: k > 0)).cast("int")
+
+
+def root_causes(traces: DataFrame, key: str) -> DataFrame:
+    """(key, root_cause, rank) of each trace, a row with the lists of its stages.
+
+    Columns: ``question``; ``truth`` ids and ``truth_answer``; ``retrieved``, ``reranked``, ``context_input`` ids and
+    ``context_count`` (null where a stage didn't run), ``rewritten`` queries and ``answer``. RC-5 the rewritten queries miss
+    it, RC-1 nothing retrieved it, RC-3 the context dropped it, RC-2 it ranks below 3 or behind what the context holds, RC-4
+    the context has it and the answer doesn't, RC-0 the answer has it.
+    """
+    retrieved, reranked = stage_ranks(F.col("retrieved"), F.col("truth")), stage_ranks(F.col("reranked"), F.col("truth"))
+    ranked = traces.withColumn("_retrieved", retrieved).withColumn("rank", F.coalesce(reranked, retrieved))
+    mismatch = (F.size(F.coalesce("rewritten", F.array().cast("array<string>"))) > 0) & ~F.col("rewritten").eqNullSafe(F.array("question"))
+    given = F.coalesce(F.arrays_overlap("context_input", "truth"), F.lit(False))
+    # Without a step that assembles the context, what was retrieved is in it.
+    held = F.coalesce(F.when(F.col("context_count").isNull(), F.col("_retrieved").isNotNull()).otherwise(F.col("rank") <= F.col("context_count")), F.lit(False))
+    used = (F.coalesce("truth_answer", F.lit("")) != "") & F.coalesce(F.contains("answer", "truth_answer"), F.lit(False))
+    cause = (
+        F.when(F.size(F.coalesce("truth", F.array().cast("array<string>"))) == 0, "RC-1")
+        .when(F.col("_retrieved").isNull(), F.when(mismatch, "RC-5").otherwise("RC-1"))
+        .when(given & ~held & F.col("context_count").isNotNull(), "RC-3").when(F.col("rank") > 3, "RC-2")
+        .when(held & used, "RC-0").when(held, "RC-4").otherwise("RC-2")
     )
+    return ranked.select(key, cause.alias("root_cause"), "rank")
 
 
 def newest(records: DataFrame, by: str, at: str, key: str, n: int = 10) -> DataFrame:
@@ -44,12 +66,15 @@ def chat_turns(turns: DataFrame, conversation: str, turn: str, role: str, text:
 
 
 def cases_for(cases: DataFrame, questions: DataFrame, preview: str, question: str) -> DataFrame:
-    """Each question with the first case (by id) whose preview it begins with; they meet on their first eight characters."""
-    head = lambda c: F.substring(c, 1, 8)
-    a = cases.where(F.length(preview) >= 8).withColumn("_head", head(F.col(preview)))
-    b = questions.withColumn("_head", head(F.col(question)))
-    met = b.join(a, "_head").where(F.expr(f"startswith({question}, {preview})"))
-    return met.groupBy("id").agg(F.min("case_id").alias("case_id"))
+    """(id, case_id): each question with the first case (by id) whose preview it begins with; empty previews begin none.
+
+    A question meets the previews that equal one of its beginnings, of the lengths that previews have, so no pair is formed
+    without a match. Previews are cut to a fixed length when cases are written, so their lengths are few.
+    """
+    known = cases.where(F.length(preview) > 0).groupBy(preview).agg(F.min("case_id").alias("case_id"))
+    lengths = known.agg(F.collect_set(F.length(preview)).alias("_lengths"))
+    begun = questions.crossJoin(F.broadcast(lengths)).select("id", F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length(question)), lambda n: F.substring(question, F.lit(1), n))).alias(preview))
+    return begun.join(known, preview).groupBy("id").agg(F.min("case_id").alias("case_id"))
 
 
 def allowed_transitions(moves: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -363,9 +363,66 @@ def oracle_sql() -> dict[str, str]:
             y AS (SELECT id, e, list_reverse(e) AS g FROM n)
             SELECT id, CAST(len(e) AS INTEGER) AS n_expected, CASE WHEN len(e) = 0 THEN 0.0 ELSE round({_NDCG.format(kept="list_filter(g[1:5], lambda v, n: list_position(g[1:5], v) = n)")}, 6) END AS ndcg,
                 CAST(len(list_intersect(g[1:1], e)) > 0 AS DOUBLE) AS hit_1 FROM y""",
-        "case_lookup": f"""WITH q AS (SELECT id, question FROM {_Q} WHERE question IS NOT NULL), c AS (SELECT id AS case_id, substr(question, 1, 30) AS preview FROM q WHERE {_number('id')} % 3 = 0)
-            SELECT id, min(case_id) AS case_id FROM q JOIN c ON length(preview) >= 8 AND starts_with(question, preview) GROUP BY id""",
+        "case_lookup": f"""WITH q AS (SELECT id, question FROM {_Q} WHERE question IS NOT NULL), c AS (SELECT id AS case_id, substr(question, 1, 3 + {_number('id')} % 28) AS preview FROM q)
+            SELECT id, min(case_id) AS case_id FROM q JOIN c ON preview <> '' AND starts_with(question, preview) GROUP BY id""",
     }
     sql["chunk_neighbours"] = f"""WITH c AS ({sql["fixed_chunks"]})
         SELECT a.chunk_id, b.chunk_id AS neighbour_id FROM c a JOIN c b ON a.doc_id = b.doc_id AND abs(a.chunk_index - b.chunk_index) <= 1"""
+    sql["better_tables"] = _QUALITY + """, p AS (SELECT a.doc_id, a.table_no, a.merged_ratio AS am, b.merged_ratio AS bm, a.empty_ratio AS ae, b.empty_ratio AS be, a.data_rows AS ad, b.data_rows AS bd
+            FROM reasoned a JOIN reasoned b ON a.doc_id = b.doc_id AND b.table_no = a.table_no + 1)
+        SELECT doc_id, table_no, CASE WHEN am > 0 AND bm = 0 THEN true WHEN bm > 0 AND am = 0 THEN false WHEN abs(ae - be) > 0.15 THEN be < ae
+            WHEN ad > 0 AND bd > 0 AND abs(bd - ad)::DOUBLE / greatest(ad, bd) > 0.3 THEN bd > ad ELSE true END AS replaced FROM p"""
+    n = _number("id")
+    sql["root_causes"] = f"""WITH q AS (SELECT {n} AS n, id, coalesce(question, '') AS question, source_chunks AS truth, ground_truth_excerpt AS excerpt FROM {_Q}),
+        t AS (SELECT *, list_concat(['other::chunk::00' || k for k in range(0, n % 6)], CASE WHEN n % 5 = 0 THEN [] ELSE coalesce(truth, []) END) AS got FROM q),
+        r AS (SELECT *, list_min([i for i in range(1, len(got) + 1) if list_contains(truth, got[i])]) AS first_got,
+                list_min([i for i in range(1, len(got) + 1) if n % 3 <> 0 AND list_contains(truth, got[len(got) + 1 - i])]) AS first_reranked FROM t),
+        c AS (SELECT *, coalesce(first_reranked, first_got) AS rank, CASE WHEN n % 7 <> 0 THEN n % 4 END AS held_count FROM r),
+        h AS (SELECT *, CASE WHEN held_count IS NULL THEN first_got IS NOT NULL ELSE coalesce(rank <= held_count, false) END AS in_context FROM c)
+        SELECT id, CASE WHEN coalesce(len(truth), 0) = 0 THEN 'RC-1' WHEN first_got IS NULL AND n % 2 = 0 THEN 'RC-5' WHEN first_got IS NULL THEN 'RC-1'
+            WHEN held_count IS NOT NULL AND list_has_any(got, truth) AND NOT in_context THEN 'RC-3' WHEN first_reranked > 3 THEN 'RC-2' WHEN first_reranked IS NULL AND first_got > 3 THEN 'RC-2'
+            WHEN in_context AND n % 8 <> 0 AND excerpt <> '' THEN 'RC-0' WHEN in_context THEN 'RC-4' ELSE 'RC-2' END AS root_cause, CAST(rank AS INTEGER) AS rank FROM h"""
+    sql["greedy_unique"] = f"""WITH RECURSIVE q AS (SELECT id, row_number() OVER (ORDER BY id) AS n, lower(trim(coalesce(question, ''), ' ')) AS t, coalesce(source_files, []) AS f FROM {_Q}),
+        s AS (SELECT a.n AS n, b.n AS m, CASE WHEN length(a.t) < length(b.t) THEN a.t ELSE b.t END AS shorter, CASE WHEN length(a.t) < length(b.t) THEN b.t ELSE a.t END AS longer
+              FROM q a JOIN q b ON b.n < a.n AND list_has_any(a.f, b.f) AND least(length(a.t), length(b.t)) >= 0.84 * greatest(length(a.t), length(b.t))),
+        c AS (SELECT n, list(m) AS earlier FROM s WHERE shorter = longer OR length(longer) > 0 AND len([x for x in string_split(shorter, '') if contains(longer, x)])::DOUBLE / length(longer) >= 0.85 GROUP BY n),
+        e AS (SELECT n, id, coalesce(earlier, []) AS earlier FROM q LEFT JOIN c USING (n)),
+        fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept
+                 UNION ALL SELECT e.n, CASE WHEN list_has_any(e.earlier, fold.kept) THEN fold.kept ELSE list_append(fold.kept, e.n) END FROM fold JOIN e ON e.n = fold.n + 1),
+        k AS (SELECT kept FROM fold ORDER BY n DESC LIMIT 1)
+        SELECT id, list_contains(kept, n) AS kept FROM q, k"""
+    sql["capped_shares"] = f"""WITH RECURSIVE d AS (SELECT coalesce(metadata.format, '?') AS format, load_id, coalesce(strlen(content), 0) / 1024.0 AS kb FROM {_L}),
+        s AS (SELECT *, kb / sum(kb) OVER (PARTITION BY format) * 40 AS raw, CASE WHEN kb >= 8 THEN 5 WHEN kb >= 3 THEN 3 ELSE 1 END AS cap FROM d),
+        g AS (SELECT format, list(load_id ORDER BY kb DESC, load_id) AS ids, list(CAST(cap AS DOUBLE) ORDER BY kb DESC, load_id) AS cap,
+                list(CAST(least(raw, cap) AS DOUBLE) ORDER BY kb DESC, load_id) AS share FROM s GROUP BY format HAVING sum(kb) > 0),
+        u AS (SELECT *, [i for i in range(1, len(ids) + 1) if share[i] < cap[i]] AS room, 40 - list_sum(share) AS over FROM g),
+        w AS (SELECT format, ids, cap, room, share, CAST(over AS DOUBLE) AS over, 0 AS turn FROM u
+              UNION ALL
+              SELECT format, ids, cap, room, CASE WHEN more > 0.01 THEN list_transform(share, lambda x, i: CASE WHEN i = k THEN x + more ELSE x END) ELSE share END, CASE WHEN more > 0.01 THEN over - more ELSE over END, turn + 1
+              FROM (SELECT *, least(over, cap[k] - share[k], 1.0) AS more FROM (SELECT *, room[1 + turn % len(room)] AS k FROM w WHERE over > 0.01 AND len(room) > 0 AND turn <= 120))),
+        l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY format ORDER BY turn DESC) = 1),
+        r AS (SELECT format, ids, list_transform(share, lambda x: CAST(round_even(x, 0) AS INTEGER)) AS n FROM l),
+        m AS (SELECT format, ids, n, CAST(40 - list_sum(n) AS INTEGER) AS lacking FROM r)
+        SELECT format, unnest(ids) AS load_id, unnest(list_transform(n, lambda x, i: CAST(greatest(x + sign(lacking) * (abs(lacking) // len(ids) + CASE WHEN i <= abs(lacking) % len(ids) THEN 1 ELSE 0 END), 0) AS INTEGER))) AS allotted FROM m"""
+    sql["prompt_assembly"] = f"""WITH {_bm25("documents", "doc_id", "text", 3)}
+        SELECT id, string_agg('参考资料 ' || rank || '（来源：' || {_stem("source")} || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt
+        FROM hits JOIN (SELECT doc_id, text, source FROM documents) USING (doc_id) GROUP BY id"""
+    sql["chat_turns"] = f"""WITH t AS (SELECT variant || '-' || {_number("result_id")} // 40 AS conversation, result_id || 'a' AS turn, 'user' AS role, question AS text FROM {_R}
+              UNION ALL SELECT variant || '-' || {_number("result_id")} // 40, result_id || 'b', 'assistant', answer FROM {_R}),
+        k AS (SELECT * FROM t WHERE trim(coalesce(text, ''), ' ') <> ''),
+        f AS (SELECT *, first_value(role) OVER (PARTITION BY conversation ORDER BY turn) AS opens FROM k),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY CASE WHEN opens <> 'user' AND role <> 'user' THEN 1 ELSE 0 END, turn) AS place FROM f),
+        c AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conversation ORDER BY place) THEN 0 ELSE 1 END AS changed FROM o),
+        n AS (SELECT *, sum(changed) OVER (PARTITION BY conversation ORDER BY place ROWS UNBOUNDED PRECEDING) AS turn_no FROM c)
+        SELECT conversation, CAST(turn_no AS BIGINT) AS turn_no, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM n GROUP BY ALL"""
+    sql["truth_in_stages"] = f"""WITH {_bm25(_L, "load_id", "content", 20)},
+        h AS (SELECT id, source_path, rank, score FROM hits JOIN {_L} USING (load_id)),
+        s AS (SELECT id, 'retrieval' AS stage, source_path, rank, score FROM h UNION ALL SELECT id, 'rerank', source_path, rank, score FROM h WHERE rank <= 5),
+        w AS (SELECT s.*, list_contains(a.expected_sources, source_path) AS wanted FROM s JOIN {_ASKED} a USING (id))
+        SELECT id, stage, min(rank) FILTER (wanted) AS best_rank, arg_min(score, rank) FILTER (wanted) AS best_score, coalesce(bool_or(wanted), false) AS in_stage FROM w GROUP BY id, stage"""
+    sql["primary_pool"] = f"""WITH c AS ({sql["contained_documents"]}) SELECT DISTINCT load_id, source_path FROM loaded_documents WHERE load_id NOT IN (SELECT "inner" FROM c)"""
+    sql["equivalence_groups"] = rf"""WITH f AS (SELECT replace(source_path, '\', '/') AS path, {_number("load_id")} AS n FROM {_L}),
+        p AS (SELECT path FROM f UNION ALL SELECT regexp_replace(path, '\.([^./]*)$', CASE n % 3 WHEN 0 THEN '_摘要' WHEN 1 THEN '_英文版_' ELSE '_修订版_' END || '.\1') FROM f WHERE n % 2 = 0),
+        g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace({_stem("path")}, '(_摘要|摘要|_英文版_|_修订版_)$', '') AS group_key, path FROM p)
+        SELECT group_key, array_to_string(list_sort(list_distinct(list(path))), '|') AS members FROM g GROUP BY group_key HAVING count(DISTINCT path) > 1"""
     return sql

@@ -224,6 +224,16 @@ def table_reasons(spark, folder):
     return table_quality(spark, folder).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@_query
+def better_tables(spark, folder):
+    """Each table of a document against the next one, as if that had been extracted anew."""
+    tables = parsing.table_quality(read_table(spark, folder, "documents"), "doc_id", "text")
+    fields = ["data_rows", "empty_ratio", "merged_ratio"]
+    old = tables.select("doc_id", "table_no", *(F.col(c).alias(f"old_{c}") for c in fields))
+    new = tables.select("doc_id", (F.col("table_no") - 1).alias("table_no"), *(F.col(c).alias(f"new_{c}") for c in fields))
+    return old.join(new, ["doc_id", "table_no"]).select("doc_id", "table_no", parsing.better_table().alias("replaced"))
+
+
 @_query
 def degenerate_tables(spark, folder):
     return parsing.without_degenerate_tables(read_table(spark, folder, "documents"), "doc_id", "text")
@@ -465,15 +475,19 @@ def systematic_sample(spark, folder):
 
 @_query
 def greedy_unique(spark, folder):
-    blocks = _questions(spark, folder).select(F.explode(F.array_distinct("source_files")).alias("source_path"), "id", "question")
-    return testsets.greedy_unique(blocks, "source_path", "id", "question")
+    return testsets.greedy_unique(_questions(spark, folder), "id", "question", "source_files")
 
 
 @_query
 def capped_shares(spark, folder):
-    sized = _loaded(spark, folder).select(F.coalesce("metadata.format", F.lit("?")).alias("format"), "load_id", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars"))
-    by_source = sized.withColumn("folder", F.concat_ws("/", "format", (_number("load_id") % 97).cast("string"))).drop("format")
-    return testsets.capped_shares(by_source, "folder", "load_id", "n_chars", 20)
+    kilobytes = F.coalesce(F.octet_length("content"), F.lit(0)) / 1024
+    sized = _loaded(spark, folder).select(F.coalesce("metadata.format", F.lit("?")).alias("format"), "load_id", kilobytes.alias("kilobytes"))
+    return testsets.capped_shares(sized, "format", "load_id", "kilobytes", 40, ((8.0, 5), (3.0, 3), (0.0, 1)))
+
+
+@_query
+def share_types(spark, folder):
+    return testsets.with_types(capped_shares(spark, folder), "allotted", {"single_fact": 0.45, "reasoning": 0.35, "comparison": 0.2}, 41)
 
 
 @_query
@@ -523,8 +537,12 @@ def unparsed_files(spark, folder):
 
 @_query
 def equivalence_groups(spark, folder):
-    path = F.regexp_replace(F.translate("source_path", "\\", "/"), r"_\d+\.", F.when(_number("load_id") % 2 == 0, "_摘要.").otherwise("."))
-    groups = snapshots.equivalence_groups(_loaded(spark, folder).select(path.alias("path")), "path")
+    """Files and editions of every other one: a summary, a translation or a revision beside the original."""
+    path, n = F.translate("source_path", "\\", "/"), _number("load_id")
+    mark = F.when(n % 3 == 0, "_摘要").when(n % 3 == 1, "_英文版_").otherwise("_修订版_")
+    edition = F.when(n % 2 == 0, F.regexp_replace(path, r"\.([^./]*)$", F.concat(mark, F.lit(".$1"))))
+    paths = _loaded(spark, folder).select(F.explode(F.array_compact(F.array(path, edition))).alias("path"))
+    groups = snapshots.equivalence_groups(paths, "path")
     return groups.select("group_key", F.array_join("members", "|").alias("members"))
 
 
@@ -561,12 +579,19 @@ def chat_turns(spark, folder):
 
 @_query
 def root_causes(spark, folder):
-    metric = lambda m: F.coalesce(F.try_element_at("retrieval_metrics", F.lit(m)), F.lit(0.0))
-    results = _results(spark, folder, "question", "answer", "contexts", "retrieval_metrics", "error")
-    held = F.size(F.coalesce("contexts", F.array().cast("array<string>"))) > 0
-    return results.select("result_id", traces.root_cause(
-        metric("hit_rate") > 0, metric("mrr") > 0.3, held, T.overlap(T.bigrams(F.col("question")), T.bigrams(F.col("answer"))) < 0.02, F.col("error").isNull()
-    ).alias("root_cause"))
+    """Traces made up of the chunks of each question: some stages lose or move them, or don't run, by the number of the question."""
+    n = _number("id")
+    filler = F.slice(F.array(*(F.concat(F.lit("other::chunk::00"), F.lit(str(k))) for k in range(6))), F.lit(1), (n % 6).cast("int"))
+    kept = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.coalesce("source_chunks", F.array().cast("array<string>")))
+    retrieved = F.concat(filler, kept)
+    question = F.coalesce("question", F.lit(""))
+    made = _questions(spark, folder).select(
+        "id", question.alias("question"), F.col("source_chunks").alias("truth"), F.col("ground_truth_excerpt").alias("truth_answer"), retrieved.alias("retrieved"),
+        F.when(n % 3 != 0, F.reverse(retrieved)).alias("reranked"), F.when(n % 7 != 0, retrieved).alias("context_input"), F.when(n % 7 != 0, n % 4).alias("context_count"),
+        F.when(n % 2 == 0, F.array(F.concat(question, F.lit("?")))).otherwise(F.array(question)).alias("rewritten"),
+        F.when(n % 8 != 0, F.concat(F.lit("So: "), F.coalesce("ground_truth_excerpt", F.lit("")))).alias("answer"),
+    )
+    return traces.root_causes(made, "id")
 
 
 @_query
@@ -581,8 +606,9 @@ def truth_in_stages(spark, folder):
 
 @_query
 def case_lookup(spark, folder):
+    """Cases of all questions, with previews of 3 to 30 characters."""
     questions = _questions(spark, folder).where("question is not null")
-    cases = questions.where(_number("id") % 3 == 0).select(F.col("id").alias("case_id"), F.substring("question", 1, 30).alias("preview"))
+    cases = questions.select(F.col("id").alias("case_id"), F.substring("question", F.lit(1), (3 + _number("id") % 28).cast("int")).alias("preview"))
     return traces.cases_for(cases, questions.select("id", "question"), "preview", "question")
 
 

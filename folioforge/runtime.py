@@ -49,18 +49,29 @@ def spread(frame: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is named (tests)."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only in local mode, and only where none is named.
+
+    On a cluster a folder of one machine would lose rows, so a session that names none is refused. What is written is removed
+    once nothing refers to it any more.
+    """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or "file://" + os.path.join(tempfile.gettempdir(), "folioforge-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "folioforge-checkpoints")
     context.setCheckpointDir(folder)
     return folder
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write an intermediate result to the checkpoint folder; it survives the loss of executors."""
+    """Write an intermediate result to the checkpoint folder; it survives the loss of executors.
+
+    It is written when this is called, so building a query that cuts runs jobs.
+    """
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
