@@ -75,28 +75,38 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
         return places, np.zeros(len(places))
     at, hashes = _terms(text)
     units = len(places) + 1
-    unit = np.searchsorted(places, at, side="right")
-    term, number = np.unique(hashes, return_inverse=True)
-    entry = np.unique(number.astype(np.int64) * units + unit)
-    of_term, of_unit = entry // units, entry % units
-    spread_over = np.bincount(of_term, minlength=len(term))[of_term]
-    weight = np.where(spread_over > 1, np.log(1 + spread_over) * (1 - spread_over / (2 * units)), 0)
+    # One number for each unit and term: 40 bits of the term's hash, then the unit; sorted, so that a term's units follow each other.
+    entry = np.sort((hashes * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(0xFFFFFF)) | np.searchsorted(places, at, side="right").astype(np.uint64))
+    entry = entry[np.append(True, entry[1:] != entry[:-1])] if len(entry) else entry
+    of_term, of_unit = entry >> np.uint64(24), (entry & np.uint64(0xFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, of_term[1:] != of_term[:-1])) if len(entry) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(entry)))
+    again = np.repeat(size > 1, size)
+    of_term, of_unit, spread_over = of_term[again], of_unit[again], np.repeat(size, size)[again]
+    weight = np.log(1 + spread_over) * (1 - spread_over / (2 * units))
     # product[d][u]: that of unit u and unit u + d.
     reach = 2 * BLOCK
-    product = np.zeros((reach, units + reach))
-    product[0, :units] = np.bincount(of_unit, weights=weight * weight, minlength=units)
-    for step in range(1, min(reach, len(entry))):
+    wide = units + reach
+    slots, masses = [of_unit], [weight * weight]
+    for step in range(1, min(reach, len(of_term))):
         apart = of_unit[step:] - of_unit[:-step]
-        near = (of_term[step:] == of_term[:-step]) & (apart < reach)
-        np.add.at(product, (apart[near], of_unit[:-step][near]), (weight[step:] * weight[:-step])[near])
-    padded = np.pad(product, ((0, 0), (BLOCK, 0)))
-    middle = np.arange(1, len(places) + 1) + BLOCK
-    across, before, after = (np.zeros(len(places)) for _ in range(3))
-    for a in range(BLOCK):
-        for b in range(BLOCK):
-            across += padded[a + b + 1, middle - 1 - a]
-            before += padded[abs(a - b), middle - 1 - max(a, b)]
-            after += padded[abs(a - b), middle + min(a, b)]
+        near = np.flatnonzero((of_term[step:] == of_term[:-step]) & (apart < reach))
+        if not len(near):
+            break
+        slots.append(apart[near] * wide + of_unit[near])
+        masses.append(weight[near + step] * weight[near])
+    product = np.bincount(np.concatenate(slots), weights=np.concatenate(masses), minlength=reach * wide).reshape(reach, wide)
+    # sums[d][k]: the products of units u and u + d for u below k - BLOCK, so that sums over a range of u are differences.
+    sums = np.zeros((reach, units + 3 * BLOCK + reach))
+    np.cumsum(product, axis=1, out=sums[:, BLOCK + 1 : BLOCK + 1 + units + reach])
+    sums[:, BLOCK + 1 + units + reach :] = sums[:, [BLOCK + units + reach]]
+    at = np.arange(1, len(places) + 1) + BLOCK
+
+    def over(apart: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return sums[apart, high] - sums[apart, low]
+
+    across = sum(over(d, at - min(BLOCK, d), at - max(d - BLOCK, 0)) for d in range(1, reach))
+    before, after = (sum((1 if d == 0 else 2) * over(d, at + shift, at + shift + BLOCK - d) for d in range(BLOCK)) for shift in (-BLOCK, 0))
     norm = np.sqrt(before * after)
     curve = across / np.where(norm > 0, norm, 1)
     return places, _climb(curve) + _climb(curve[::-1])[::-1] - 2 * curve
