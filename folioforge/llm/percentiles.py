@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.runtime import ship
@@ -42,15 +42,15 @@ def code_of_array(values: np.ndarray) -> np.ndarray:
     return (((shift.astype(np.int64) << MANTISSA) + (v >> shift)) ^ sign) + _ZERO
 
 
-def value_range(leaf: Column) -> tuple[Column, Column]:
-    """Least and greatest value of a leaf."""
+def value_range(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value of leaves."""
     signed = leaf - _ZERO
-    code = F.when(signed < 0, -1 - signed).otherwise(signed)
-    shift = F.greatest(F.floor(code / (1 << MANTISSA)) - 1, F.lit(0))
-    head = code - shift * (1 << MANTISSA)
-    width = F.pow(F.lit(2.0), shift)
-    low, high = (head * width).cast("long"), ((head + 1) * width - 1).cast("long")
-    return F.when(signed < 0, -1 - high).otherwise(low), F.when(signed < 0, -1 - low).otherwise(high)
+    sign = signed >> 63
+    code = signed ^ sign
+    shift = np.maximum((code >> MANTISSA) - 1, 0)
+    low = (code - (shift << MANTISSA)) << shift
+    high = low + (np.int64(1) << shift) - 1
+    return np.where(sign < 0, -1 - high, low), np.where(sign < 0, -1 - low, high)
 
 
 def compress(groups: np.ndarray, nodes: np.ndarray, counts: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,23 +171,28 @@ def quantiles(merged: DataFrame, keys: list[str], shares: list[float], epsilon:
 
     Nodes in order of their greatest leaf, smaller ranges first, are run through until the wanted rank is reached; the
     answer is that node's greatest leaf, or the group's if that is smaller; its values lie between low and high. Its rank is off by at most rank_error. A
-    group has no more nodes than the tree, whatever the number of its records.
+    group has no more nodes than the tree, whatever the number of its records, so one task can hold it.
     """
-    level = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
-    span = F.pow(F.lit(2.0), LEVELS - level).cast("long")
-    last = (F.col("node") + 1) * span - 1 - (1 << LEVELS)  # the greatest leaf below the node
-    group = [*keys, "metric"]
-    run = Window.partitionBy(*group).orderBy("last", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = merged.withColumn("span", span).withColumn("last", last)
-    greatest = F.max(F.when(F.col("span") == 1, F.col("last"))).over(Window.partitionBy(*group))
-    walked = walked.withColumn("upto", F.sum("n").over(run)).withColumn("_leaf", F.least("last", greatest)).withColumn("values", F.sum("n").over(Window.partitionBy(*group)))
-    hit = walked.withColumn("share", F.explode(F.array(*(F.lit(float(q)) for q in shares))))
-    rank = F.greatest(F.ceil(F.col("share") * F.col("values")), F.lit(1))
-    low, high = value_range(F.col("_leaf"))
-    return hit.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(
-        *group, "share", "values", low.alias("low"), F.round((low + high) / 2.0, 3).alias("estimate"), high.alias("high"),
-        F.floor(F.col("values") * epsilon).alias("rank_error"),
-    )
+    ship(merged.sparkSession)
+    group, kinds = [*keys, "metric"], dict(merged.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n = table["node"].to_numpy(), table["n"].to_numpy()
+        above = LEVELS + 1 - np.frexp(node.astype(np.float64))[1]
+        last = ((node + 1) << above) - 1 - (1 << LEVELS)
+        order = np.lexsort((above, last))
+        upto = np.cumsum(n[order])
+        ranks = np.maximum(np.ceil(np.array(shares) * upto[-1]), 1)
+        leaf = np.minimum(last[order[np.searchsorted(upto, ranks)]], last[above == 0].max())
+        low, high = value_range(leaf)
+        out = table.select(group).take(np.zeros(len(shares), dtype=np.int64))
+        columns = {"share": np.array(shares, dtype=float), "values": np.full(len(shares), upto[-1]), "low": low, "estimate": np.round((low + high) / 2.0, 3), "high": high, "rank_error": np.full(len(shares), int(upto[-1] * epsilon))}
+        for name, values in columns.items():
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", share double, values long, low long, estimate double, high long, rank_error long"
+    return merged.select(*group, "node", "n").groupBy(*group).applyInArrow(run, schema)
 
 
 def rank_check(records: DataFrame, answers: DataFrame, keys: list[str], metrics: list[str], record_id: str) -> DataFrame:
