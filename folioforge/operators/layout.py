@@ -73,14 +73,14 @@ def cells_markdown(table: Column) -> Column:
 def replaced_tables(lines: DataFrame, old: DataFrame, new: DataFrame, page: str, policy: str = "better_wins") -> DataFrame:
     """(page, text): tables of a page replaced by those of another parser, table by table; tables beyond the old ones follow.
 
-    ``lines`` has (page, line_no, line); ``old`` (page, table_no, first_line, last_line, n_rows, empty_ratio, merged_ratio);
-    ``new`` (page, table_no, text, n_rows, empty_ratio, merged_ratio). Policies: better_wins, always_replace, never_replace.
+    ``lines`` has (page, line_no, line); ``old`` (page, table_no, first_line, last_line, data_rows, empty_ratio, merged_ratio);
+    ``new`` (page, table_no, text, data_rows, empty_ratio, merged_ratio). Policies: better_wins, always_replace, never_replace.
     """
     from folioforge.operators.parsing import better_table
 
     if policy not in ("better_wins", "always_replace", "never_replace"):
         raise ValueError(f"unknown policy {policy}")
-    measures = ("n_rows", "empty_ratio", "merged_ratio")
+    measures = ("data_rows", "empty_ratio", "merged_ratio")
     a = old.select(page, "table_no", "first_line", "last_line", *(F.col(m).alias(f"old_{m}") for m in measures))
     b = new.select(page, "table_no", F.col("text").alias("new_text"), *(F.col(m).alias(f"new_{m}") for m in measures))
     both = a.join(b, [page, "table_no"], "full")

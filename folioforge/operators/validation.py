@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +52,27 @@ def _blank(text: str) -> str:
     return " ".join(text.split())
 
 
+def _likeness_bounds(quote: str, text: str) -> np.ndarray:
+    """For every window of the quote's length, the most that its ratio with the quote can be: from the characters they share."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    own = np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = len(quote)
+    blank = np.append(0, np.cumsum([c.isspace() for c in text]))
+    spaces = blank[size:] - blank[:-size]
+    shared = np.minimum(spaces, sum(c.isspace() for c in quote))
+    for code, many in zip(*np.unique(own, return_counts=True), strict=True):
+        if not chr(code).isspace():
+            seen = np.append(0, np.cumsum(codes == code))
+            shared = shared + np.minimum(seen[size:] - seen[:-size], many)
+    return 2.0 * shared / np.maximum(len(_blank(quote)) + size - spaces, 1)
+
+
 def fuzzy_find(quote: str | None, text: str | None, least: float = 0.85) -> tuple[bool, int | None, float]:
     """(found, position, similarity) of the part of a text most like a quote; white space counts as one blank.
 
-    An exact match wins. Else windows of the quote's length are compared, a tenth of it apart, and one by one around each
-    that is alike enough.
+    An exact match wins. Else windows of the quote's length are compared, a tenth of it apart, and one by one up to a tenth
+    before and after each that is alike enough; the first of the best in that order is taken. Only windows that share
+    enough characters to matter are compared in full, so the answer is that of comparing all.
     """
     if not quote or not text:
         return False, None, 0.0
@@ -65,27 +80,35 @@ def fuzzy_find(quote: str | None, text: str | None, least: float = 0.85) -> tupl
     if exact >= 0:
         return True, exact, 1.0
     size, wanted = len(quote), _blank(quote)
-    step = max(1, size // 10)
-    matcher = difflib.SequenceMatcher(None, autojunk=True)
-    matcher.set_seq2(wanted)
-
-    def like(start: int, floor: float) -> float:
-        matcher.set_seq1(_blank(text[start : start + size]))
-        return matcher.ratio() if matcher.real_quick_ratio() > floor and matcher.quick_ratio() > floor else 0.0
-
-    best, at, tried = 0.0, None, 0
-    for start in range(0, max(len(text) - size, 0) + 1, step):
-        score = like(start, min(best, math.nextafter(least, 0)))
-        if score > best:
-            best, at = score, start
-        if score >= least:
-            until = min(len(text) - size + 1, start + step)
-            for fine in range(max(tried, start - step), until):
-                score = like(fine, best)
-                if score > best:
-                    best, at = score, fine
-            tried = max(tried, until)
-    return best >= least, at if best >= least else None, best
+    if len(text) < size:
+        return False, None, 0.0
+    bounds, step = _likeness_bounds(quote, text) + 1e-9, max(1, size // 10)
+    known: dict[int, float] = {}
+
+    def like(start: int) -> float:
+        if start not in known:
+            known[start] = difflib.SequenceMatcher(None, wanted, _blank(text[start : start + size])).ratio()
+        return known[start]
+
+    coarse = np.arange(0, len(bounds), step)
+    best, first = 0.0, (0, 0)
+    for k in np.argsort(-bounds[coarse], kind="stable"):
+        if bounds[coarse[k]] < min(best, least) or (bounds[coarse[k]] < best and best < least):
+            break
+        score = like(int(coarse[k]))
+        if score > best or (score == best and (k, -1) < first):
+            best, first = score, (int(k), -1)
+    if best < least:
+        return False, None, best
+    for k in np.flatnonzero(bounds[coarse] >= least):
+        if like(int(coarse[k])) < least:
+            continue
+        around = np.arange(max(coarse[k] - step, 0), min(len(bounds), coarse[k] + step))
+        for start in around[bounds[around] >= best]:
+            score = like(int(start))
+            if score > best or (score == best and (k, start) < first):
+                best, first = score, (int(k), int(start))
+    return True, int(coarse[first[0]]) if first[1] < 0 else first[1], best
 
 
 def quote_matches(pairs: DataFrame, keys: list[str], quote: str, text: str, least: float = 0.85) -> DataFrame:
@@ -114,9 +137,17 @@ def located_chunks(quotes: DataFrame, chunks: DataFrame, key: str, document: str
     return kept.select(key, "chunk_id", (F.col("similarity") == 1).alias("exact")).distinct()
 
 
-def neighbours(chunks: DataFrame, document: str, number: str, chunk_id: str, reach: int = 1) -> DataFrame:
-    """(chunk_id, neighbour_id): each chunk with those of its document at most ``reach`` away, itself included."""
-    shifted = chunks.select(document, number, F.col(chunk_id).alias("neighbour_id"), F.explode(F.array(*map(F.lit, range(-reach, reach + 1)))).alias("_shift"))
+def neighbours(chunks: DataFrame, document: str, number: str, chunk_id: str, reach: int = 1, nearest: int | None = None, least_chunks: int = 1) -> DataFrame:
+    """(chunk_id, neighbour_id): each chunk with those of its document at most ``reach`` away, itself included.
+
+    With ``nearest`` only later ones from that distance on (pairs for questions over several places), in documents of at least
+    ``least_chunks`` chunks.
+    """
+    steps = range(-reach, reach + 1) if nearest is None else range(-reach, -nearest + 1)
+    if least_chunks > 1:
+        enough = chunks.groupBy(document).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_chunks).select(document)
+        chunks = chunks.join(enough, document, "left_semi")
+    shifted = chunks.select(document, number, F.col(chunk_id).alias("neighbour_id"), F.explode(F.array(*map(F.lit, steps))).alias("_shift"))
     other = shifted.select(document, (F.col(number) + F.col("_shift")).alias(number), "neighbour_id")
     return chunks.select(document, number, chunk_id).join(other, [document, number]).select(chunk_id, "neighbour_id")
 

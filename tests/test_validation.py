@@ -1,5 +1,7 @@
+import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import layout, parsing, validation
@@ -79,7 +81,34 @@ def test_cells_markdown(spark):
 
 def test_replaced_tables(spark):
     lines = parsing.lines(spark.createDataFrame([(1, "intro\n| a |\n|---|\n| 1 |\noutro")], "page int, text string"), "page", "text")
-    old = spark.createDataFrame([(1, 1, 2, 4, 1, 0.5, 0.0)], "page int, table_no int, first_line int, last_line int, n_rows int, empty_ratio double, merged_ratio double")
-    new = spark.createDataFrame([(1, 1, "NEW", 3, 0.0, 0.0), (1, 2, "EXTRA", 2, 0.0, 0.0)], "page int, table_no int, text string, n_rows int, empty_ratio double, merged_ratio double")
+    old = spark.createDataFrame([(1, 1, 2, 4, 1, 0.5, 0.0)], "page int, table_no int, first_line int, last_line int, data_rows int, empty_ratio double, merged_ratio double")
+    new = spark.createDataFrame([(1, 1, "NEW", 3, 0.0, 0.0), (1, 2, "EXTRA", 2, 0.0, 0.0)], "page int, table_no int, text string, data_rows int, empty_ratio double, merged_ratio double")
     assert layout.replaced_tables(lines, old, new, "page").first()["text"] == "intro\nNEW\noutro\n\nEXTRA"
     assert layout.replaced_tables(lines, old, new, "page", "never_replace").first()["text"] == "intro\n| a |\n|---|\n| 1 |\noutro"
+
+
+def like_every_window(quote, text, least=0.85):
+    """(found, position, similarity) by comparing every window in turn."""
+    if not quote or not text:
+        return False, None, 0.0
+    if quote in text:
+        return True, text.index(quote), 1.0
+    size, step, best, at = len(quote), max(1, len(quote) // 10), 0.0, None
+    ratio = lambda k: difflib.SequenceMatcher(None, " ".join(quote.split()), " ".join(text[k : k + size].split())).ratio()
+    for coarse in range(0, len(text) - size + 1, step):
+        fine = range(max(0, coarse - step), min(len(text) - size + 1, coarse + step)) if ratio(coarse) >= least else ()
+        for k in (coarse, *fine):
+            if ratio(k) > best:
+                best, at = ratio(k), k
+    return best >= least, at if best >= least else None, best
+
+
+def test_fuzzy_find_against_every_window():
+    rng = random.Random(1)
+    words = "收入增长 利润下降\n the cost rose in 2020, 12.5% of sales 公司 董事会 fell ".split(" ")
+    for _ in range(120):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))
+        start = rng.randint(0, max(len(text) - 40, 0))
+        share = rng.choice([0.02, 0.1, 0.3])
+        quote = "".join(rng.choice("xyz 好\n") if rng.random() < share else c for c in text[start : start + rng.randint(3, 60)])
+        assert validation.fuzzy_find(quote, text) == pytest.approx(like_every_window(quote, text))
