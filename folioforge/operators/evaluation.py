@@ -103,3 +103,77 @@ def resolve_metrics(wanted: DataFrame, backends: DataFrame) -> DataFrame:
     """(metric, backend): the backend of highest priority that supports each wanted metric; null if none does."""
     order = Window.partitionBy("metric").orderBy(F.col("priority").asc_nulls_last(), "backend")
     return wanted.join(backends, "metric", "left").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("metric", "backend")
+
+
+def experiment_aggregate(results: DataFrame, by: list[str]) -> DataFrame:
+    """One row a group of ``by`` over retrieval, chunk, dedup and generation metrics, each a map that may be null.
+
+    Document-level means are over questions with a hit rate; chunk and dedup means take a missing metric of a question that
+    has such metrics as 0; false positives over the questions that have a rate; diversity only where there is a hit rate;
+    generation means over the values there are. What no question has is null, but the first three, which are 0.
+    """
+
+    def value(column: str, metric: str) -> Column:
+        return F.try_element_at(F.col(column), F.lit(metric))
+
+    gate = value("retrieval", "hit_rate").isNotNull()
+    mean = lambda c: F.round(F.avg(c), 9)
+    columns = [F.count("*").alias("total_questions"), F.count_if(gate).alias("applicable_questions")]
+    columns += [F.coalesce(mean(F.when(gate, value("retrieval", m))), F.lit(0.0)).alias(f"avg_{m}") for m in ("hit_rate", "mrr", "ndcg")]
+    for family in ("chunk", "dedup"):
+        held = F.coalesce(F.size(F.map_keys(family)), F.lit(0)) > 0
+        columns += [mean(F.when(held, F.coalesce(value(family, m), F.lit(0.0)))).alias(f"avg_{family}_{m}") for m in ("hit_rate", "mrr", "ndcg")]
+    columns += [mean("false_positive_rate").alias("avg_false_positive_rate"), F.count("false_positive_rate").alias("irrelevant_questions")]
+    columns += [mean(F.when(gate, value("retrieval", "retrieval_diversity"))).alias("avg_diversity")]
+    columns += [mean(value("generation", m)).alias(f"avg_{m}") for m in ("faithfulness", "answer_relevancy", "context_precision", "context_recall")]
+    columns += [share_below(value("generation", "faithfulness"), 0.5).alias("hallucination_rate")]
+    return results.groupBy(*by).agg(*columns)
+
+
+def first_backend(generation: Column, metric: str, prefixes: tuple[str, ...] = ("builtin_", "ragas_", "")) -> Column:
+    """A metric's value from the first backend, by its prefix, that has one."""
+    return F.coalesce(*(F.try_element_at(generation, F.lit(p + metric)) for p in prefixes))
+
+
+def aggregate_by_type(results: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, question_type, n, means): retrieval means over questions with a hit rate, generation ones with the fallback of backends."""
+    gate = F.try_element_at("retrieval", F.lit("hit_rate")).isNotNull()
+    retrieval = [F.round(F.avg(F.when(gate, F.try_element_at("retrieval", F.lit(m)))), 9).alias(f"avg_{m}") for m in ("hit_rate", "mrr", "ndcg", "retrieval_diversity")]
+    generation = [F.round(F.avg(first_backend(F.col("generation"), m)), 9).alias(f"avg_{m}") for m in ("faithfulness", "answer_relevancy")]
+    return results.groupBy(*by, F.coalesce("question_type", F.lit("unknown")).alias("question_type")).agg(F.count("*").alias("n"), *retrieval, *generation)
+
+
+def applicable_metrics(graded: DataFrame, key: str) -> DataFrame:
+    """(key, retrieval, chunk, dedup, false_positive_rate): metric maps that hold only what applies to a question.
+
+    ``graded`` has arrays ``sources`` and ``expected`` (normalised documents), ``chunks`` and ``expected_chunks`` of (id, stem,
+    number), and ``expect_retrieval`` (null counts as true). Document metrics need expected documents, chunk metrics expected and
+    retrieved chunks, both a question that expects a retrieval; the false-positive rate one that doesn't; diversity any hit.
+    """
+    from folioforge.functions import metrics as M
+
+    wants = F.coalesce("expect_retrieval", F.lit(True))
+    documents = wants & (F.size("expected") > 0)
+    chunks = wants & (F.size("chunks") > 0) & (F.size("expected_chunks") > 0)
+    got, wanted = F.col("sources"), F.col("expected")
+    once = F.array_distinct(got)
+    graded = graded.withColumn("_rel", F.transform("chunks", lambda c: M.chunk_relevance(c["stem"], c["number"], c["id"], F.col("expected_chunks"))))
+
+    def held(pairs: dict[str, Column]) -> Column:
+        """A map of the entries whose value is not null."""
+        entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.round(v.cast("double"), 6).alias("value")) for k, v in pairs.items())), lambda e: e["value"].isNotNull())
+        return F.map_from_entries(entries)
+
+    retrieval = {"hit_rate": M.hit_rate(got, wanted), "mrr": M.reciprocal_rank(got, wanted), "ndcg": M.ndcg(got, wanted), **{f"recall_{k}": M.recall(got, wanted, k) for k in (3, 5, 10)}}
+    retrieval = {k: F.when(documents, v) for k, v in retrieval.items()} | {"retrieval_diversity": F.when(F.size(got) > 0, M.diversity(got))}
+    chunk = {"hit_rate": M.chunk_hit(F.col("_rel")), "mrr": M.chunk_reciprocal_rank(F.col("_rel")), "ndcg": M.chunk_ndcg(F.col("_rel"), F.size("expected_chunks"))}
+    dedup = {"hit_rate": M.hit_rate(once, wanted), "mrr": M.reciprocal_rank(once, wanted), "ndcg": M.ndcg(once, wanted)}
+    return graded.select(
+        key, held(retrieval).alias("retrieval"), held({k: F.when(chunks, v) for k, v in chunk.items()}).alias("chunk"), held({k: F.when(documents, v) for k, v in dedup.items()}).alias("dedup"),
+        F.when(~wants, F.round(M.false_positive_rate(got), 6)).alias("false_positive_rate"),
+    )
+
+
+def compared_metrics(wanted: DataFrame, backends: DataFrame) -> DataFrame:
+    """(metric, backend, column): every backend that supports a wanted metric, with the prefixed name its values get."""
+    return wanted.join(backends, "metric").select("metric", "backend", F.concat_ws("_", "backend", "metric").alias("column"))

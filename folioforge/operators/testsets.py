@@ -55,6 +55,56 @@ def audit(questions: DataFrame) -> DataFrame:
     return held.select("test_set", "source_path", "n", F.round(share, 6).alias("share"), (share > 0.15).alias("skewed"))
 
 
+# Endings of company names that a template's pattern takes with the name.
+NAME_ENDINGS = "集团|股份|公司|银行|医药|时代|电器|水泥|味业|白药|茅台|老窖"
+
+
+def question_pattern(question: Column) -> Column:
+    """A question with names, years and numbers replaced, so that those from one template are equal."""
+    named = F.regexp_replace(question, f"[\u4e00-\u9fff]{{2,6}}({NAME_ENDINGS})?", "X")
+    return F.regexp_replace(F.regexp_replace(named, r"\d{4}", "YEAR"), r"[\d,.]+%?", "NUM")
+
+
+def repeated_patterns(questions: DataFrame, by: str, least: int = 3) -> DataFrame:
+    """(by, pattern, n): patterns that at least so many questions of a test set have."""
+    return questions.groupBy(by, question_pattern(F.coalesce("question", F.lit(""))).alias("pattern")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def _first_source() -> Column:
+    return F.coalesce(F.get("source_files", F.lit(0)), F.lit("unknown"))
+
+
+def concentrated(questions: DataFrame, by: str, most: int = 2) -> DataFrame:
+    """(by, source_path, question_type, n): more than ``most`` questions of one type about one document; irrelevant ones aside."""
+    asked = questions.where(~F.col("question_type").eqNullSafe("irrelevant"))
+    return asked.groupBy(by, _first_source().alias("source_path"), F.coalesce("question_type", F.lit("unknown")).alias("question_type")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def shared_entities(questions: DataFrame, by: str, key: str, entities: Column) -> DataFrame:
+    """(by, source_path, entities, n, first_id): questions about one document that name the same two or more entities."""
+    asked = questions.where(~F.col("question_type").eqNullSafe("irrelevant")).withColumn("entities", F.array_sort(F.coalesce(entities, F.array().cast("array<string>"))))
+    grouped = asked.where(F.size("entities") >= 2).groupBy(by, _first_source().alias("source_path"), F.array_join("entities", "|").alias("entities"))
+    return grouped.agg(F.count("*").alias("n"), F.min(key).alias("first_id")).where("n >= 2")
+
+
+def difficulty_histogram(questions: DataFrame, by: str) -> DataFrame:
+    """(by, difficulty, n); questions without one are unknown."""
+    return questions.groupBy(by, F.coalesce("difficulty", F.lit("unknown")).alias("difficulty")).agg(F.count("*").alias("n"))
+
+
+def most_common(questions: DataFrame, by: str, value: Column, name: str, k: int = 10) -> DataFrame:
+    """(by, name, n, place): the k commonest values of each group; ties go to the smaller value."""
+    counted = questions.groupBy(by, value.alias(name)).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(by).orderBy(F.desc("n"), name)
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def tier(score: Column, given: Column | None = None) -> Column:
+    """A from a mean of 4, B from 3, else C; a tier that is given wins."""
+    scored = F.when(score >= 4, "A").when(score >= 3, "B").otherwise("C")
+    return scored if given is None else F.coalesce(given, scored)
+
+
 def repeated(questions: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of questions that agree in ``keys``, with their size, where there is more than one."""
     return questions.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -425,4 +425,86 @@ def oracle_sql() -> dict[str, str]:
         p AS (SELECT path FROM f UNION ALL SELECT regexp_replace(path, '\.([^./]*)$', CASE n % 3 WHEN 0 THEN '_摘要' WHEN 1 THEN '_英文版_' ELSE '_修订版_' END || '.\1') FROM f WHERE n % 2 = 0),
         g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace({_stem("path")}, '(_摘要|摘要|_英文版_|_修订版_)$', '') AS group_key, path FROM p)
         SELECT group_key, array_to_string(list_sort(list_distinct(list(path))), '|') AS members FROM g GROUP BY group_key HAVING count(DISTINCT path) > 1"""
+    sql["multi_hop_pairs"] = f"""WITH c AS ({sql["fixed_chunks"]}), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c)
+        SELECT a.chunk_id, b.chunk_id AS neighbour_id FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.chunk_index - a.chunk_index BETWEEN 2 AND 4 WHERE a.n >= 3"""
+    forms = [("亿元", "亿", 1e8), ("万元", "万", 1e4), ("元", "元", 1), ("%", "%", 1), ("％", "%", 1), ("个百分点", "百分点", 1), ("个", "个", 1), ("", "", 1)]
+    numbers = lambda text: "list_concat(" + ", ".join(rf"list_transform(regexp_extract_all({text}, '(\d+[\d,]*\.?\d*)\s*{suffix}', 1), lambda x: {{'v': TRY_CAST(replace(x, ',', '') AS DOUBLE), 'u': '{unit}', 'b': TRY_CAST(replace(x, ',', '') AS DOUBLE) * {factor}, 's': x || '{unit}'}})" if suffix else rf"list_transform(regexp_extract_all({text}, '\d+[\d,]*\.?\d*'), lambda x: {{'v': TRY_CAST(replace(x, ',', '') AS DOUBLE), 'u': '', 'b': TRY_CAST(replace(x, ',', '') AS DOUBLE) * {factor}, 's': x}})" for suffix, unit, factor in forms) + ")"
+    sql["unsupported_numbers"] = f"""WITH q AS (SELECT id, answer, ground_truth_excerpt AS e FROM {_Q} WHERE coalesce(answer, '') <> '' AND coalesce(ground_truth_excerpt, '') <> ''),
+        x AS (SELECT id, unnest({numbers("answer")}) AS a, generate_subscripts({numbers("answer")}, 1) AS k, e FROM q),
+        w AS (SELECT id, a, k, e FROM x WHERE a.v >= 10),
+        t AS (SELECT w.id, w.k, w.a, bool_or(abs(w.a.b - n.b) / greatest(n.b, 1) < 0.01 OR abs(w.a.v - n.v) / greatest(n.v, 1) < 0.05
+                OR (n.u = '元' AND ((w.a.u = '亿' AND abs(w.a.v - n.v / 1e8) < 0.01) OR (w.a.u = '万' AND abs(w.a.v - n.v / 1e4) < 0.01)))) AS found
+              FROM w LEFT JOIN (SELECT id, unnest({numbers("e")}) AS n FROM q) y ON w.id = y.id GROUP BY w.id, w.k, w.a)
+        SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) AS INTEGER) AS issue_no, a.s AS number FROM t WHERE NOT coalesce(found, false)"""
+    sql["sign_contradictions"] = rf"""WITH t AS (SELECT id, coalesce(answer, '') || CASE WHEN {n} % 2 = 0 THEN '，为负 ' || {n} % 25 || '.5' ELSE '' END AS a,
+                coalesce(ground_truth_excerpt, '') || CASE WHEN {n} % 3 = 0 THEN ' -' || {n} % 25 || '.5' ELSE '' END AS e FROM {_Q}),
+        p AS (SELECT id, a, e, list_filter(list_transform(regexp_extract_all(a, '(-?\d+[\d,.]*\d*|-?\d+)'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda x: x > 0) AS v FROM t)
+        SELECT id, (contains(a, '负值') OR contains(a, '为负') OR contains(a, '负数')) AND
+            (len(list_filter(v, lambda x: contains(e, '-' || x) OR contains(e, format('-{{:,.2f}}', x)))) > 0 OR len(list_filter(v, lambda x: x > 10)) > 0) AS contradicts FROM p"""
+    sql["question_patterns"] = rf"""WITH p AS (SELECT test_set, regexp_replace(regexp_replace(regexp_replace(coalesce(question, ''), '[\x{{4e00}}-\x{{9fff}}]{{2,6}}(集团|股份|公司|银行|医药|时代|电器|水泥|味业|白药|茅台|老窖)?', 'X', 'g'),
+            '\d{{4}}', 'YEAR', 'g'), '[\d,.]+%?', 'NUM', 'g') AS pattern FROM {_Q}) SELECT test_set, pattern, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 3"""
+    first_source = "coalesce(source_files[1], 'unknown')"
+    sql["concentrated_questions"] = f"""SELECT test_set, {first_source} AS source_path, coalesce(question_type, 'unknown') AS question_type, count(*) AS n
+        FROM {_Q} WHERE question_type IS DISTINCT FROM 'irrelevant' GROUP BY ALL HAVING count(*) > 2"""
+    sql["shared_entities"] = f"""WITH e AS (SELECT expect_retrieval, id, {first_source} AS source_path, list_sort(list_filter([question_type, difficulty], lambda x: x IS NOT NULL)) AS entities FROM {_Q} WHERE question_type IS DISTINCT FROM 'irrelevant')
+        SELECT expect_retrieval, source_path, array_to_string(entities, '|') AS entities, count(*) AS n, min(id) AS first_id FROM e WHERE len(entities) >= 2 GROUP BY ALL HAVING count(*) >= 2"""
+    sql["difficulty_histogram"] = f"SELECT test_set, coalesce(difficulty, 'unknown') AS difficulty, count(*) AS n FROM {_Q} GROUP BY ALL"
+    sql["common_sources"] = f"""WITH h AS (SELECT test_set, unnest(source_files) AS source_path FROM {_Q}), c AS (SELECT test_set, source_path, count(*) AS n FROM h GROUP BY ALL)
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY test_set ORDER BY n DESC, source_path) AS INTEGER) AS place FROM c) WHERE place <= 10"""
+    sql["question_tiers"] = f"""WITH m AS (SELECT id, {n} AS n FROM {_Q}), s AS (SELECT id, n, (n % 5 + n // 5 % 5 + n // 25 % 5 + n // 125 % 5) / 4.0 + 1 AS score FROM m)
+        SELECT id, CASE WHEN n % 50 = 0 THEN 'C' WHEN score >= 4 THEN 'A' WHEN score >= 3 THEN 'B' ELSE 'C' END AS tier FROM s"""
+    metrics = f"""metrics AS (SELECT DISTINCT unnest(list_concat(coalesce(map_keys(retrieval_metrics), []), coalesce(map_keys(generation_metrics), []))) AS metric FROM {_R}),
+        backends AS (SELECT * FROM (VALUES ('faithfulness', 'external', 2), ('faithfulness', 'builtin', 1), ('answer_relevancy', 'external', 1), ('hit_rate', 'builtin', 1), ('mrr', 'builtin', NULL)) v(metric, backend, priority))"""
+    sql["metric_backends"] = f"WITH {metrics} SELECT metric, arg_min(backend, coalesce(priority, 99)) AS backend FROM metrics LEFT JOIN backends USING (metric) GROUP BY metric"
+    sql["metric_columns"] = f"WITH {metrics} SELECT metric, backend, backend || '_' || metric AS \"column\" FROM metrics JOIN backends USING (metric)"
+    blocks = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT *, k * 12.0 AS y0, k * 12.0 + 10 AS y1, doc_id % 2 = 0 AND k % 3 = 1 AS right_side, CASE WHEN k = 0 THEN 17.0 WHEN k % 7 = 0 THEN 12.5 ELSE 10.0 END AS size, k % 7 = 0 AS bold,
+                regexp_replace(text, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS bare FROM l WHERE trim(text, ' ') <> ''),
+        z AS (SELECT *, (length(bare) < 80 AND (y0 < 80 OR y1 > 720)) OR regexp_matches(bare, '请务必阅读.{0,20}声明') OR regexp_matches(bare, '^\s*\d+\s*$') OR regexp_matches(bare, '^\s*\d+\s*/\s*\d+\s*$')
+                OR regexp_matches(bare, '(?:内部资料|机密|仅供参考).{0,30}$') OR regexp_matches(bare, '^(?:www\.|http).+$') AS noise,
+                CASE WHEN NOT bold THEN '' WHEN size > 16 THEN '#' WHEN size > 14 THEN '##' WHEN size > 12 THEN '###' WHEN size > 11 AND length(text) < 100 THEN '####' ELSE '' END AS mark FROM b)"""
+    sql["noise_blocks"] = f"WITH {blocks} SELECT doc_id, count(*) AS blocks, count(*) FILTER (noise) AS noise FROM z GROUP BY doc_id"
+    sql["page_columns"] = f"""WITH {blocks}, s AS (SELECT doc_id, count(*) FILTER (NOT right_side) AS a, count(*) FILTER (right_side) AS b FROM z GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN a > 2 AND b > 2 AND least(a, b)::DOUBLE / greatest(a, b) > 0.3 THEN 2 ELSE 1 END AS n_columns FROM s"""
+    sql["block_headings"] = f"WITH {blocks} SELECT doc_id, CAST(k AS INTEGER) AS k, mark FROM z WHERE mark <> ''"
+    sql["page_markdown"] = f"""WITH {blocks}, s AS (SELECT doc_id, count(*) FILTER (NOT right_side) AS a, count(*) FILTER (right_side) AS b FROM z WHERE NOT noise GROUP BY doc_id),
+        o AS (SELECT z.*, CASE WHEN a > 2 AND b > 2 AND least(a, b)::DOUBLE / greatest(a, b) > 0.3 AND right_side THEN 1 ELSE 0 END AS side FROM z JOIN s USING (doc_id) WHERE NOT noise)
+        SELECT doc_id, string_agg(CASE WHEN mark <> '' THEN mark || ' ' ELSE '' END || text, chr(10) || chr(10) ORDER BY side, y0) AS text FROM o GROUP BY doc_id"""
+    sql["cells_markdown"] = r"""WITH r AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:8], lambda l: string_split(l, ' ')[1:5]) AS rows FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, list_max(list_transform(rows, lambda r: len(r))) AS width, rows FROM r),
+        p AS (SELECT doc_id, width, list_filter(list_transform(rows, lambda r: [trim(regexp_replace(coalesce(r[i], ''), '\s*\n\s*', ' ', 'g'), ' ') for i in range(1, width + 1)]),
+                lambda r: len([c for c in r if c <> '']) > 0 AND (width < 4 OR len([c for c in r if c <> '']) * 2 > width)) AS rows FROM w)
+        SELECT doc_id, CASE WHEN len(rows) = 0 THEN '' ELSE array_to_string(list_concat(['| ' || array_to_string(rows[1], ' | ') || ' |', '|' || repeat(' --- |', width)], [('| ' || array_to_string(x, ' | ') || ' |') for x in rows[2:]]), chr(10)) END AS markdown FROM p"""
+    sql["issue_transitions"] = f"""WITH t AS (SELECT question_id, result_id, finished_at, CASE WHEN error IS NOT NULL THEN 'failed' WHEN answer IS NULL THEN 'open' ELSE 'done' END AS to_state FROM {_R}),
+        m AS (SELECT result_id, lag(to_state) OVER (PARTITION BY question_id ORDER BY finished_at NULLS FIRST, result_id) AS from_state, to_state FROM t)
+        SELECT from_state, to_state, result_id, (from_state, to_state) IN (('open', 'done'), ('open', 'failed'), ('failed', 'open'), ('failed', 'done')) AS allowed FROM m WHERE from_state IS NOT NULL"""
+    once = "list_filter(g, lambda v, n: list_position(g, v) = n)"
+    graded = rf"""q AS (SELECT id, question_type, coalesce(expect_retrieval, true) AS wants, coalesce(list_reverse(source_chunks), []) AS r, coalesce(source_chunks, []) AS ec, [{_stem("p")} for p in coalesce(source_files, [])] AS e FROM {_Q}),
+        m AS (SELECT *, [CASE WHEN i % 2 = 1 THEN ({_chunk_stem("r[i]")}) || '::chunk::' || lpad((regexp_extract(r[i], '(\d+)$', 1)::INTEGER + 1)::VARCHAR, 3, '0') ELSE r[i] END for i in range(1, len(r) + 1)] AS c FROM q),
+        w AS (SELECT *, [{_stem("(" + _chunk_stem("x") + ")")} for x in c] AS g, [CASE WHEN list_contains(ec, y) THEN 2 WHEN len([x for x in ec if ({_chunk_stem("x")}) = ({_chunk_stem("y")})
+                AND abs(regexp_extract(x, '(\d+)$', 1)::INTEGER - regexp_extract(y, '(\d+)$', 1)::INTEGER) <= 1]) > 0 THEN 1 ELSE 0 END for y in c] AS rel FROM m),
+        k AS (SELECT *, wants AND len(e) > 0 AS has_documents, wants AND len(c) > 0 AND len(ec) > 0 AS has_chunks FROM w),
+        d AS (SELECT id, {hit5} AS hit_rate, round(coalesce(1.0 / list_min([i for i in range(1, len(g) + 1) if list_contains(e, g[i])]), 0), 6) AS mrr,
+                CASE WHEN len(e) > 0 THEN round({_NDCG.format(kept="g[1:5]")}, 6) END AS ndcg FROM (SELECT id, {once} AS g, e FROM k)),
+        v AS (SELECT id, question_type, wants, {", ".join(f"CASE WHEN has_documents THEN round(len(list_intersect(g[1:{x}], list_distinct(e)))::DOUBLE / len(list_distinct(e)), 6) END AS recall_{x}" for x in (3, 5, 10))},
+                CASE WHEN has_documents THEN {hit5} END AS hit_rate, CASE WHEN has_documents THEN round(coalesce(1.0 / list_min([i for i in range(1, len(g) + 1) if list_contains(e, g[i])]), 0), 6) END AS mrr,
+                CASE WHEN has_documents THEN round({_NDCG.format(kept="list_filter(g[1:5], lambda v, n: list_position(g[1:5], v) = n)")}, 6) END AS ndcg,
+                CASE WHEN len(g) > 0 THEN round(len(list_distinct(g[1:5]))::DOUBLE / len(g[1:5]), 6) END AS retrieval_diversity,
+                CASE WHEN has_chunks THEN CAST(coalesce(list_max(rel[1:5]), 0) > 0 AS DOUBLE) END AS chunk_hit_rate, CASE WHEN has_chunks THEN round(coalesce(1.0 / list_min([i for i in range(1, len(rel) + 1) if rel[i] > 0]), 0), 6) END AS chunk_mrr,
+                CASE WHEN has_chunks THEN round(least(1.0, coalesce(list_sum([(2.0 ** rel[i] - 1) / log2(i + 1) for i in range(1, least(len(rel), 5) + 1)]), 0) / list_sum([3.0 / log2(i + 1) for i in range(1, least(len(ec), 5) + 1)])), 6) END AS chunk_ndcg,
+                CASE WHEN has_documents THEN d.hit_rate END AS dedup_hit_rate, CASE WHEN has_documents THEN d.mrr END AS dedup_mrr, CASE WHEN has_documents THEN d.ndcg END AS dedup_ndcg,
+                CASE WHEN NOT wants THEN round(least(len(g), 5) / 5.0, 6) END AS false_positive_rate FROM k JOIN d USING (id))"""
+    shown = lambda **fields: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{k}=' || printf('%.4f', {c}) END" for k, c in fields.items()) + "], lambda x: x IS NOT NULL)), ';')"
+    sql["applicable_metrics"] = f"""WITH {graded} SELECT id, {shown(**{x: x for x in ("hit_rate", "mrr", "ndcg", "recall_3", "recall_5", "recall_10", "retrieval_diversity")})} AS retrieval,
+        {shown(**{x: f"chunk_{x}" for x in ("hit_rate", "mrr", "ndcg")})} AS chunk, {shown(**{x: f"dedup_{x}" for x in ("hit_rate", "mrr", "ndcg")})} AS dedup, false_positive_rate FROM v"""
+    joined = f"j AS (SELECT r.variant, r.generation_metrics AS gen, v.* FROM {_R} r JOIN v ON v.id = r.question_id)"
+    gen = lambda m: f"round(avg(gen['{m}']), 9) AS avg_{m}"
+    sql["experiment_aggregate"] = f"""WITH {graded}, {joined} SELECT variant, count(*) AS total_questions, count(hit_rate) AS applicable_questions,
+        {", ".join(f"coalesce(round(avg({m}) FILTER (hit_rate IS NOT NULL), 9), 0) AS avg_{m}" for m in ("hit_rate", "mrr", "ndcg"))},
+        {", ".join(f"round(avg(coalesce({f}_{m}, 0)) FILTER ({f}_hit_rate IS NOT NULL), 9) AS avg_{f}_{m}" for f in ("chunk", "dedup") for m in ("hit_rate", "mrr", "ndcg"))},
+        round(avg(false_positive_rate), 9) AS avg_false_positive_rate, count(false_positive_rate) AS irrelevant_questions, round(avg(retrieval_diversity) FILTER (hit_rate IS NOT NULL), 9) AS avg_diversity,
+        {", ".join(gen(m) for m in ("faithfulness", "answer_relevancy", "context_precision", "context_recall"))},
+        CASE WHEN count(gen['faithfulness']) > 0 THEN round((count(*) FILTER (gen['faithfulness'] < 0.5))::DOUBLE / count(gen['faithfulness']), 6) END AS hallucination_rate FROM j GROUP BY variant"""
+    sql["aggregate_by_type"] = f"""WITH {graded}, {joined} SELECT variant, coalesce(question_type, 'unknown') AS question_type, count(*) AS n,
+        {", ".join(f"round(avg({m}) FILTER (hit_rate IS NOT NULL), 9) AS avg_{m}" for m in ("hit_rate", "mrr", "ndcg", "retrieval_diversity"))}, {gen("faithfulness")}, {gen("answer_relevancy")} FROM j GROUP BY ALL"""
     return sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import metrics as M
@@ -19,6 +19,9 @@ class Settings:
     method: str = "hybrid"
     top_k: int = 5
     score_threshold: float = 0.0
+    chunking: str = "fixed"
+    page_overlap: int = 0
+    rewriting: str = "none"
     chunk_size: int = 512
     overlap: int = 0
     k1: float = 1.5
@@ -35,12 +38,14 @@ class Settings:
     def __post_init__(self) -> None:
         if self.method not in ("vector", "bm25", "hybrid") or self.fusion not in ("rrf", "weighted"):
             raise ValueError("unknown method or fusion")
+        if self.chunking not in ("fixed", "page_aware", "semantic") or self.rewriting not in ("none", "hyde", "multi_query"):
+            raise ValueError("unknown way of chunking or rewriting")
         if not 0 <= self.overlap < self.chunk_size:
             raise ValueError("overlap must be at least 0 and less than the chunk size")
 
     def chunk_fingerprint(self) -> str:
         """Name of the chunks: variants that agree in it share them."""
-        return snapshots.config_hash({"size": self.chunk_size, "overlap": self.overlap})
+        return snapshots.config_hash({"strategy": self.chunking, "size": self.chunk_size, "overlap": self.overlap, "page_overlap": self.page_overlap})
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings, key: str = "chunk_id", text: str = "text", query: str = "id", question: str = "question") -> DataFrame:
@@ -75,9 +80,45 @@ def assemble(hits: DataFrame, chunks: DataFrame, settings: Settings, key: str =
     return search.prompts(search.within_budget(counted, query, "_tokens", settings.context_budget), query, "_source", "_text")
 
 
-def chunked(documents: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
-    """Chunks of the documents under the settings."""
-    return chunking.fixed_chunks(documents, key, text, settings.chunk_size, settings.overlap)
+def chunked(documents: DataFrame, settings: Settings, key: str, text: str, embed=None) -> DataFrame:
+    """(chunk_id, key, text) of the documents under the settings' strategy.
+
+    ``page_aware`` cuts at form feeds first and carries ``page_overlap`` tokens over; ``semantic`` needs ``embed``, which gives
+    a vector for each of a list of sentences.
+    """
+    if settings.chunking == "fixed":
+        return chunking.fixed_chunks(documents, key, text, settings.chunk_size, settings.overlap)
+    if settings.chunking == "page_aware":
+        pages = chunking.pages_of(documents, key, text)
+        return chunking.page_chunks(pages, key, "page_number", "text", settings.chunk_size, settings.overlap, settings.page_overlap)
+    if embed is None:
+        raise ValueError("semantic chunks need a function that embeds sentences")
+    cuts = chunking.semantic_chunks(documents, key, text, embed, settings.chunk_size, max(settings.chunk_size // 8, 1))
+    return cuts.select(F.format_string("%s::chunk::%03d", F.col(key).cast("string"), "chunk_index").alias("chunk_id"), key, "chunk_index", "text")
+
+
+def rewritten(questions: DataFrame, settings: Settings, generate=None, query: str = "id", question: str = "question", most: int = 3) -> DataFrame:
+    """(query, sub_no, text): the texts that are searched for each question.
+
+    ``none`` the question itself; ``hyde`` the answer that ``generate`` makes up for it; ``multi_query`` the lines of what it
+    gives, without numbering, at most ``most``. A question for which nothing comes back is searched as it is.
+    """
+    asked = questions.select(query, F.col(question).alias("_question"))
+    if settings.rewriting == "none":
+        return asked.select(query, F.lit(0).alias("sub_no"), F.col("_question").alias("text"))
+    if generate is None:
+        raise ValueError("rewriting needs a function that generates a text for each of a column of prompts")
+    given = asked.withColumn("_given", generate(F.col("_question")))
+    if settings.rewriting == "hyde":
+        return given.select(query, F.lit(0).alias("sub_no"), F.when(F.trim("_given") != "", F.col("_given")).otherwise(F.col("_question")).alias("text"))
+    lines = F.filter(F.transform(F.split(F.trim("_given"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    bare = F.slice(F.transform(lines, lambda x: F.regexp_replace(x, r"^[0-9.\-) ]+", "")), 1, most)
+    return given.select(query, F.posexplode(F.when(F.size(bare) > 0, bare).otherwise(F.array("_question"))).alias("sub_no", "text"))
+
+
+def chosen_score(score: Column, rerank_score: Column, several: bool) -> Column:
+    """Score that a hit shows: that of re-ranking, where there is one, if several queries were merged; else its own."""
+    return F.coalesce(rerank_score, score) if several else score
 
 
 def quality(hits: DataFrame, questions: DataFrame, source: str, query: str = "id", expected: str = "expected_sources", k: int = 5) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import metrics as M
 from folioforge.functions import text as T
-from folioforge.operators import accounting, chunking, evaluation, parsing, search, snapshots, testsets, traces, validation
+from folioforge.operators import accounting, chunking, evaluation, evidence, layout, parsing, search, snapshots, testsets, traces, validation
 from folioforge.oracle import oracle_sql  # noqa: F401
 from folioforge.plans import pipeline
-from folioforge.runtime import read_table
+from folioforge.runtime import cut, read_table
 from folioforge.streaming import accounting as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,7 +138,7 @@ def search_quality(spark, folder):
 def answer_pipeline(spark, folder):
     settings = pipeline.Settings(chunk_size=64, overlap=16, rerank=True)
     documents = read_table(spark, folder, "documents")
-    chunks = pipeline.chunked(documents, settings, "doc_id", "text").withColumn("source", F.col("doc_id").cast("string"))
+    chunks = cut(pipeline.chunked(documents, settings, "doc_id", "text").select("chunk_id", "text", F.col("doc_id").cast("string").alias("source")))
     asked = _asked(spark, folder)
     return pipeline.assemble(pipeline.retrieve(chunks, asked, settings), chunks, settings)
 
@@ -702,3 +702,207 @@ def equivalent_hits(spark, folder):
     expected = snapshots.canonical(questions.select("id", posix("source_files").alias("e")), "id", "e", groups)
     retrieved = snapshots.canonical(questions.select("id", posix(F.reverse("source_files")).alias("g")), "id", "g", groups)
     return expected.join(retrieved, "id").select("id", F.size("e").alias("n_expected"), F.round(M.ndcg(F.col("g"), F.col("e")), 6).alias("ndcg"), M.hit_rate(F.col("g"), F.col("e"), 1).alias("hit_1"))
+
+
+@_query
+def multi_hop_pairs(spark, folder):
+    """Chunks 2 to 4 apart in documents of at least three chunks."""
+    chunks = chunking.fixed_chunks(read_table(spark, folder, "documents"), "doc_id", "text", 64, 16).select("doc_id", "chunk_index", "chunk_id")
+    return validation.neighbours(chunks, "doc_id", "chunk_index", "chunk_id", 4, 2, 3)
+
+
+@_query
+def unsupported_numbers(spark, folder):
+    """Numbers of reference answers that their excerpts lack."""
+    missing = evidence.unsupported_numbers(F.col("answer"), F.col("ground_truth_excerpt"))
+    return _questions(spark, folder).select("id", F.posexplode(missing).alias("k", "number")).select("id", (F.col("k") + 1).alias("issue_no"), "number")
+
+
+@_query
+def sign_contradictions(spark, folder):
+    """Answers, some of which call a value negative, against excerpts that have some of the values with a minus."""
+    n = _number("id")
+    told = F.concat(F.coalesce("answer", F.lit("")), F.when(n % 2 == 0, F.concat(F.lit("，为负 "), (n % 25).cast("string"), F.lit(".5"))).otherwise(""))
+    excerpt = F.concat(F.coalesce("ground_truth_excerpt", F.lit("")), F.when(n % 3 == 0, F.concat(F.lit(" -"), (n % 25).cast("string"), F.lit(".5"))).otherwise(""))
+    return _questions(spark, folder).select("id", evidence.sign_contradiction(told, excerpt).alias("contradicts"))
+
+
+def _quoted(spark, folder):
+    """(evidence, segments, documents): excerpts as quotes of one segment of their document, some of a wrong or no segment, some altered."""
+    path, n = F.translate(F.get("source_files", 0), "\\", "/"), _number("id")
+    documents = _loaded(spark, folder).select(F.translate("source_path", "\\", "/").alias("path"), "content").where("content is not null")
+    pages = chunking.pages_of(documents, "path", "content")
+    segments = cut(chunking.page_segments(pages, "path", "page_number", "text", 600).select("path", "segment_index", "pages", "text"))
+    quote = F.when(n % 6 == 5, F.regexp_replace("ground_truth_excerpt", "^(.{12}).", "$1_")).otherwise(F.col("ground_truth_excerpt"))
+    index = F.when(n % 9 != 0, F.when(n % 10 == 3, 10_000).otherwise(n % 4)).cast("int")
+    quotes = _questions(spark, folder).where("ground_truth_excerpt is not null").select("id", path.alias("path"), index.alias("segment_index"), quote.alias("quote"))
+    return quotes.where("path is not null"), segments, documents
+
+
+@_query
+def checked_evidence(spark, folder):
+    return evidence.checked_evidence(*_quoted(spark, folder), ["id"], "path")
+
+
+@_query
+def evidence_rates(spark, folder):
+    return evidence.evidence_rates(_questions(spark, folder), checked_evidence(spark, folder), "id", "test_set")
+
+
+@_query
+def gated_questions(spark, folder):
+    path = F.translate("source_path", "\\", "/")
+    documents = _loaded(spark, folder).select(path.alias("path"), "content")
+    asked = _questions(spark, folder).withColumn("path", F.translate(F.get("source_files", 0), "\\", "/")).join(documents, "path", "left")
+    checked = evidence.gated(asked.withColumn("quotes", F.col("ground_truth_excerpt")), "id", "content", "quotes")
+    return checked.select("id", "answer", "corrected", "contradicts_sign", "excerpt_verified", F.size("unsupported").alias("unsupported"), "kept")
+
+
+def _graded(spark, folder):
+    """Questions with their chunks as expected ones and the same, moved and turned, as retrieved ones."""
+    struct = lambda c: F.struct(c.alias("id"), T.chunk_stem(c).alias("stem"), T.chunk_number(c).alias("number"))
+    moved = F.transform(F.reverse("source_chunks"), lambda c, k: F.when(k % 2 == 0, F.format_string("%s::chunk::%03d", T.chunk_stem(c), T.chunk_number(c) + 1)).otherwise(c))
+    asked = _questions(spark, folder).withColumn("_got", F.coalesce(moved, F.array().cast("array<string>")))
+    return asked.select(
+        "id", "question_type", "test_set", "expect_retrieval", F.transform("_got", lambda c: T.stem(T.chunk_stem(c))).alias("sources"),
+        F.transform(F.coalesce("source_files", F.array().cast("array<string>")), lambda p: T.stem(p)).alias("expected"),
+        F.transform("_got", struct).alias("chunks"), F.transform(F.coalesce("source_chunks", F.array().cast("array<string>")), struct).alias("expected_chunks"),
+    )
+
+
+@_query
+def applicable_metrics(spark, folder):
+    metrics = evaluation.applicable_metrics(_graded(spark, folder), "id")
+    shown = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))), ";")
+    return metrics.select("id", *(shown(c).alias(c) for c in ("retrieval", "chunk", "dedup")), "false_positive_rate")
+
+
+def _aggregated(spark, folder):
+    metrics = evaluation.applicable_metrics(_graded(spark, folder), "id").withColumnRenamed("id", "question_id")
+    types = _questions(spark, folder).select(F.col("id").alias("question_id"), "question_type")
+    return _results(spark, folder, "variant", "question_id", "generation_metrics").withColumnRenamed("generation_metrics", "generation").join(metrics, "question_id").join(types, "question_id")
+
+
+@_query
+def experiment_aggregate(spark, folder):
+    return evaluation.experiment_aggregate(_aggregated(spark, folder), ["variant"])
+
+
+@_query
+def aggregate_by_type(spark, folder):
+    return evaluation.aggregate_by_type(_aggregated(spark, folder), ["variant"])
+
+
+@_query
+def question_patterns(spark, folder):
+    return testsets.repeated_patterns(_questions(spark, folder), "test_set")
+
+
+@_query
+def concentrated_questions(spark, folder):
+    return testsets.concentrated(_questions(spark, folder), "test_set")
+
+
+@_query
+def shared_entities(spark, folder):
+    """Questions about one document with the same kind and difficulty, taken as entities."""
+    return testsets.shared_entities(_questions(spark, folder), "expect_retrieval", "id", F.array_compact(F.array("question_type", "difficulty")))
+
+
+@_query
+def difficulty_histogram(spark, folder):
+    return testsets.difficulty_histogram(_questions(spark, folder), "test_set")
+
+
+@_query
+def common_sources(spark, folder):
+    held = _questions(spark, folder).select("test_set", F.explode("source_files").alias("source_path"))
+    return testsets.most_common(held, "test_set", F.col("source_path"), "source_path")
+
+
+@_query
+def question_tiers(spark, folder):
+    """Tiers by a mean of four marks from 1 to 5, made up from the number of the question."""
+    n = _number("id")
+    mean = (n % 5 + (n / 5).cast("long") % 5 + (n / 25).cast("long") % 5 + (n / 125).cast("long") % 5) / 4 + 1
+    return _questions(spark, folder).select("id", testsets.tier(mean, F.when(n % 50 == 0, "C")).alias("tier"))
+
+
+@_query
+def metric_backends(spark, folder):
+    """Which backend computes each metric that results have: the first of those that support it, by priority."""
+    wanted = _long(spark, folder).select("metric").distinct()
+    return evaluation.resolve_metrics(wanted, _backends(spark))
+
+
+def _backends(spark):
+    rows = [("faithfulness", "external", 2), ("faithfulness", "builtin", 1), ("answer_relevancy", "external", 1), ("hit_rate", "builtin", 1), ("mrr", "builtin", None)]
+    return spark.createDataFrame(rows, "metric string, backend string, priority int")
+
+
+@_query
+def metric_columns(spark, folder):
+    """Every backend's column for each metric that results have, for comparisons."""
+    return evaluation.compared_metrics(_long(spark, folder).select("metric").distinct(), _backends(spark))
+
+
+def _blocks(spark, folder):
+    """Lines of documents as text blocks of a page, in two columns where the document's number is even."""
+    lines = read_table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "text")).where(F.trim("text") != "")
+    right = (F.col("doc_id") % 2 == 0) & (F.col("k") % 3 == 1)
+    top = (F.col("k") * 12).cast("double")
+    return lines.select(
+        "doc_id", "k", "text", F.when(right, 320.0).otherwise(40.0).alias("x0"), F.when(right, 560.0).otherwise(280.0).alias("x1"), top.alias("y0"), (top + 10).alias("y1"),
+        F.when(F.col("k") == 0, 17.0).when(F.col("k") % 7 == 0, 12.5).otherwise(10.0).alias("font_size"), (F.col("k") % 7 == 0).alias("is_bold"),
+        F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"),
+    )
+
+
+@_query
+def noise_blocks(spark, folder):
+    noise = layout.is_noise(F.col("text"), F.col("y0"), F.col("y1"), F.col("page_height"))
+    return _blocks(spark, folder).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(noise).alias("noise"))
+
+
+@_query
+def page_columns(spark, folder):
+    return layout.with_columns(_blocks(spark, folder), ["doc_id"]).groupBy("doc_id").agg(F.max("n_columns").alias("n_columns"))
+
+
+@_query
+def block_headings(spark, folder):
+    mark = F.trim(layout.heading(F.col("font_size"), F.col("is_bold"), F.col("text")))
+    return _blocks(spark, folder).select("doc_id", "k", mark.alias("mark")).where("mark <> ''")
+
+
+@_query
+def page_markdown(spark, folder):
+    return layout.page_markdown(_blocks(spark, folder), ["doc_id"])
+
+
+@_query
+def cells_markdown(spark, folder):
+    """The cells of each document's lines, cut at blanks, as a table."""
+    words = lambda line: F.transform(F.slice(F.split(line, " "), 1, 5), lambda c: F.when(c != "", c))
+    tables = read_table(spark, folder, "documents").where("text is not null").select("doc_id", F.transform(F.slice(F.split("text", "\n", -1), 1, 8), words).alias("cells"))
+    return tables.select("doc_id", layout.cells_markdown(F.col("cells")).alias("markdown"))
+
+
+@_query
+def issue_transitions(spark, folder):
+    """Moves between the states of answers to each question, in the order in which they were finished."""
+    state = F.when(F.col("error").isNotNull(), "failed").when(F.col("answer").isNull(), "open").otherwise("done")
+    told = _results(spark, folder, "question_id", "finished_at", "error", "answer").select("question_id", "result_id", "finished_at", state.alias("to_state"))
+    before = F.lag("to_state").over(Window.partitionBy("question_id").orderBy("finished_at", "result_id"))
+    moves = told.withColumn("from_state", before).where("from_state is not null").select("result_id", "from_state", "to_state")
+    allowed = spark.createDataFrame([("open", "done"), ("open", "failed"), ("failed", "open"), ("failed", "done")], "from_state string, to_state string")
+    return traces.allowed_transitions(moves, allowed)
+
+
+@_query
+def located_chunks(spark, folder):
+    """The chunks on a quote's pages that hold it."""
+    quotes, segments, _ = _quoted(spark, folder)
+    chunks = segments.select("path", F.explode("pages").alias("page_number"), F.concat_ws("::", "path", "segment_index").alias("chunk_id"), "text")
+    paged = quotes.where("segment_index is not null").select("id", "path", "quote", F.array(F.col("segment_index") + 1, F.col("segment_index") + 2).alias("pages"))
+    return validation.located_chunks(paged, chunks, "id", "path")

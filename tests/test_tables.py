@@ -1,6 +1,7 @@
 """Accounting, test sets, snapshots, traces, sources and streams on small tables."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -34,15 +35,68 @@ def test_largest_remainder_adds_up(spark):
     assert got == {("s", "a"): 4, ("s", "b"): 3, ("s", "c"): 3, ("z", "a"): 2, ("z", "b"): 2}
 
 
-def test_capped_shares_respect_caps(spark):
-    frame = spark.createDataFrame([("f", "a", 9000), ("f", "b", 3000), ("f", "c", 10), ("f", "d", 0)], "f string, d string, n int")
-    got = {r["d"]: r["allotted"] for r in testsets.capped_shares(frame, "f", "d", "n", 100).collect()}
-    assert got == {"a": 5, "b": 3, "c": 1, "d": 1}
-
-
-def test_greedy_unique_depends_on_order(spark):
-    frame = spark.createDataFrame([("s", "1", "What is the revenue?"), ("s", "2", "what is the revenue??"), ("s", "3", "公司为什么"), ("s", "4", None)], "s string, id string, q string")
-    assert {r["id"]: r["kept"] for r in testsets.greedy_unique(frame, "s", "id", "q").collect()} == {"1": True, "2": False, "3": True, "4": True}
+def shared_out(sizes, total, tiers):
+    """Shares of (name, kilobytes) as the survey states them, one member after another."""
+    mass = sum(kb for _, kb in sizes)
+    ranked = sorted(sizes, key=lambda x: (-x[1], x[0]))
+    caps = {name: next(most for least, most in tiers if kb >= least) for name, kb in sizes}
+    share = {name: min(kb / mass * total, caps[name]) for name, kb in sizes}
+    room = [name for name, _ in ranked if share[name] < caps[name]]
+    over = total - sum(share.values())
+    for turn in range(3 * total + 1 if room else 0):
+        if over <= 0.01:
+            break
+        name = room[turn % len(room)]
+        more = min(over, caps[name] - share[name], 1.0)
+        if more > 0.01:
+            share[name], over = share[name] + more, over - more
+    whole = {name: round(x) for name, x in share.items()}
+    lacking = total - sum(whole.values())
+    for turn in range(abs(lacking)):
+        name = ranked[turn % len(ranked)][0]
+        whole[name] = max(whole[name] + (1 if lacking > 0 else -1), 0)
+    return whole
+
+
+def test_capped_shares_against_the_sequence(spark):
+    rng = random.Random(5)
+    groups = {f"g{k}": [(f"d{i:03d}", rng.choice([0.0, 0.1, 1.3, 2.5, 2.5, 6.0, 9.5, 40.0])) for i in range(n)] for k, n in enumerate((1, 3, 12, 60, 150))}
+    tiers = ((8.0, 5), (3.0, 3), (0.0, 1))
+    rows = [(g, name, kb) for g, members in groups.items() for name, kb in members] + [("empty", "x", 0.0)]
+    frame = spark.createDataFrame(rows, "f string, d string, kb double").repartition(3)
+    got = {(r["f"], r["d"]): r["allotted"] for r in testsets.capped_shares(frame, "f", "d", "kb", 20, tiers).collect()}
+    assert got == {(g, name): n for g, members in groups.items() if sum(kb for _, kb in members) for name, n in shared_out(members, 20, tiers).items()}
+
+
+def test_type_allotments():
+    assert testsets.type_allotments(3, {"a": 0.45, "b": 0.35, "c": 0.2}) == {"a": 1, "b": 1, "c": 1}
+    assert all(sum(testsets.type_allotments(n, {"a": 0.45, "b": 0.35, "c": 0.2}).values()) == n for n in range(40))
+
+
+def kept_in_order(rows):
+    kept = []
+    for key, text, files in sorted(rows, key=lambda r: r[0]):
+        t, f = (text or "").strip().lower(), set(files or [])
+
+        def like(a, b):
+            if a == b:
+                return True
+            shorter, longer = (a, b) if len(a) < len(b) else (b, a)
+            return len(longer) > 0 and sum(c in longer for c in shorter) / len(longer) >= 0.85
+
+        if not any(f & g and like(t, u) for _, u, g in kept):
+            kept.append((key, t, f))
+    return {k for k, _, _ in kept}
+
+
+def test_greedy_unique_against_the_sequence(spark):
+    rng = random.Random(3)
+    words = "what was the revenue margin of acme beta gamma in 2019 2020 and why 公司 收入 利润".split()
+    rows = [(f"q{k:03d}", rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 6)))]) if k % 9 == 0 else " ".join(rng.choices(words, k=rng.randint(2, 5))), rng.choice([None, [], ["a"], ["a", "b"], ["b", "c"], ["hot"], ["hot", "d"]])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id string, q string, f array<string>").withColumn("k", F.lit("clash"))
+    got = {r["id"] for r in testsets.greedy_unique(frame, "id", "q", "f").where("kept").collect()}
+    assert got == kept_in_order(rows)
+    assert testsets.greedy_unique(frame.limit(0), "id", "q", "f").count() == 0
 
 
 def test_excerpt(spark):
@@ -73,8 +127,28 @@ def test_chat_turns(spark):
 
 
 def test_root_causes(spark):
-    frame = spark.createDataFrame([(False, False, False, True, True), (False, False, False, False, True), (True, True, False, False, True), (True, False, False, False, True), (True, True, True, False, False), (True, True, True, False, True)], "a boolean, b boolean, c boolean, d boolean, e boolean")
-    assert [r[0] for r in frame.select(traces.root_cause(*map(F.col, "abcde"))).collect()] == ["RC-1", "RC-5", "RC-3", "RC-2", "RC-4", "RC-0"]
+    schema = "id string, question string, truth array<string>, truth_answer string, retrieved array<string>, reranked array<string>, context_input array<string>, context_count long, rewritten array<string>, answer string"
+    rows = [
+        ("no truth", "q", [], "x", ["a"], None, None, None, None, "x", "RC-1"),
+        ("missed", "q", ["t"], "x", ["a", "b"], None, None, None, ["q"], "x", "RC-1"),
+        ("mismatch", "q", ["t"], "x", ["a", "b"], None, None, None, ["other"], "x", "RC-5"),
+        ("dropped", "q", ["t"], "x", ["a", "b", "t"], None, ["a", "t"], 2, None, "x", "RC-3"),
+        ("low in rerank", "q", ["t"], "x", ["t"], ["a", "b", "c", "t"], None, None, None, "x", "RC-2"),
+        ("low in retrieval", "q", ["t"], "x", ["a", "b", "c", "t"], ["a", "b"], None, None, None, "x", "RC-2"),
+        ("used", "q", ["t"], "42", ["t"], None, ["t"], 1, None, "It is 42.", "RC-0"),
+        ("not used", "q", ["t"], "42", ["t"], None, ["t"], 1, None, "It is 41.", "RC-4"),
+        ("no answer", "q", ["t"], "", ["t"], None, ["t"], 1, None, None, "RC-4"),
+        ("behind the context", "q", ["t"], "x", ["a", "t"], None, ["a"], 1, None, "x", "RC-2"),
+        ("null lists", "q", None, None, None, None, None, None, None, None, "RC-1"),
+    ]
+    got = {r["id"]: r["root_cause"] for r in traces.root_causes(spark.createDataFrame([r[:-1] for r in rows], schema), "id").collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
+def test_cases_by_any_preview(spark):
+    cases = spark.createDataFrame([("c3", "Wh"), ("c1", "What was"), ("c2", ""), ("c4", None), ("c5", "Who"), ("c0", "What was the revenue of Acme?")], "case_id string, preview string")
+    questions = spark.createDataFrame([("1", "What was the revenue?"), ("2", "Who?"), ("3", "W"), ("4", None), ("5", "")], "id string, question string")
+    assert {tuple(r) for r in traces.cases_for(cases, questions, "preview", "question").collect()} == {("1", "c1"), ("2", "c3")}
 
 
 def test_totals_count_records_once(spark):
