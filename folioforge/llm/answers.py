@@ -6,8 +6,11 @@ import json
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 
@@ -18,6 +21,7 @@ from folioforge.llm.visual import visual_form
 ORDERS = (4, 8, 12, 16)
 TERMINAL = "。．.！!？?…"
 OPENERS = dict(zip("([{（［｛「『《〈【“‘«", ")]}）］｝」』》〉】”’»"))
+_OPENS = re.compile("[" + re.escape("".join(OPENERS)) + "]")
 CLOSERS = {v: k for k, v in OPENERS.items()}
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _TAIL_MARK = re.compile(r"(?:\s*[\[［(（](?:\d{1,3}|p\. ?\d+|[^\[\]()（）]{0,24}\d+)[\]］)）])+$|[\s*_~`#>]+$|\s*-{3,}$|\s*—{2,}$")
@@ -26,16 +30,69 @@ _WORD = re.compile(r"(?<!\w)[a-zà-öø-ÿœß]+(?!\w)")
 _FIRST_WORD = re.compile(r"(?:^|[\n.!?¿¡:\"“-])\s*([A-ZÀ-Ý][a-zà-öø-ÿœß]*)(?!\w)")
 _WIDE_RUN = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]{2,}")
 _NAME = re.compile(r"\b[A-ZÀ-Ý]\w+")
-_WORD_RUN, _NO_WORD = re.compile(r"[^\W_]+"), re.compile(r"[\W_]+")
+_WORD_RUN = re.compile(r"[^\W_]+")
 _WIDE = re.compile("[一-鿿㐀-䶿豈-﫿ぁ-ゖァ-ヺー]")
 _FIGURES = re.compile(r"\d+")
 _HIRAGANA = re.compile("[ぁ-ゖ]")
-_CHINESE = frozenset(W.CHINESE_ONLY)
+
+
+def _written_by(codec: str) -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x4E00, 0xA000)) if c.encode(codec, "ignore"))
+
+
+#: Characters of simplified Chinese that Japanese doesn't write: in the one national character set, not in the other.
+_CHINESE = _written_by("gb2312") - _written_by("cp932")
 _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿豈-﫿]"), re.compile("[ぁ-ゖァ-ヺー]"), re.compile("[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
-_FUNCTION = {lang: frozenset(words.split()) for lang, words in W.FUNCTION_WORDS.items()}
+_FUNCTION: dict[str, list[str]] = {}
+for _lang, _words in W.FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _FUNCTION.setdefault(_word, []).append(_lang)
+_OWN = {c: lang for lang, letters in W.OWN_LETTERS.items() for c in letters}
+_OWN_LETTER = re.compile("[" + "".join(_OWN) + "]")
 _INABLE = {k: re.compile(v, re.I) for k, v in W.INABILITY.items()}
 _ABOUT = {k: re.compile(v, re.I) for k, v in W.ANSWERING.items()}
 _POLITE = {k: re.compile(v, re.I) for k, v in W.COURTESY.items()}
+def _any_of(languages: tuple[str, ...]) -> re.Pattern:
+    """Whether a pattern of one of the languages can match somewhere in a text: all of them without their anchors."""
+    return re.compile("|".join(f"(?:{part[k]})" for part in (W.INABILITY, W.COURTESY) for k in languages).replace("^", "").replace("$", ""), re.I)
+
+
+_LATIN_LANGUAGES = ("en", "de", "fr", "es", "pt")
+_ANY_WIDE, _ANY_LATIN = _any_of(("zh", "ja")), _any_of(_LATIN_LANGUAGES)
+
+
+def _first_words(patterns: list[str]) -> tuple[frozenset[str], tuple[str, ...]]:
+    """(words, beginnings) one of which a word of a text must be, or begin with, for one of the patterns to match in it."""
+    words, beginnings = set(), set()
+    for pattern in patterns:
+        depth = 0
+        parts = [""]
+        for c in pattern:
+            depth += (c == "(") - (c == ")")
+            parts = [*parts, ""] if c == "|" and not depth else [*parts[:-1], parts[-1] + c]
+        for part in parts:
+            bare = re.sub(r"^(?:\^|\\b|\([^()]*\)\?)+", "", part)
+            letters = re.match(r"[^\W\d_]*", bare)[0]
+            rest = bare[len(letters) :]
+            if rest[:1] == "?":
+                letters = letters[:-1]
+            (beginnings if rest[:1] in ("?", "(", "[", "\\") and rest[:1] else words).add(letters)
+    return frozenset(words), tuple(beginnings)
+
+
+_LATIN_WORDS, _LATIN_BEGINNINGS = _first_words([part[k] for part in (W.INABILITY, W.COURTESY) for k in _LATIN_LANGUAGES])
+
+
+def may_decline(sentence: str) -> bool:
+    """Whether anything in a sentence can decline or be a courtesy by the dictionaries."""
+    return bool((not sentence.isascii() and _ANY_WIDE.search(sentence)) or (_LATIN.search(sentence) and _has_first_word(sentence) and _ANY_LATIN.search(sentence)))
+
+
+def _has_first_word(sentence: str) -> bool:
+    words = _WORD_RUN.findall(sentence.lower())
+    return not _LATIN_WORDS.isdisjoint(words) or any(w.startswith(_LATIN_BEGINNINGS) for w in words)
+
+
 _LABEL = re.compile(rf"^\W*{W.LABELS}\s*[:：]\s*", re.I)
 _ONLY_LABELS = re.compile(rf"^(?:\W*{W.LABELS}\s*[:：])*\W*$", re.I)
 #: A plain character that no label or placeholder has; where a text has one outside a tag, it carries something.
@@ -64,6 +121,8 @@ def collapsed(text: str) -> str:
 
 def unmatched(text: str) -> bool:
     """True if a bracket or quotation is opened and not closed again."""
+    if not _OPENS.search(text):
+        return False
     stack: list[str] = []
     for c in text:
         if c in OPENERS:
@@ -144,8 +203,8 @@ _STOPS[[ord(c) for c in TERMINAL + ";；\n|" + "".join(OPENERS) + "".join(CLOSER
 _STOPS[_END] = True
 
 
-def all_contexts(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every place in the texts: the hashes of its contexts (one array an order), and whether a unit ends there.
+def all_contexts(texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every place in the texts: the hashes of its contexts (one array for each of these orders), and whether a unit ends there.
 
     After a full stop a unit ends only before white space and a character that isn't lower case, so that decimal points
     and abbreviations don't count as ends.
@@ -155,14 +214,14 @@ def all_contexts(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     for t in texts:
         parts += [pad, np.frombuffer(collapsed(t).rstrip().encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.array([_END], dtype=np.uint32)]
     if not parts:
-        return [np.zeros(0, np.uint64)] * len(ORDERS), np.zeros(0, bool)
+        return [np.zeros(0, np.uint64)] * len(orders), np.zeros(0, bool)
     codes = np.concatenate(parts)
     wide = codes.astype(np.uint64)
-    n, top = len(codes), ORDERS[-1]
+    n, top = len(codes), orders[-1]
     value, hashes = np.zeros(n, dtype=np.uint64), []
     for k in range(1, top + 1):
         value[k:] += wide[:-k] * _FACTORS[k - 1]
-        if k in ORDERS:
+        if k in orders:
             hashes.append(((value ^ (value >> np.uint64(29))) * np.uint64(2 * k + 1)) >> np.uint64(1))
     after = np.append(codes[1:], _END)
     space = (codes == 32) | (codes == 0x3000)
@@ -190,7 +249,12 @@ def language(text: str) -> tuple[frozenset[str], int]:
             return frozenset(["ja"]), wide
         return frozenset(["zh"] if any(c in _CHINESE for c in text) else ["zh", "ja"]), wide
     words = _WORD.findall(text) + [w.lower() for w in _FIRST_WORD.findall(text)]
-    votes = {lang: sum(w in known for w in words) + sum(text.count(c) for c in W.OWN_LETTERS[lang]) for lang, known in _FUNCTION.items()}
+    votes = dict.fromkeys(W.FUNCTION_WORDS, 0)
+    for word in words:
+        for lang in _FUNCTION.get(word, ()):
+            votes[lang] += 1
+    for c in [] if plain else _OWN_LETTER.findall(text):
+        votes[_OWN[c]] += 1
     best = max(votes.values())
     return frozenset(lang for lang, n in votes.items() if n == best), latin
 
@@ -207,18 +271,32 @@ def other_language(question: str, answer: str) -> bool:
     theirs, letters = language(own)
     if letters < 20 or not theirs:
         return False
-    asked, _ = language(question)
-    allowed = asked | requested_language(question)
+    allowed = _asked(question)
     return bool(allowed) and not theirs & allowed
 
 
+@lru_cache(maxsize=1 << 16)
+def _asked(question: str) -> frozenset[str]:
+    """Languages in which a question may be answered: its own and those it asks for; questions return with every variant."""
+    return language(question)[0] | requested_language(question)
+
+
 def requested_language(question: str) -> set[str]:
     """Languages in which the question asks to be answered."""
     return {lang for lang, named in _NAMED.items() if named.search(question)} if _ASKS.search(question) else set()
 
 
-def _bare(text: str) -> str:
-    return _NO_WORD.sub("", visual_form(text).casefold())
+def bare_forms(forms: list[str]) -> list[str]:
+    """Letters and figures only, case folded, of texts in their visual form; a column at once."""
+    return pc.replace_substring_regex(pa.array([f.casefold() for f in forms], pa.string()), r"[^\p{L}\p{N}]+", "").to_pylist()
+
+
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _bare_question(question: str) -> str:
+    return _NO_LETTER.sub("", visual_form(question).casefold())
 
 
 _PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
@@ -235,21 +313,27 @@ def _compressed(text: str, given: str | None = None) -> int:
 _FRAME = 9
 #: Where the share that is left parts copies from answers before any is seen; the search for a better place, in percent.
 COPY_SHARE, COPY_RANGE = 0.4, (15, 60)
+#: Shares above this are beyond the range and its smoothing; compressing alone can only raise them.
+_NO_COPY = 0.7
 
 
-def beyond_question(question: str, answer: str) -> tuple[float, bool]:
-    """(share, adds): the share of an answer that is left once its question is known, by compressing it with the question as
-    zstandard dictionary; and whether it goes on after the question, has a figure that the question lacks, or is much shorter.
+def beyond_question(question: str, a: str) -> tuple[float, bool]:
+    """(share, adds): the share of an answer, in its bare form, that is left once its question is known, by compressing it with
+    the question as zstandard dictionary; and whether it goes on after the question, has a figure that the question lacks, or
+    is much shorter.
 
     Case, marks, white space and visual form don't count. An equal text leaves nothing, however short it is; one without
-    letters has no share below 1.
+    letters has no share below 1. Where not even the answer's length leaves a share that can matter, that is returned.
     """
-    q, a = _bare(question), _bare(answer)
+    q = _bare_question(question)
     if not q or not a:
         return 1.0, True
     if q == a:
         return 0.0, False
-    given = max(_compressed(a, q) - _FRAME, 0) / max(_compressed(a) - _FRAME, 1)
+    given = max(_compressed(a, q) - _FRAME, 0)
+    if given > _NO_COPY * len(a.encode()):
+        return given / len(a.encode()), True
+    given /= max(_compressed(a) - _FRAME, 1)
     if given > COPY_RANGE[1] / 100:
         return given, True
     after = a.rpartition(q)[2] if q in a else ""
@@ -303,14 +387,14 @@ def phrase_hashes(text: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) >> 1 for x in sorted(found)]
 
 
-def refuses(answer: str, phrases: Phrases | None = None) -> bool:
-    """True if every sentence declines, says that nothing can be answered, or is a courtesy; and one declines.
+def refuses(form: str, phrases: Phrases | None = None) -> bool:
+    """Of an answer in its visual form: true if every sentence declines, says that nothing can be answered, or is a courtesy; and one declines.
 
     A sentence declines by the dictionaries, or where they don't know it and it has no figure, by the phrases of other
     declining answers.
     """
     declined = False
-    text = _LABEL.sub("", visual_form(answer), count=1)
+    text = _LABEL.sub("", form, count=1)
     while text:
         # Sentence by sentence: most answers give something in their first.
         sentence, *rest = _SPLIT.split(text, maxsplit=1)
@@ -318,6 +402,8 @@ def refuses(answer: str, phrases: Phrases | None = None) -> bool:
         bare = sentence.strip().strip("。.!！?？;；*\"“”").strip()
         if not bare or not any(c.isalnum() for c in bare):
             continue
+        if (phrases is None or _FIGURES.search(bare)) and not may_decline(bare):
+            return False
         found, _ = language(bare)
         langs = sorted(found) or list(_INABLE)
         clauses = [c.strip() for c in re.split(r"[，,、；;]|(?<=ありません)が", bare) if c.strip()]
@@ -325,7 +411,7 @@ def refuses(answer: str, phrases: Phrases | None = None) -> bool:
             declined = True
         elif all(any(_POLITE[k].search(c) for k in langs) for c in clauses):
             continue
-        elif phrases is not None and not any(c.isdigit() for c in bare) and not _gives(bare) and phrases.score(bare) > 0:
+        elif phrases is not None and not _FIGURES.search(bare) and not _gives(bare) and phrases.score(bare) > 0:
             declined = True
         else:
             return False

@@ -1,20 +1,17 @@
 """Fixed word lists of the answer checks: function words, declining phrases, courtesies, labels, language names."""
 
-# Frequent function words of the Latin-script languages, each under the languages that use it.
+# Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, question words), each under the languages that use it.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that for was with on as are by at from which this have has were should would will than its our we not be it an but what why how does did who when where much",
-    "de": "der die das und von zu den dem des ist im mit für auf ein eine einen einer wird bei nach aus sich nicht durch zur zum unter wie war wir ende dank um über hinter warum welche welcher welchen rolle spielt spielen hoch",
-    "fr": "le la les des du de et en un une est pour dans par sur au aux que qui avec son ses plus nous sa ce cette pas été ont d l à pourquoi comment quel quelle quels quelles était après quelle",
-    "es": "el la los las de del y en un una es por con para que se su sus al lo más como fue hay este esta desde hasta entre no qué cómo cuánto cuánta cuál quiere puede",
-    "pt": "o a os as de do da dos das e em um uma é por com para que se no na nos nas ao à mais como foi pela pelo seu sua não qual quanto quais porque pretende",
+    "en": "the a an of and to in is that for was with on as are by at from or which who whom whose this these those it its he she they them their we our us you your be been being have has had do does did will would shall should can could may might must not no nor if then than so but because while when where why how what there here into over under after before between about against during without within through up down out off more most some any all each both such only also very",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber denn weil dass ob wenn als wie ist sind war waren wird werden wurde wurden sein hat haben hatte hatten kann können konnte soll sollen muss müssen darf nicht kein keine keinen mit von vom zu zum zur im in am an auf aus bei nach vor für über unter durch gegen ohne um bis seit zwischen während hinter sich er sie es wir ihr ihre ihren ihrem seine seinen sein man auch noch nur schon sehr mehr so dann da hier dort was wer wann wo warum welche welcher welchen welches",
+    "fr": "le la les l un une des du de d et ou mais donc car que qu qui dont où est sont était étaient sera seront a ont avait avaient été être avoir peut peuvent doit ne n pas plus moins ni aucun aucune dans en sur sous par pour avec sans chez entre vers contre depuis pendant avant après au aux à ce cet cette ces c son sa ses leur leurs notre nos votre vos il elle ils elles on nous vous je se s y lui comme si très aussi encore bien quel quelle quels quelles comment pourquoi quand combien",
+    "es": "el la los las lo un una unos unas de del y e o u pero porque que quien cual cuyo es son era eran fue fueron será ser estar está están estaba ha han había haber hay puede pueden debe no ni nunca en a al por para con sin sobre entre hacia desde hasta contra según durante tras su sus nuestro nuestra se le les nos me te él ella ellos ellas este esta estos estas ese esa esto eso como más menos muy también ya si cuando donde qué cómo cuándo cuánto cuánta dónde cuál",
+    "pt": "o a os as um uma uns umas de do da dos das e ou mas porque que quem qual cujo é são era eram foi foram será ser estar está estão tem têm tinha ter há pode podem deve não nem nunca em no na nos nas a ao aos à às por pelo pela pelos pelas para com sem sobre entre até desde contra segundo durante após seu sua seus suas nosso nossa se lhe me te ele ela eles elas este esta estes estas esse essa isto isso como mais menos muito também já quando onde quê quanto quanta quais",
 }
 
 # Letters and marks that only one of these languages uses.
 OWN_LETTERS = {"en": "", "de": "ßäöüÄÖÜ", "fr": "èêëîïùûœÈÊœ", "es": "ñ¿¡Ñ", "pt": "ãõÃÕ"}
 
-# Characters of simplified Chinese, and Chinese function characters, that Japanese doesn't write.
-CHINESE_ONLY = "的了是们这个从对为与该项资应业务产净报单亿经现营负债货转费过发开关时将较仅让还没吗呢吧给说问题汇总额实减预计风险变动变销购继续组织结构归"
-
 # What says that one cannot or will not, by language.
 INABILITY = {
     "zh": r"无法|不能|难以|恕难|恕不|不便|没有|未(?:涉及|提及|提到|找到|包含|披露|说明|能)|不在|超出|不足以|缺乏|拒绝|不予",
