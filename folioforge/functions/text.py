@@ -110,3 +110,25 @@ def headings(text: Column) -> Column:
     """Trimmed lines that begin with #."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.filter(lines, lambda x: x.startswith("#"))
+
+
+def pdf_type(name: Column) -> Column:
+    """Kind of report that a file name tells: annual, research or generic."""
+    low = F.lower(name)
+    return F.when(low.contains("年报") | low.contains("annual"), "annual").when(low.contains("研报") | low.contains("research"), "research").otherwise("generic")
+
+
+def data_path(path: Column, folder: str) -> Column:
+    """A path below ``data/`` moved to another folder; others stay."""
+    return F.when(path.startswith("data/"), F.concat(F.lit(folder.rstrip("/") + "/"), F.substring(path, F.lit(6), F.length(path)))).otherwise(path)
+
+
+def slug(text: Column, size: int = 40) -> Column:
+    """Lower-case words joined by hyphens, at most ``size`` characters."""
+    joined = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-")
+    return F.substring(F.regexp_replace(joined, "^-+|-+$", ""), 1, size)
+
+
+def pdf_name(name: Column) -> Column:
+    """A file name that ends in .pdf."""
+    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))

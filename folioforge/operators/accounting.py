@@ -32,26 +32,39 @@ def proportional_split(total: str, parts: list[str], last: str) -> list[Column]:
 
 
 def describe(frame: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, mean, population deviation, median, 95th percentile (nearest rank), least and greatest of each group."""
-    return frame.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.round(F.avg(value), 4).alias("mean_value"),
-        F.round(F.stddev_pop(value), 4).alias("std_value"),
-        F.round(F.percentile(value, 0.5), 4).alias("median_value"),
-        F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})"), 4).alias("p95_value"),
-        F.round(F.min(value), 4).alias("min_value"),
-        F.round(F.max(value), 4).alias("max_value"),
-    )
-
-
-def stage_profile(records: DataFrame, stage: str, seconds: str) -> DataFrame:
-    """Time, calls and mean of each stage, its share of the whole, and which one is the bottleneck."""
+    """Count, mean, population deviation, median, 95th percentile (nearest rank), least and greatest of each group, exactly.
+
+    Ranks are running numbers over range partitions, so the values of a group never meet in one task.
+    """
+    valid = frame.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    sums = valid.groupBy(*by).agg(
+        F.count("_v").alias("n"), F.round(F.avg("_v"), 4).alias("mean_value"), F.round(F.stddev_pop("_v"), 4).alias("std_value"),
+        F.round(F.min("_v"), 4).alias("min_value"), F.round(F.max("_v"), 4).alias("max_value"),
+    )
+    sized = sums.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), "n")
+    ranked = numbered(valid, ["_v"], "_rank", by)
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+    lower, upper, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2), F.ceil(F.col("n") * 0.95) - 1
+    wanted = (F.col("_rank") == lower) | (F.col("_rank") == upper) | (F.col("_rank") == high)
+    placed = ranked.join(sized, same).where(wanted).groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(
+        F.round((at(lower) + at(upper)) / 2, 4).alias("median_value"), F.round(at(high), 4).alias("p95_value")
+    )
+    return sums.join(placed, same).select(*by, "n", "mean_value", "std_value", "median_value", "p95_value", "min_value", "max_value")
+
+
+def stage_profile(records: DataFrame, stage: str, seconds: str, units: int | None = None) -> DataFrame:
+    """Time, calls, mean and peak of each stage, its share of the whole, which one is the bottleneck, and which deserve a look (over
+    30 %); with ``units`` (pages or questions) also the time of each."""
     summed = records.groupBy(stage).agg(F.sum(seconds).alias("total"), F.count("*").alias("calls"), F.max(seconds).alias("peak"))
     whole = F.sum("total").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc("total"), stage))
+    each = [] if units is None else [F.round(F.col("total") / units, 6).alias("seconds_a_unit")]
     return summed.select(
         stage, F.round("total", 4).alias("total_seconds"), "calls", F.round(F.col("total") / F.col("calls"), 6).alias("mean_seconds"), F.round("peak", 4).alias("peak_seconds"),
-        F.round(F.col("total") / whole, 6).alias("share"), (place == 1).alias("bottleneck"),
+        F.round(F.col("total") / whole, 6).alias("share"), (place == 1).alias("bottleneck"), (F.col("total") > 0.3 * whole).alias("suggested"), *each,
     )
 
 

@@ -109,3 +109,10 @@ def markdown_records(documents: DataFrame, key: str, text: str) -> DataFrame:
     tabled = rows.withColumn("header", header).withColumn("_k", number).where("_k > 1")
     entries = F.arrays_zip(F.col("header"), F.slice("cells", F.lit(1), F.size("header")))
     return tabled.select(key, "table_no", "line_no", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["header"], e["1"])), "; ").alias("record"))
+
+
+def compared_pipelines(documents: DataFrame, by: str) -> DataFrame:
+    """(by, pdfs_tested, totals, means): measures of parsed documents by the pipeline that parsed them; means to three places."""
+    totals = [F.sum(c).alias(f"total_{c}") for c in ("tables", "chars", "words", "headings")]
+    means = [F.round(F.avg(c), 3).alias(f"avg_{c}") for c in ("parse_seconds", "empty_ratio", "valid_ratio")]
+    return documents.groupBy(by).agg(F.count("*").alias("pdfs_tested"), *totals, *means)

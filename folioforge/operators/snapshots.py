@@ -49,9 +49,40 @@ def merged(files: DataFrame, path: str, order: list[str]) -> DataFrame:
     return files.withColumn("_k", F.row_number().over(Window.partitionBy(path).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def extended(base: DataFrame, more: DataFrame, path: str) -> DataFrame:
-    """Base files and those of ``more`` whose path is new."""
-    return base.unionByName(more.join(base.select(path).distinct(), path, "left_anti"))
+def merge_counts(files: DataFrame, path: str, source: str, order: list[str]) -> DataFrame:
+    """(source, offered, added, duplicates): how many files each snapshot adds to a merge, and how many earlier ones had."""
+    place = F.row_number().over(Window.partitionBy(path).orderBy(*order))
+    added = F.count_if(F.col("_k") == 1)
+    return files.withColumn("_k", place).groupBy(source).agg(F.count("*").alias("offered"), added.alias("added"), (F.count("*") - added).alias("duplicates"))
+
+
+def extended(base: DataFrame, more: DataFrame, path: str, refuse_empty: bool = False) -> DataFrame:
+    """Base files and those of ``more`` whose path is new; with ``refuse_empty`` an error if none is."""
+    new = more.join(base.select(path).distinct(), path, "left_anti")
+    if refuse_empty and new.isEmpty():
+        raise ValueError("no file is new")
+    return base.unionByName(new)
+
+
+def latest_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of both; where both have a key, each field is the new one's unless that is null."""
+    fields = [c for c in old.columns if c != key]
+    later = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields))
+    return old.join(later, key, "full").select(key, *(F.coalesce(f"_new_{c}", c).alias(c) for c in fields))
+
+
+def case_actions(saved: DataFrame, wanted: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, action): duplicate where the same kind of case is saved already, type_changed where another one is, else saved."""
+    both = wanted.join(saved.select(key, F.col(kind).alias("_saved")), key, "left")
+    return both.select(key, F.when(F.col("_saved").isNull(), "saved").when(F.col("_saved") == F.col(kind), "duplicate").otherwise("type_changed").alias("action"))
+
+
+def statistics(files: DataFrame, pages: DataFrame, chunks: DataFrame, by: str, path: str) -> DataFrame:
+    """(by, files, pages, chunks) of each snapshot; ``pages`` and ``chunks`` have one row each with its file's path."""
+    counts = files.select(by, path)
+    for name, rows in (("pages", pages), ("chunks", chunks)):
+        counts = counts.join(rows.groupBy(path).agg(F.count("*").alias(f"_{name}")), path, "left")
+    return counts.groupBy(by).agg(F.count("*").alias("files"), *(F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias(name) for name in ("pages", "chunks")))
 
 
 def status(recorded: DataFrame, present: DataFrame, by: str, path: str, sha: str) -> DataFrame:

@@ -151,6 +151,43 @@ def hash_sample(frame: DataFrame, by: str, key: str, n: int, seed: str = "0") ->
     return frame.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
+def sample_share(frame: DataFrame, by: str, key: str, share: float, seed: str = "0") -> DataFrame:
+    """A share of each group's rows, rounded up, at least one and at most all, chosen by a hash of seed and key."""
+    order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    sized = frame.groupBy(by).agg(F.greatest(F.lit(1), F.least(F.count("*"), F.ceil(F.count("*") * share))).alias("_most")).withColumnRenamed(by, "_by")
+    ranked = numbered(frame.withColumn("_hash", order), ["_hash", key], "_k", [by])
+    return ranked.join(sized, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("_k") < F.col("_most")).select(*frame.columns)
+
+
+def first_questions(questions: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first questions in an order, for a partial evaluation."""
+    return questions.orderBy(*order).limit(most)
+
+
+#: Segments that a question of a type is made from, at most; other types take one.
+SEGMENTS_OF_TYPE = {"multi_hop": 3, "comparison": 3, "summary": 2, "reasoning": 2}
+
+
+def chosen_segments(questions: DataFrame, segments: DataFrame, key: str, document: str, seed: str = "0") -> DataFrame:
+    """(key, segment_index): segments of a question's document, as many as its type takes, neighbours from a hashed place on."""
+    sized = segments.groupBy(document).agg(F.count("*").alias("_n"))
+    most = F.coalesce(F.create_map(*(F.lit(x) for pair in SEGMENTS_OF_TYPE.items() for x in pair))[F.col("question_type")], F.lit(1))
+    asked = questions.join(sized, document).withColumn("_m", F.least(most, F.col("_n")))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key))), 1, 8), 16, 10).cast("long") % (F.col("_n") - F.col("_m") + 1)
+    return asked.select(key, F.explode(F.sequence(start, start + F.col("_m") - 1).cast("array<int>")).alias("segment_index"))
+
+
+def listed_issues(issues: DataFrame, status: str | None = None, kind: str | None = None, priority: str | None = None, labels: list[str] | None = None) -> DataFrame:
+    """Issues that match every given value and have all the labels, newest first."""
+    out = issues
+    for column, value in (("status", status), ("kind", kind), ("priority", priority)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    for label in labels or []:
+        out = out.where(F.array_contains("labels", label))
+    return out.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def until_target(frame: DataFrame, by: str, order: list[str], size: str, target: int) -> DataFrame:
     """Rows of each group in order until their sizes reach the target, the crossing row included."""
     return running(frame, [by], order, F.col(size), "running").where(F.col("running") - F.col(size) < target)

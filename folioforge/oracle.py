@@ -130,6 +130,10 @@ def _jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
+_OVERLAP = """offered AS (SELECT path, sha, 0 AS snapshot, load_id FROM files WHERE snapshot <= 1 UNION ALL SELECT path, sha256(sha), 1, load_id FROM files WHERE snapshot >= 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY snapshot, load_id) AS k FROM offered)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL with the columns of the query of that name."""
     stem_files, stem_chunks = f"[{_stem('p')} for p in source_files]", "[" + _stem(f"({_chunk_stem('c')})") + " for c in source_chunks]"
@@ -272,9 +276,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT record_id, a AS system_prompt_tokens_scaled, b AS contexts_tokens_scaled, CASE WHEN a IS NULL THEN 0 ELSE greatest(o - a - b, 0) END AS query_tokens_scaled FROM x""",
         "time_stats": f"""SELECT variant, count(time_seconds) AS n, round(avg(time_seconds), 4) AS mean_value, round(stddev_pop(time_seconds), 4) AS std_value, round(quantile_cont(time_seconds, 0.5), 4) AS median_value,
             round(quantile_disc(time_seconds, 0.95), 4) AS p95_value, round(min(time_seconds), 4) AS min_value, round(max(time_seconds), 4) AS max_value FROM {_R} WHERE time_seconds IS NOT NULL GROUP BY variant""",
-        "stage_profile": f"""WITH s AS (SELECT variant, sum(time_seconds) AS total, count(*) AS calls, max(time_seconds) AS peak FROM {_R} GROUP BY variant)
-            SELECT variant, round(total, 4) AS total_seconds, calls, round(total / calls, 6) AS mean_seconds, round(peak, 4) AS peak_seconds, round(total / sum(total) OVER (), 6) AS share,
-                row_number() OVER (ORDER BY total DESC, variant) = 1 AS bottleneck FROM s""",
+        "stage_profile": """WITH s AS (SELECT event_type, sum(value) AS total, count(*) AS calls, max(value) AS peak FROM events GROUP BY event_type)
+            SELECT event_type, round(total, 4) AS total_seconds, calls, round(total / calls, 6) AS mean_seconds, round(peak, 4) AS peak_seconds, round(total / sum(total) OVER (), 6) AS share,
+                row_number() OVER (ORDER BY total DESC, event_type) = 1 AS bottleneck, total > 0.3 * sum(total) OVER () AS suggested, round(total / 100, 6) AS seconds_a_unit FROM s""",
         "day_numbers": f"""SELECT result_id, 'er_' || strftime(finished_at, '%Y%m%d') || '_' || printf('%03d', k) AS day_id
             FROM (SELECT result_id, finished_at, row_number() OVER (PARTITION BY finished_at::DATE ORDER BY finished_at, result_id) AS k FROM {_R})""",
         "token_windows": f"""SELECT date_trunc('day', ts) AS window_start, coalesce(category, '__none__') AS category, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
@@ -313,7 +317,8 @@ def oracle_sql() -> dict[str, str]:
                 ON replace(q.source_files[1], '\', '/') = replace(d.source_path, '\', '/') WHERE ground_truth_excerpt IS NOT NULL AND content IS NOT NULL)
             SELECT id, CASE WHEN length(a) = 0 THEN false ELSE contains(b, a) OR (length(a) >= 15 AND len([k for k in range(1, greatest(length(a) - 14, 1) + 1, 7) if contains(b, substr(a, k, 15))]) > 0) END AS found FROM x""",
         "snapshot_ids": f"WITH {_FILES} SELECT snapshot, sha256(string_agg(sha, '|' ORDER BY sha)) AS data_id, count(*) AS files FROM files WHERE sha IS NOT NULL GROUP BY snapshot",
-        "snapshot_merge": f"WITH {_FILES} SELECT sha, snapshot, load_id FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY snapshot, load_id) AS k FROM files) WHERE k = 1",
+        "snapshot_merge": f"WITH {_FILES}, {_OVERLAP} SELECT path, sha, snapshot, load_id FROM ranked WHERE k = 1",
+        "merge_counts": f"WITH {_FILES}, {_OVERLAP} SELECT snapshot, count(*) AS offered, count(*) FILTER (k = 1) AS added, count(*) FILTER (k > 1) AS duplicates FROM ranked GROUP BY snapshot",
         "snapshot_extend": f"WITH {_FILES} SELECT path, snapshot, load_id FROM files WHERE snapshot <= 1",
         "snapshot_status": f"""WITH {_FILES},
             now AS (SELECT path, CASE WHEN {_number('load_id')} % 7 = 0 THEN 'changed' ELSE sha END AS cur FROM files WHERE {_number('load_id')} % 10 <> 0),
@@ -507,4 +512,37 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN count(gen['faithfulness']) > 0 THEN round((count(*) FILTER (gen['faithfulness'] < 0.5))::DOUBLE / count(gen['faithfulness']), 6) END AS hallucination_rate FROM j GROUP BY variant"""
     sql["aggregate_by_type"] = f"""WITH {graded}, {joined} SELECT variant, coalesce(question_type, 'unknown') AS question_type, count(*) AS n,
         {", ".join(f"round(avg({m}) FILTER (hit_rate IS NOT NULL), 9) AS avg_{m}" for m in ("hit_rate", "mrr", "ndcg", "retrieval_diversity"))}, {gen("faithfulness")}, {gen("answer_relevancy")} FROM j GROUP BY ALL"""
+    sql["latest_results"] = f"""WITH q AS (SELECT id, {n} AS n, difficulty, category FROM {_Q}), o AS (SELECT * FROM q WHERE n % 3 <> 0),
+        w AS (SELECT id, CASE WHEN n % 4 = 0 THEN 'hard' END AS difficulty, 'checked' AS category FROM q WHERE n % 2 = 0)
+        SELECT coalesce(o.id, w.id) AS id, coalesce(w.difficulty, o.difficulty) AS difficulty, coalesce(w.category, o.category) AS category FROM o FULL JOIN w ON o.id = w.id"""
+    sql["case_actions"] = f"""WITH q AS (SELECT id, {n} AS n, CASE WHEN {n} % 4 < 2 THEN 'bad' ELSE 'good' END AS kind FROM {_Q})
+        SELECT id, CASE WHEN n % 3 = 0 THEN 'saved' WHEN CASE WHEN n % 5 = 0 THEN 'good' ELSE kind END = kind THEN 'duplicate' ELSE 'type_changed' END AS action FROM q"""
+    sql["snapshot_statistics"] = rf"""WITH {_FILES}, d AS (SELECT replace(source_path, '\', '/') AS path, content FROM {_L} WHERE content IS NOT NULL),
+        c AS (SELECT path, len(string_split(content, chr(10) || chr(10))) AS pages, CASE WHEN length(trim(content, ' ')) > 0 THEN len(regexp_extract_all(content, '^[ \t\n\v\f\r]+|[^ \t\n\v\f\r]+[ \t\n\v\f\r]*')) ELSE 0 END AS tokens FROM d)
+        SELECT snapshot, count(*) AS files, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(CAST(ceil(tokens / 64.0) AS BIGINT)), 0) AS BIGINT) AS chunks FROM files LEFT JOIN c USING (path) GROUP BY snapshot"""
+    sql["compared_pipelines"] = _QUALITY + r""", own AS (SELECT doc_id, count(*) AS tables, avg(empty_ratio) AS empty_ratio FROM quality GROUP BY doc_id),
+        d AS (SELECT doc_id, doc_kind, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents),
+        p AS (SELECT doc_kind, coalesce(tables, 0) AS tables, length(x) AS chars, CASE WHEN s = '' THEN 0 ELSE len(string_split_regex(s, '\s+')) END AS words,
+                len([l for l in string_split(x, chr(10)) if regexp_matches(l, '^#[ #]')]) AS headings, coalesce(empty_ratio, 0) AS empty_ratio, CASE WHEN s <> '' THEN 1.0 ELSE 0.0 END AS valid FROM d LEFT JOIN own USING (doc_id))
+        SELECT doc_kind, count(*) AS pdfs_tested, CAST(sum(tables) AS BIGINT) AS total_tables, CAST(sum(chars) AS BIGINT) AS total_chars, CAST(sum(words) AS BIGINT) AS total_words, CAST(sum(headings) AS BIGINT) AS total_headings,
+            round(avg(chars / 1000.0), 3) AS avg_parse_seconds, round(avg(empty_ratio), 3) AS avg_empty_ratio, round(avg(valid), 3) AS avg_valid_ratio FROM p GROUP BY doc_kind"""
+    sql["sample_share"] = f"""SELECT test_set, id FROM (SELECT test_set, id, row_number() OVER (PARTITION BY test_set ORDER BY md5('0' || id), id) AS k, count(*) OVER (PARTITION BY test_set) AS n FROM {_Q})
+        WHERE k <= greatest(1, least(n, ceil(n * CAST(0.15 AS DOUBLE))))"""
+    sql["first_questions"] = f"SELECT id, test_set FROM {_Q} ORDER BY id LIMIT 25"
+    sql["chosen_segments"] = rf"""WITH d AS (SELECT replace(source_path, '\', '/') AS path, content FROM {_L} WHERE length(trim(content, ' ')) > 0),
+        c AS (SELECT path, CAST(ceil(len(regexp_extract_all(content, '^[ \t\n\v\f\r]+|[^ \t\n\v\f\r]+[ \t\n\v\f\r]*')) / 64.0) AS BIGINT) AS n FROM d),
+        q AS (SELECT id, replace(source_files[1], '\', '/') AS path, CASE question_type WHEN 'multi_hop' THEN 3 WHEN 'comparison' THEN 3 WHEN 'summary' THEN 2 WHEN 'reasoning' THEN 2 ELSE 1 END AS most FROM {_Q}),
+        s AS (SELECT id, least(most, n) AS m, CAST('0x' || substr(md5('0' || id), 1, 8) AS BIGINT) % (n - least(most, n) + 1) AS start FROM q JOIN c USING (path) WHERE n > 0)
+        SELECT id, CAST(unnest(range(start, start + m)) AS INTEGER) AS segment_index FROM s"""
+    sql["listed_issues"] = f"""SELECT id, question_type AS kind, difficulty AS priority, {n} AS created_at FROM {_Q} WHERE metadata.review_status = 'approved' AND (test_set = 'set_full' OR category = 'set_full')"""
+    sql["file_kinds"] = rf"""WITH f AS (SELECT load_id, replace(source_path, '\', '/') AS p, coalesce(name, '') AS name FROM {_L})
+        SELECT load_id, CASE WHEN contains(lower(p), '年报') OR contains(lower(p), 'annual') THEN 'annual' WHEN contains(lower(p), '研报') OR contains(lower(p), 'research') THEN 'research' ELSE 'generic' END AS pdf_type,
+            CASE WHEN starts_with(p, 'data/') THEN '/mnt/store/' || substr(p, 6) ELSE p END AS moved,
+            substr(regexp_replace(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9_ -]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
+            CASE WHEN ends_with(lower(name), '.pdf') THEN name ELSE name || '.pdf' END AS pdf_name FROM f"""
+    m = _number("result_id")
+    sql["judged_answers"] = f"""WITH r AS (SELECT result_id, {m} AS n FROM {_R}),
+        v AS (SELECT result_id, n, [(n + k) % 2 for k in range(1, n % 5 + 2)] AS verdicts FROM r)
+        SELECT result_id, round(CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN 0.75 ELSE least(1.0, (n % 6 + CASE WHEN n % 3 <> 0 THEN n % 5 ELSE 3 END + 3) / 15.0) END, 6) AS relevancy,
+            round(len(list_filter(verdicts, lambda x: x = 1))::DOUBLE / len(verdicts), 6) AS faithfulness FROM v"""
     return sql

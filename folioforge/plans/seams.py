@@ -33,19 +33,31 @@ def with_retry(call: Callable, tries: int = 5, base: float = 1.0, cap: float = 6
 def map_model(frame: DataFrame, inputs: list[str], load: Callable[[], Callable[[pd.DataFrame], list]], output: str, kind: str) -> DataFrame:
     """Add the output of a model: ``load`` runs once a task and gives a function from a batch to a list.
 
-    A batch whose call fails has null outputs and its error in ``<output>_error``; other batches go on.
+    A row whose call fails has a null output and its error in ``<output>_error``; the others go on. A batch is tried as a whole
+    first, and row by row only where that fails.
     """
     ship(frame.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + f", `{output}` {kind}, `{output}_error` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for batch in batches:
+        model, broken = None, None
+        try:
+            model = load()
+        except Exception as error:  # noqa: BLE001
+            broken = f"{type(error).__name__}: {error}"
+
+        def tried(rows: pd.DataFrame) -> tuple[list, list]:
             try:
-                model = model or load()
-                yield batch.assign(**{output: with_retry(lambda: model(batch[inputs])), f"{output}_error": None})  # noqa: B023
+                return list(with_retry(lambda: model(rows[inputs]))), [None] * len(rows)
             except Exception as error:  # noqa: BLE001
-                yield batch.assign(**{output: None, f"{output}_error": f"{type(error).__name__}: {error}"})
+                if len(rows) == 1:
+                    return [None], [f"{type(error).__name__}: {error}"]
+                parts = [tried(rows.iloc[[k]]) for k in range(len(rows))]
+                return [x for part, _ in parts for x in part], [x for _, part in parts for x in part]
+
+        for batch in batches:
+            values, errors = ([None] * len(batch), [broken] * len(batch)) if broken else tried(batch)
+            yield batch.assign(**{output: pd.Series(values, index=batch.index, dtype=object), f"{output}_error": errors})
 
     return frame.mapInPandas(run, schema)
 

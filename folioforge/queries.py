@@ -11,7 +11,7 @@ from folioforge.functions import metrics as M
 from folioforge.functions import text as T
 from folioforge.operators import accounting, chunking, evaluation, evidence, layout, parsing, search, snapshots, testsets, traces, validation
 from folioforge.oracle import oracle_sql  # noqa: F401
-from folioforge.plans import pipeline
+from folioforge.plans import pipeline, seams
 from folioforge.runtime import cut, read_table
 from folioforge.streaming import accounting as streams
 
@@ -388,7 +388,8 @@ def time_stats(spark, folder):
 
 @_query
 def stage_profile(spark, folder):
-    return accounting.stage_profile(_results(spark, folder, "variant", "time_seconds"), "variant", "time_seconds")
+    """Kinds of events as stages, their values as seconds."""
+    return accounting.stage_profile(read_table(spark, folder, "events"), "event_type", "value", 100)
 
 
 @_query
@@ -511,9 +512,21 @@ def snapshot_ids(spark, folder):
     return snapshots.data_ids(_files(spark, folder), "snapshot", "sha")
 
 
+def _overlapping(spark, folder):
+    """Two snapshots that share every third file, which the second has changed."""
+    files = _files(spark, folder)
+    first = files.where("snapshot <= 1").withColumn("snapshot", F.lit(0))
+    return first.unionByName(files.where("snapshot >= 1").withColumn("sha", F.sha2("sha", 256)).withColumn("snapshot", F.lit(1)))
+
+
 @_query
 def snapshot_merge(spark, folder):
-    return snapshots.merged(_files(spark, folder), "sha", ["snapshot", "load_id"]).select("sha", "snapshot", "load_id")
+    return snapshots.merged(_overlapping(spark, folder), "path", ["snapshot", "load_id"]).select("path", "sha", "snapshot", "load_id")
+
+
+@_query
+def merge_counts(spark, folder):
+    return snapshots.merge_counts(_overlapping(spark, folder), "path", "snapshot", ["snapshot", "load_id"])
 
 
 @_query
@@ -906,3 +919,89 @@ def located_chunks(spark, folder):
     chunks = segments.select("path", F.explode("pages").alias("page_number"), F.concat_ws("::", "path", "segment_index").alias("chunk_id"), "text")
     paged = quotes.where("segment_index is not null").select("id", "path", "quote", F.array(F.col("segment_index") + 1, F.col("segment_index") + 2).alias("pages"))
     return validation.located_chunks(paged, chunks, "id", "path")
+
+
+@_query
+def latest_results(spark, folder):
+    """Results of questions computed anew for every other one, with a null here and there."""
+    n = _number("id")
+    old = _questions(spark, folder).select("id", "difficulty", "category")
+    new = old.where(n % 2 == 0).select("id", F.when(n % 4 == 0, "hard").alias("difficulty"), F.lit("checked").alias("category"))
+    return snapshots.latest_by_key(old.where(n % 3 != 0), new, "id")
+
+
+@_query
+def case_actions(spark, folder):
+    n = _number("id")
+    kind = F.when(n % 4 < 2, "bad").otherwise("good")
+    wanted = _questions(spark, folder).select("id", kind.alias("kind"))
+    return snapshots.case_actions(wanted.where(n % 3 != 0).withColumn("kind", F.when(n % 5 == 0, "good").otherwise(F.col("kind"))), wanted, "id", "kind")
+
+
+@_query
+def snapshot_statistics(spark, folder):
+    path = F.translate("source_path", "\\", "/")
+    documents = _loaded(spark, folder).select(path.alias("path"), "content").where("content is not null")
+    pages = chunking.pages_of(documents, "path", "content")
+    return snapshots.statistics(_files(spark, folder), pages, chunking.fixed_chunks(documents, "path", "content", 64, 0), "snapshot", "path")
+
+
+@_query
+def compared_pipelines(spark, folder):
+    """Kinds of documents as pipelines; characters as the time to parse."""
+    documents = read_table(spark, folder, "documents")
+    tables = parsing.table_quality(documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("tables"), F.avg("empty_ratio").alias("empty_ratio"))
+    pages = parsing.page_metrics(documents, "doc_id", "text").join(tables, "doc_id", "left").join(documents.select("doc_id", "doc_kind"), "doc_id")
+    measured = pages.select(
+        "doc_kind", F.coalesce("tables", F.lit(0)).alias("tables"), F.col("n_chars").alias("chars"), F.col("n_words").alias("words"), F.col("n_headings").alias("headings"),
+        (F.col("n_chars") / 1000).alias("parse_seconds"), F.coalesce("empty_ratio", F.lit(0.0)).alias("empty_ratio"), F.col("valid").cast("double").alias("valid_ratio"),
+    )
+    return parsing.compared_pipelines(measured, "doc_kind")
+
+
+@_query
+def sample_share(spark, folder):
+    return testsets.sample_share(_questions(spark, folder), "test_set", "id", 0.15).select("test_set", "id")
+
+
+@_query
+def first_questions(spark, folder):
+    return testsets.first_questions(_questions(spark, folder), ["id"], 25).select("id", "test_set")
+
+
+@_query
+def chosen_segments(spark, folder):
+    path = F.translate("source_path", "\\", "/")
+    documents = _loaded(spark, folder).select(path.alias("path"), "content").where("content is not null")
+    segments = chunking.fixed_chunks(documents, "path", "content", 64, 0).select("path", F.col("chunk_index").alias("segment_index"))
+    asked = _questions(spark, folder).select("id", "question_type", F.translate(F.get("source_files", 0), "\\", "/").alias("path"))
+    return testsets.chosen_segments(asked, segments, "id", "path")
+
+
+@_query
+def listed_issues(spark, folder):
+    """Questions as issues: their review as status, kind and difficulty, with labels."""
+    issues = _questions(spark, folder).select(
+        "id", F.col("metadata.review_status").alias("status"), F.col("question_type").alias("kind"), F.col("difficulty").alias("priority"),
+        F.array_compact(F.array("category", "test_set")).alias("labels"), _number("id").alias("created_at"),
+    )
+    return testsets.listed_issues(issues, "approved", None, None, ["set_full"]).select("id", "kind", "priority", "created_at")
+
+
+@_query
+def file_kinds(spark, folder):
+    name = F.col("name")
+    return _loaded(spark, folder).select(
+        "load_id", T.pdf_type(F.translate("source_path", "\\", "/")).alias("pdf_type"), T.data_path(F.translate("source_path", "\\", "/"), "/mnt/store/").alias("moved"),
+        T.slug(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z0-9_ -]", "")).alias("slug"), T.pdf_name(F.coalesce(name, F.lit(""))).alias("pdf_name"),
+    )
+
+
+@_query
+def judged_answers(spark, folder):
+    """Judges' answers made up from the number of a result: JSON, fenced or not, with a mark missing here and there."""
+    n = _number("result_id")
+    body = F.concat(F.lit('{"directness": '), (n % 6).cast("string"), F.when(n % 3 != 0, F.concat(F.lit(', "specificity": '), (n % 5).cast("string"))).otherwise(""), F.when(n % 7 == 0, ', "overall_score": 0.75').otherwise(""), F.lit("}"))
+    told = F.when(n % 11 == 0, "no idea").when(n % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), body))
+    verdicts = F.transform(F.sequence(F.lit(1), (n % 5).cast("int") + 1), lambda k: ((n + k) % 2).cast("int"))
+    return _results(spark, folder).select("result_id", F.round(seams.relevancy(told), 6).alias("relevancy"), F.round(seams.supported_share(verdicts), 6).alias("faithfulness"))

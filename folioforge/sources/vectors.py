@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.runtime import cut
+
 
 class Collection:
     """Rows (chunk_id, source, text, embedding) in folders of one version each; the newest version is current.
@@ -62,6 +64,22 @@ class Collection:
         now = self.read()
         return self._write(rows if now is None else now.where(~F.col("source").eqNullSafe(source)).unionByName(rows))
 
+    def scroll(self, source: str, after: str | None = None, limit: int = 100) -> list:
+        """The next rows of a source in the order of their chunk_id, at most ``limit``, after the one named."""
+        now = self.read()
+        if now is None:
+            return []
+        own = now.where(F.col("source") == source)
+        own = own if after is None else own.where(F.col("chunk_id") > after)
+        return own.orderBy("chunk_id").limit(limit).collect()
+
+    def index(self, chunks: DataFrame, embed) -> int:
+        """Write chunks with the vectors that ``embed`` gives them; refused if any chunk has none."""
+        rows = cut(embed(chunks))
+        if rows.where(F.col("embedding").isNotNull()).count() != chunks.count():
+            raise ValueError("chunks and vectors differ in number")
+        return self.upsert(rows)
+
     def count(self, source: str | None = None) -> int:
         """Rows, of one source if named."""
         now = self.read()

@@ -54,5 +54,8 @@ def keep_newest(stream: DataFrame, folder: str, by: str, at: str, key: str, n: i
         if number > 0:
             held = held.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/b{number - 1}"))
         newest(held.dropDuplicates([key]), by, at, key, n).drop("place").write.mode("overwrite").parquet(f"{folder}/b{number}")
+        # The last folder stays, so that this batch can be repeated; the one before it isn't read any more.
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/b{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -68,6 +68,13 @@ def test_model_seam(spark):
     assert all(r["n"] is None and "no model" in r["n_error"] for r in failed)
 
 
+def test_one_failing_row_leaves_its_batch(spark):
+    frame = spark.createDataFrame([("a", 1), (None, 2), ("ccc", 3)], "t string, k int").coalesce(1)
+    rows = seams.map_model(frame, ["t"], lambda: lambda batch: [len(t) for t in batch["t"]], "n", "int").orderBy("k").collect()
+    assert [r["n"] for r in rows] == [1, None, 3] and "TypeError" in rows[1]["n_error"] and rows[0]["n_error"] is None
+    assert seams.map_model(frame.limit(0), ["t"], lambda: lambda batch: [], "n", "int").count() == 0
+
+
 def test_rewriting_and_judging(spark):
     frame = spark.createDataFrame([("q", "1. first\n\n2) second\n- third\nfourth")], "id string, a string")
     assert [r["query"] for r in seams.sub_queries(frame, "id", "a").orderBy("sub_no").collect()] == ["first", "second", "third"]

@@ -1,8 +1,10 @@
 """Accounting, test sets, snapshots, traces, sources and streams on small tables."""
 
 import json
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import accounting, snapshots, testsets, traces
@@ -151,6 +153,28 @@ def test_cases_by_any_preview(spark):
     assert {tuple(r) for r in traces.cases_for(cases, questions, "preview", "question").collect()} == {("1", "c1"), ("2", "c3")}
 
 
+def test_describe_against_sorted_values(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(0, 30) / 4])) for _ in range(400)] + [("one", 2.5)]
+    got = {r["g"]: r for r in accounting.describe(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v").collect()}
+    for g in {g for g, _ in rows}:
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        assert got[g]["n"] == len(own) and got[g]["median_value"] == round((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2, 4)
+        assert got[g]["p95_value"] == own[math.ceil(0.95 * len(own)) - 1] and (got[g]["min_value"], got[g]["max_value"]) == (own[0], own[-1])
+    assert accounting.describe(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
+def test_snapshots_merge_by_path(spark):
+    files = spark.createDataFrame([(0, "a", "1"), (0, "b", "2"), (1, "b", "9"), (1, "c", "3")], "snapshot int, path string, sha string")
+    assert sorted(tuple(r) for r in snapshots.merged(files, "path", ["snapshot"]).collect()) == [(0, "a", "1"), (0, "b", "2"), (1, "c", "3")]
+    assert sorted(tuple(r) for r in snapshots.merge_counts(files, "path", "snapshot", ["snapshot"]).collect()) == [(0, 2, 2, 0), (1, 2, 1, 1)]
+    with pytest.raises(ValueError):
+        snapshots.extended(files, files, "path", refuse_empty=True)
+    old = spark.createDataFrame([("1", "x", "y"), ("2", "x", None)], "id string, a string, b string")
+    new = spark.createDataFrame([("2", None, "z"), ("3", "n", None)], "id string, a string, b string")
+    assert sorted(tuple(r) for r in snapshots.latest_by_key(old, new, "id").collect()) == [("1", "x", "y"), ("2", "x", "z"), ("3", "n", None)]
+
+
 def test_totals_count_records_once(spark):
     frame = spark.createDataFrame([(1, "v", "c", 5, 1, 1, 2, 2), (1, "v", "c", 5, 1, 1, 2, 2), (2, None, None, None, None, None, None, None)], "record_id long, variant_name string, category string, input_tokens long, output_tokens long, system_prompt_tokens long, contexts_tokens long, query_tokens long")
     total = accounting.totals(frame).where("level = 3").first()
@@ -192,6 +216,9 @@ def test_vector_collection(spark, tmp_path):
     assert store.info() is None and store.read() is None
     store.create(spark.createDataFrame([("1", "a", "x", [1.0]), ("2", "b", "y", [2.0])], schema))
     store.upsert(spark.createDataFrame([("2", "b", "new", [2.0]), ("3", "b", "z", [3.0])], schema))
+    assert [r["chunk_id"] for r in store.scroll("b", limit=1)] == ["2"] and [r["chunk_id"] for r in store.scroll("b", "2")] == ["3"] and store.scroll("x") == []
+    with pytest.raises(ValueError):
+        store.index(store.read(), lambda rows: rows.limit(1))
     assert store.count() == 3 and store.count("b") == 2
     assert store.read().where("chunk_id = '2'").first()["text"] == "new"
     store.delete_source("b")
