@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,25 +91,42 @@ def fuzzy_find(quote: str | None, text: str | None, least: float = 0.85) -> tupl
             known[start] = difflib.SequenceMatcher(None, wanted, _blank(text[start : start + size])).ratio()
         return known[start]
 
+    places: dict[str, int] = {}
+    for k, c in enumerate(wanted):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(wanted)) - 1
+
+    def in_order(start: int) -> float:
+        """The most that a window's ratio can be, from the longest common subsequence: matching blocks are one."""
+        window, row = _blank(text[start : start + size]), whole
+        for c in window:
+            met = row & places.get(c, 0)
+            row = ((row + met) | (row - met)) & whole
+        return 2.0 * (len(wanted) - row.bit_count()) / max(len(wanted) + len(window), 1) + 1e-9
+
+    def best_of(starts: np.ndarray, best: float, first: tuple, order) -> tuple[float, tuple]:
+        """The best of these windows and of what is known, the first in order of equal ones; the most promising are compared first."""
+        heap = [(-float(bounds[start]), False, int(start)) for start in starts if bounds[start] >= best]
+        heapq.heapify(heap)
+        while heap and -heap[0][0] >= best:
+            bound, exact, start = heapq.heappop(heap)
+            if not exact:
+                heapq.heappush(heap, (max(bound, -in_order(start)), True, start))
+                continue
+            score = like(start)
+            if score > best or (score == best and order(start) < first):
+                best, first = score, order(start)
+        return best, first
+
     coarse = np.arange(0, len(bounds), step)
-    best, first = 0.0, (0, 0)
-    for k in np.argsort(-bounds[coarse], kind="stable"):
-        if bounds[coarse[k]] < min(best, least) or (bounds[coarse[k]] < best and best < least):
-            break
-        score = like(int(coarse[k]))
-        if score > best or (score == best and (k, -1) < first):
-            best, first = score, (int(k), -1)
+    best, first = best_of(coarse, 0.0, (len(coarse), -1, 0), lambda start: (start // step, -1, start))
     if best < least:
         return False, None, best
     for k in np.flatnonzero(bounds[coarse] >= least):
-        if like(int(coarse[k])) < least:
-            continue
-        around = np.arange(max(coarse[k] - step, 0), min(len(bounds), coarse[k] + step))
-        for start in around[bounds[around] >= best]:
-            score = like(int(start))
-            if score > best or (score == best and (k, start) < first):
-                best, first = score, (int(k), int(start))
-    return True, int(coarse[first[0]]) if first[1] < 0 else first[1], best
+        if in_order(int(coarse[k])) >= least and like(int(coarse[k])) >= least:
+            around = np.arange(max(coarse[k] - step, 0), min(len(bounds), coarse[k] + step))
+            best, first = best_of(around, best, first, lambda start, k=int(k): (k, start, start))
+    return True, first[2], best
 
 
 def quote_matches(pairs: DataFrame, keys: list[str], quote: str, text: str, least: float = 0.85) -> DataFrame:
