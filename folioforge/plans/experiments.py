@@ -97,8 +97,18 @@ def plan(experiment: Experiment, runs: Runs) -> dict[str, str]:
     return {v: "reuse" if runs.complete(v, experiment.fingerprint(v)) else "run" for v in experiment.variants}
 
 
-def run(experiment: Experiment, runs: Runs, documents: DataFrame, questions: DataFrame, key: str, text: str, source: str) -> dict[str, str]:
-    """Run what isn't complete; variants with the same chunk settings share one table of chunks. Returns the plan."""
+#: Metrics that the hits alone give.
+_OF_HITS = PRESETS["extended"]
+
+
+def run(experiment: Experiment, runs: Runs, documents: DataFrame, questions: DataFrame, key: str, text: str, source: str, embed=None, score_answers=None) -> dict[str, str]:
+    """Run what isn't complete; variants with the same chunk settings share one table of chunks. Returns the plan.
+
+    ``embed`` is needed for semantic chunks. ``score_answers`` maps hits with their texts, the questions and the settings to
+    (id, metrics of answers); a preset with such metrics is refused without it.
+    """
+    if set(PRESETS[experiment.metrics]) - set(_OF_HITS) and score_answers is None:
+        raise ValueError(f"the metrics {experiment.metrics} need a function that scores answers")
     planned = plan(experiment, runs)
     chunks: dict[str, DataFrame] = {}
     for variant, action in planned.items():
@@ -107,9 +117,12 @@ def run(experiment: Experiment, runs: Runs, documents: DataFrame, questions: Dat
         settings = experiment.settings(variant)
         shared = settings.chunk_fingerprint()
         if shared not in chunks:
-            chunks[shared] = pipeline.chunked(documents, settings, key, text).join(documents.select(key, F.col(source).alias("source")), key).persist()
-        hits = pipeline.retrieve(chunks[shared], questions, settings).join(chunks[shared].select("chunk_id", "source"), "chunk_id")
-        runs.save(variant, experiment.fingerprint(variant), pipeline.quality(hits, questions, "source"))
+            chunks[shared] = pipeline.chunked(documents, settings, key, text, embed).join(documents.select(key, F.col(source).alias("source")), key).persist()
+        hits = pipeline.retrieve(chunks[shared], questions, settings).join(chunks[shared].select("chunk_id", "source", "text"), "chunk_id")
+        results = pipeline.quality(hits, questions, "source")
+        if score_answers is not None:
+            results = results.join(score_answers(hits, questions, settings), "id", "left")
+        runs.save(variant, experiment.fingerprint(variant), results)
     for table in chunks.values():
         table.unpersist()
     return planned

@@ -35,6 +35,8 @@ def test_settings_are_checked():
         pipeline.Settings(chunk_size=4, overlap=4)
     with pytest.raises(ValueError):
         experiments.Experiment("x", metrics="none")
+    with pytest.raises(ValueError):
+        experiments.run(experiments.Experiment("x", metrics="full"), None, None, None, "doc_id", "text", "source")
 
 
 def test_retry_waits_and_gives_up():
