@@ -71,15 +71,18 @@ def answer_scores(pairs: DataFrame, key: str, question: str, answer: str, truth:
 
     A context is relevant if it shares a tenth of its character pairs with the true answer. Null texts count as empty.
     """
-    q, a, t = (T.bigrams(F.col(c)) for c in (question, answer, truth))
-    joined = F.array_join(F.coalesce(F.col(contexts), F.array().cast("array<string>")), "")
-    relevant = F.transform(F.coalesce(F.col(contexts), F.array().cast("array<string>")), lambda c: T.overlap(T.bigrams(c), t) >= 0.1)
-    return pairs.select(
+    held = F.coalesce(F.col(contexts), F.array().cast("array<string>"))
+    sets = pairs.select(
+        key, *(T.bigrams(F.col(c)).alias(name) for c, name in ((question, "_q"), (answer, "_a"), (truth, "_t"))), T.bigrams(F.array_join(held, "")).alias("_joined"), F.transform(held, T.bigrams).alias("_contexts")
+    )
+    # The sets are columns of their own, so that each is built once a row.
+    rated = sets.withColumn("_relevant", F.transform("_contexts", lambda c: T.overlap(c, F.col("_t")) >= 0.1))
+    return rated.select(
         key,
-        F.round(T.overlap(a, q), 6).alias("answer_relevancy"),
-        F.round(T.overlap(a, t), 6).alias("answer_truth_overlap"),
-        F.round(T.overlap(T.bigrams(joined), q), 6).alias("context_relevance"),
-        F.round(context_precision(relevant), 6).alias("context_precision"),
+        F.round(T.overlap(F.col("_a"), F.col("_q")), 6).alias("answer_relevancy"),
+        F.round(T.overlap(F.col("_a"), F.col("_t")), 6).alias("answer_truth_overlap"),
+        F.round(T.overlap(F.col("_joined"), F.col("_q")), 6).alias("context_relevance"),
+        F.round(context_precision(F.col("_relevant")), 6).alias("context_precision"),
     )
 
 
