@@ -297,7 +297,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT q.id, coalesce(missing, 0) AS missing FROM {_Q} q LEFT JOIN a USING (id)""",
         "testset_audit": f"""WITH h AS (SELECT test_set, source_path, count(*) AS n FROM (SELECT test_set, unnest(source_files) AS source_path FROM {_Q}) GROUP BY ALL)
             SELECT *, round(n / sum(n) OVER (PARTITION BY test_set), 6) AS share, n / sum(n) OVER (PARTITION BY test_set) > 0.15 AS skewed FROM h""",
-        "repeated_questions": f"SELECT question, question_type, count(*) AS n FROM {_Q} WHERE question IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+        "repeated_questions": f"""SELECT question, count(*) AS n FROM (SELECT question FROM {_Q} UNION ALL SELECT question FROM (SELECT DISTINCT ON (id) * FROM golden_qa))
+            WHERE question IS NOT NULL GROUP BY question HAVING count(*) > 1""",
         "review_progress": f"""WITH c AS (SELECT test_set, count(*) AS n, count(*) FILTER (metadata.review_status IN ('approved', 'auto_approved')) AS approved,
                 count(*) FILTER (metadata.review_status = 'rejected') AS rejected FROM {_Q} GROUP BY test_set)
             SELECT *, n - approved - rejected AS pending, CASE WHEN n - approved - rejected = 0 THEN 'reviewed' WHEN approved + rejected > 0 THEN 'in_review' ELSE 'draft' END AS quality_status FROM c""",
@@ -409,9 +410,11 @@ def oracle_sql() -> dict[str, str]:
         r AS (SELECT format, ids, list_transform(share, lambda x: CAST(round_even(x, 0) AS INTEGER)) AS n FROM l),
         m AS (SELECT format, ids, n, CAST(40 - list_sum(n) AS INTEGER) AS lacking FROM r)
         SELECT format, unnest(ids) AS load_id, unnest(list_transform(n, lambda x, i: CAST(greatest(x + sign(lacking) * (abs(lacking) // len(ids) + CASE WHEN i <= abs(lacking) % len(ids) THEN 1 ELSE 0 END), 0) AS INTEGER))) AS allotted FROM m"""
-    sql["prompt_assembly"] = f"""WITH {_bm25("documents", "doc_id", "text", 3)}
-        SELECT id, string_agg('参考资料 ' || rank || '（来源：' || {_stem("source")} || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt
-        FROM hits JOIN (SELECT doc_id, text, source FROM documents) USING (doc_id) GROUP BY id"""
+    sql["prompt_assembly"] = rf"""WITH {_bm25("documents", "doc_id", "text", 3)},
+        b AS (SELECT id, rank, '参考资料 ' || rank || '（来源：' || coalesce(regexp_replace({_stem("source")}, '\.pages$', ''), '未知') || '）:' || chr(10) || coalesce(text, '') AS block
+              FROM hits JOIN (SELECT doc_id, text, source FROM documents) USING (doc_id))
+        SELECT id, string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '用户问题：' || any_value(q.question) || chr(10) || chr(10) || '请基于参考资料回答上述问题：' AS prompt
+        FROM b JOIN {_ASKED} q USING (id) GROUP BY id"""
     sql["chat_turns"] = f"""WITH t AS (SELECT variant || '-' || {_number("result_id")} // 40 AS conversation, result_id || 'a' AS turn, 'user' AS role, question AS text FROM {_R}
               UNION ALL SELECT variant || '-' || {_number("result_id")} // 40, result_id || 'b', 'assistant', answer FROM {_R}),
         k AS (SELECT * FROM t WHERE trim(coalesce(text, ''), ' ') <> ''),

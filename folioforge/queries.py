@@ -124,7 +124,7 @@ def context_budget(spark, folder):
 
 @_query
 def prompt_assembly(spark, folder):
-    return search.prompts(_hit_texts(spark, folder, 3), "id", "source", "text")
+    return search.prompts(_hit_texts(spark, folder, 3), "id", "source", "text", "question")
 
 
 @_query
@@ -438,7 +438,9 @@ def testset_audit(spark, folder):
 
 @_query
 def repeated_questions(spark, folder):
-    return testsets.repeated(_questions(spark, folder).where("question is not null"), ["question", "question_type"])
+    """Questions of test sets and reference questions that are asked more than once."""
+    asked = _questions(spark, folder).select("question").unionByName(evaluation.once(read_table(spark, folder, "golden_qa"), "id").select("question"))
+    return testsets.repeated(asked.where("question is not null"), ["question"])
 
 
 @_query
