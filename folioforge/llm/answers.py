@@ -355,7 +355,7 @@ def copy_threshold(bins: np.ndarray, counts: np.ndarray) -> float:
 
 
 class Phrases:
-    """Which words and pairs of wide characters declining answers have: a naive Bayes model counted over sampled answers."""
+    """Which words and pairs of wide characters declining answers have: a naive Bayes model counted over all answers."""
 
     def __init__(self, counts, declining: int, other: int) -> None:
         self.counts, self.declining, self.other = counts, declining, other
@@ -373,7 +373,7 @@ class Phrases:
         return total
 
 
-#: Log odds that a sentence declines before its words are seen, and of a word or pair that the sample lacks.
+#: Log odds that a sentence declines before its words are seen, and of a word or pair that no two answers have.
 PHRASE_PRIOR, UNSEEN_PHRASE = -4.0, -0.7
 
 

@@ -1,10 +1,11 @@
-"""The models behind the answer checks, counted over a bounded sample of answers and sent to every task.
-
-Terminal contexts: for every place in the sampled answers, whether a unit ends there; the characters before a place are the
-context. Phrases: in how many sampled answers that decline, and in how many others, each word or pair of wide characters
-stands. Both are classifiers whose labels come from the texts themselves (a unit ends or not; the dictionaries say that an
-answer declines or not). The sample bounds the model whatever the number of answers; every answer is looked up in it where
-it is read, and nothing is shuffled for that.
+"""The models behind the answer checks, counted over all answers.
+
+Terminal contexts: for every place in the answers, whether a unit ends there; the characters before a place are the context.
+Only contexts that some answer ends with are counted: a bitmap of a fixed size keeps most others from being moved, and the
+counts meet the answers by their hash, so nothing that grows with the answers is sent to the driver or to every task.
+Phrases: in how many answers that decline, and in how many others, each word or pair of wide characters stands; these counts,
+a vocabulary, are sent to every task. Both are classifiers whose labels come from the texts themselves (a unit ends or not; the
+dictionaries say that an answer declines or not).
 """
 
 from __future__ import annotations
@@ -23,21 +24,12 @@ from folioforge.llm import answers as A
 from folioforge.llm.visual import visual_form
 from folioforge.runtime import ship, spread
 
-#: Characters of answers that the models are fitted on, chosen by a hash of result_id, whole answers only. An answer has at
-#: most four contexts a character and what is seen once is dropped, so the models have at most twice as many rows.
-SAMPLE_CHARS = 12_000_000
-#: ... and those of them that the phrases are counted over.
-PHRASE_CHARS = 2_000_000
 #: Other occurrences a context needs; that of the largest order is anchored at the start of short answers and needs one.
 LEAST_SEEN = 3
-#: Texts whose contexts are hashed at once.
-SLICE = 5000
-_SLOTS = 1 << 20
-
-
-def sampled(rate: float) -> Column:
-    """Whether a result is in the sample."""
-    return F.pmod(F.xxhash64("result_id"), F.lit(_SLOTS)) < F.lit(math.ceil(rate * _SLOTS))
+#: Texts whose contexts are hashed at once, and contexts that a task holds before it adds them up.
+SLICE, HELD_CONTEXTS = 2000, 4_000_000
+#: Slots of the bitmap of contexts that answers end with; a full one lets more contexts be moved, the counts stay the same.
+_SLOTS = 1 << 27
 
 
 @dataclass
@@ -57,23 +49,10 @@ class Counts:
 
 @dataclass
 class Endings:
-    """The fitted models; ``rate`` is the share of answers they were fitted on."""
+    """The fitted models that every task needs."""
 
-    rate: float
-    contexts: Counts
     phrases: A.Phrases
 
-    def context(self, stem: str, own: bool, long: bool) -> int:
-        """Number of the cell (see CELLS) of what is known about this context; the longest known one decides.
-
-        An answer of the sample doesn't count as its own example.
-        """
-        for k, (ended, went_on) in reversed(list(enumerate(self.contexts.of(A.context_hashes(stem))))):
-            ended = max(ended - own, 0)
-            if ended + went_on >= (1 if k == len(A.ORDERS) - 1 else LEAST_SEEN):
-                return cell_of(ended, went_on)
-        return len(CELLS) - 1 if long else len(CELLS) - 2
-
 
 #: Bounds of the counts of contexts that only ended or only went on, and of the log ratio of those that did both.
 _COUNT_BOUNDS, _RATIO_BOUNDS = (3, 5, 10, 30), (-2.0, -1.0, -0.3, 0.3, 1.0, 2.0)
@@ -90,29 +69,74 @@ def cell_of(ended: int, went_on: int) -> int:
     return 5 + bisect_right(_RATIO_BOUNDS, math.log((went_on + 0.5) / (ended + 0.5)))
 
 
-def counted_contexts(texts: list[str]) -> Counts:
-    """How often a unit ended and the text went on after each context that occurs more than once."""
-    parts = []
-    for orders in (A.ORDERS[:2], A.ORDERS[2:]):  # two at a time, for the driver's memory
-        keys: list[list[np.ndarray]] = [[] for _ in orders]
+def cell_column(ended: Column, went_on: Column) -> Column:
+    """``cell_of`` as an expression."""
+    above = lambda bounds, x: sum((F.when(x >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    both = 5 + above(_RATIO_BOUNDS, F.log((went_on + 0.5) / (ended + 0.5)))
+    return F.when(went_on == 0, above(_COUNT_BOUNDS, ended)).when(ended == 0, 12 + above(_COUNT_BOUNDS, went_on)).otherwise(both).cast("int")
+
+
+def _added(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(h, ended, went_on) of codes that hold a hash and, in the last bit, whether a unit ended."""
+    code = np.concatenate(held)
+    code.sort()
+    ends = (code & np.uint64(1)).astype(np.int64)
+    code >>= np.uint64(1)
+    begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    ended = np.add.reduceat(ends, begin)
+    return pa.RecordBatch.from_arrays([pa.array(code[begin].view(np.int64)), pa.array(ended), pa.array(np.diff(np.append(begin, len(code))) - ended)], ["h", "ended", "went_on"])
+
+
+def _context_counts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often a unit ended and the text went on after each context of the answers that the bitmap has."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        texts = [t for t in batch["answer"].to_pylist() if not A.carries_nothing(t)]
         for start in range(0, len(texts), SLICE):
-            hashes, ends = A.all_contexts(texts[start : start + SLICE], orders)
-            for held, h in zip(keys, hashes, strict=True):
-                held.append((h << np.uint64(1)) | ends)  # a hash has 63 bits
-        for held in keys:
-            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            held.clear()
-            h.sort()
-            ends = (h & np.uint64(1)).astype(np.int32)
-            h >>= np.uint64(1)
-            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            total = np.diff(np.append(begin, len(h)).astype(np.int32))
-            ended = np.add.reduceat(ends, begin) if len(h) else ends
-            again = total > 1
-            parts.append((h[begin[again]].view(np.int64), ended[again], total[again] - ended[again]))
-    keys, ended, went_on = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    return Counts(keys[order], ended[order], went_on[order])
+            hashes, ends = A.all_contexts(texts[start : start + SLICE])
+            for h in hashes:
+                slot = h & np.uint64(_SLOTS - 1)
+                wanted = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+                held.append((h[wanted] << np.uint64(1)) | ends[wanted])  # a hash has 63 bits
+                size += len(held[-1])
+            if size > HELD_CONTEXTS:
+                yield _added(held)
+                held, size = [], 0
+    if size:
+        yield _added(held)
+
+
+def counted_contexts(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, ended, went_on) of the contexts in ``wanted``, a column h, over all answers; those that occur once are left out."""
+    spark = ship(results.sparkSession)
+    slot = F.col("h").bitwiseAND(_SLOTS - 1)
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(_SLOTS // 64, np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bitmap)
+    found = given_answers(results).select("answer").mapInArrow(lambda batches: _context_counts(batches, sent.value), "h long, ended long, went_on long")
+    return found.groupBy("h").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on")).where("ended + went_on > 1")
+
+
+def given_answers(results: DataFrame) -> DataFrame:
+    """(result_id, answer) of the answers that aren't null; repeated rows count once."""
+    return spread(results.select("result_id", "answer").where(F.col("answer").isNotNull()).dropDuplicates(["result_id"]))
+
+
+def with_cells(evidence: DataFrame, results: DataFrame) -> DataFrame:
+    """The evidence with the cell (see CELLS) of what all answers tell of its context; the longest known one decides.
+
+    An answer doesn't count as its own example.
+    """
+    asked = evidence.where("hashes is not null").select("result_id", F.posexplode("hashes").alias("k", "h"))
+    counts = counted_contexts(results, asked.select("h"))
+    others = F.greatest(F.col("ended") - 1, F.lit(0))
+    known = asked.join(counts, "h").select("result_id", "k", others.alias("ended"), "went_on")
+    known = known.where(F.col("ended") + F.col("went_on") >= F.when(F.col("k") == len(A.ORDERS) - 1, 1).otherwise(LEAST_SEEN))
+    cells = known.groupBy("result_id").agg(F.max_by(cell_column(F.col("ended"), F.col("went_on")), "k").alias("cell"))
+    unknown = F.when(F.col("hashes").isNotNull(), F.when(F.col("n_chars") > 24, len(CELLS) - 1).otherwise(len(CELLS) - 2))
+    return evidence.join(cells, "result_id", "left").withColumn("cell", F.coalesce("cell", unknown)).drop("hashes")
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,22 +152,14 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(results: DataFrame, phrases: bool = True) -> Endings:
-    """Fit the models, that of phrases only if wanted, on a sample of about SAMPLE_CHARS characters; repeated rows count once.
-
-    The sampled answers come to the driver, which sorts their contexts; phrases are counted where the answers are.
-    """
+    """Count the phrases, only if they are wanted, over all answers; repeated rows count once."""
     ship(results.sparkSession)
-    total = results.agg(F.sum(F.length("answer").cast("double"))).first()[0] or 0.0
-    rates = [min(1.0, most / total) if total else 1.0 for most in (SAMPLE_CHARS, PHRASE_CHARS)]
-    given = results.select("result_id", "answer").where(F.col("answer").isNotNull())
-    texts = given.where(sampled(rates[0])).dropDuplicates(["result_id"]).select("answer").toArrow()["answer"].to_pylist()
-    contexts = counted_contexts([t for t in texts if not A.carries_nothing(t)])
     h, first, second = (np.zeros(0, dtype=np.int64) for _ in range(3))
     if phrases:
-        counted = spread(given.where(sampled(rates[1])).dropDuplicates(["result_id"])).mapInArrow(_phrases, "h long, first long, second long")
+        counted = given_answers(results).mapInArrow(_phrases, "h long, first long, second long")
         rows = counted.groupBy("h").agg(F.sum("first").alias("first"), F.sum("second").alias("second")).where("first + second > 1 or h = -1").toArrow()
         h, first, second = (rows[c].to_numpy() for c in ("h", "first", "second"))
         order = np.argsort(h)
         h, first, second = h[order], first[order], second[order]
     known = h >= 0
-    return Endings(rates[0], contexts, A.Phrases(Counts(h[known], first[known], second[known]), int(first[~known].sum()), int(second[~known].sum())))
+    return Endings(A.Phrases(Counts(h[known], first[known], second[known]), int(first[~known].sum()), int(second[~known].sum())))

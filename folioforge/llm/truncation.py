@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import answers as A
-from folioforge.llm.endings import CELLS, Endings, learned, sampled
+from folioforge.llm.endings import CELLS, Endings, learned, with_cells
 from folioforge.llm.visual import visual_form
 from folioforge.runtime import cut, ship, spread
 
@@ -38,18 +38,18 @@ LEAST_AT_LIMIT, LEAST_RATIO = 6, 5.0
 LEAST_UNCLOSED = 0.3
 #: Where longer answers are more, or the ratio is less: logarithm of the chance that any length of a source has so many.
 LOG_CHANCE = math.log(1e-4)
-_EVIDENCE = "result_id string, variant string, n_chars int, n_bytes int, state string, cell int, defect string, given double, adds boolean, foreign boolean"
-_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_EVIDENCE = "result_id string, variant string, n_chars int, n_bytes int, state string, hashes array<long>, defect string, given double, adds boolean, foreign boolean"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 _SCHEMA = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split() for x in _EVIDENCE.split(", "))])
 
 
 def _read(batches: Iterator[pa.RecordBatch], model: Endings, all_defects: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        rows = list(zip(*(batch[c].to_pylist() for c in ("result_id", "variant", "question", "answer", "own")), strict=True))
+        rows = list(zip(*(batch[c].to_pylist() for c in ("result_id", "variant", "question", "answer")), strict=True))
         forms = [None if A.carries_nothing(row[3]) else visual_form(row[3]) for row in rows]
         bare = A.bare_forms([f or "" for f in forms])
-        for (result_id, variant, question, answer, own), form, own_letters in zip(rows, forms, bare, strict=True):
+        for (result_id, variant, question, answer), form, own_letters in zip(rows, forms, bare, strict=True):
             question = question or ""
             if form is None:
                 out.append((result_id, variant, 0, 0, None, None, "empty", None, True, False))
@@ -59,11 +59,11 @@ def _read(batches: Iterator[pa.RecordBatch], model: Endings, all_defects: bool)
             given, adds = A.beyond_question(question, own_letters)
             defect = "refusal" if all_defects and A.refuses(form, model.phrases) else None
             state, stem = A.ending(answer)
-            # Closed sentences of the sample, their marks taken off, are examples of complete ends.
-            whole = stem.rstrip(A.TERMINAL) if own and state == "closed" and stem[-1:] in A.TERMINAL else ""
-            cell = model.context(whole or stem, own, len(answer) > 24) if whole or state.startswith("ask") else None
+            # Closed sentences, their marks taken off, are examples of complete ends.
+            whole = stem.rstrip(A.TERMINAL) if state == "closed" and stem[-1:] in A.TERMINAL else ""
+            hashes = A.context_hashes(whole or stem) if whole or state.startswith("ask") else None
             foreign = all_defects and defect is None and A.other_language(question, answer)
-            out.append((result_id, variant, *size, state, cell, defect, given, adds, foreign))
+            out.append((result_id, variant, *size, state, hashes, defect, given, adds, foreign))
         columns = list(zip(*out, strict=True)) or [()] * len(_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -71,10 +71,9 @@ def _read(batches: Iterator[pa.RecordBatch], model: Endings, all_defects: bool)
 def answer_evidence(results: DataFrame, all_defects: bool) -> DataFrame:
     """One narrow row an answer: length, state of the ending, its context ratio, what it adds to its question, defects seen in the pair."""
     spark = ship(results.sparkSession)
-    models = learned(results, phrases=all_defects)
-    model = spark.sparkContext.broadcast(models)
-    read = spread(results.select("result_id", "variant", "question", "answer", sampled(models.rate).alias("own"))).mapInArrow(lambda b: _read(b, model.value, all_defects), _EVIDENCE)
-    return cut(read.withColumn("variant", F.coalesce("variant", F.lit("")))).dropDuplicates(["result_id"])
+    model = spark.sparkContext.broadcast(learned(results, phrases=all_defects))
+    read = spread(results.select("result_id", "variant", "question", "answer")).mapInArrow(lambda b: _read(b, model.value, all_defects), _EVIDENCE)
+    return cut(with_cells(cut(read.withColumn("variant", F.coalesce("variant", F.lit("")))).dropDuplicates(["result_id"]), results))
 
 
 def _fit(lengths: np.ndarray, counts: np.ndarray, limit: int) -> tuple[float, float]:

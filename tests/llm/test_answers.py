@@ -220,3 +220,23 @@ def test_defects(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert pairs.defective_pairs(frame).count() == 0 and truncation.broken_off(frame).count() == 0 and truncation.broken_off_share(frame).count() == 0
+
+
+def test_context_counts_cover_all_answers(spark):
+    """Contexts were counted over a sample; here every answer counts, once, and not as its own example."""
+    from folioforge.llm import answers as A
+    from folioforge.llm.endings import cell_column, counted_contexts, with_cells
+
+    rows = [(f"r{k}", f"The margin rose in year {k % 7}. Costs fell") for k in range(300)] + [("r0", "The margin rose in year 0. Costs fell"), ("n", None)]
+    results = spark.createDataFrame(rows, "result_id string, answer string").repartition(5)
+    hashes = A.context_hashes("Costs fell")
+    short = A.context_hashes("The margin rose")[0]
+    wanted = spark.createDataFrame([(h,) for h in [hashes[0], short]], "h long")
+    counts = {r["h"]: (r["ended"], r["went_on"]) for r in counted_contexts(results, wanted).collect()}
+    assert counts[hashes[0]] == (300, 0) and counts[short] == (0, 300)
+    evidence = spark.createDataFrame([("r1", 37, hashes), ("r2", 37, None), ("r3", 37, [1, 2, 3, 4]), ("r4", 9, [1, 2, 3, 4])], "result_id string, n_chars int, hashes array<long>")
+    cells = {r["result_id"]: r["cell"] for r in with_cells(evidence, results).collect()}
+    assert cells == {"r1": cell_of(299, 0), "r2": None, "r3": len(CELLS) - 1, "r4": len(CELLS) - 2}
+    pairs = [(a, b) for a in (0, 1, 2, 3, 5, 30, 99) for b in (0, 1, 3, 9, 10, 31, 400) if a + b]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    assert all(r["c"] == cell_of(r["a"], r["b"]) for r in frame.select("a", "b", cell_column(frame["a"], frame["b"]).alias("c")).collect())
