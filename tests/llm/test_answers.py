@@ -240,3 +240,10 @@ def test_context_counts_cover_all_answers(spark):
     pairs = [(a, b) for a in (0, 1, 2, 3, 5, 30, 99) for b in (0, 1, 3, 9, 10, 31, 400) if a + b]
     frame = spark.createDataFrame(pairs, "a long, b long")
     assert all(r["c"] == cell_of(r["a"], r["b"]) for r in frame.select("a", "b", cell_column(frame["a"], frame["b"]).alias("c")).collect())
+
+
+def test_phrases_cover_all_answers(spark):
+    """They were counted over some 2 million characters of the answers."""
+    rows = [(f"r{k}", "zebra " + "lorem ipsum dolor " * 120 + str(k)) for k in range(1500)]
+    phrases = learned(spark.createDataFrame(rows, "result_id string, answer string")).phrases
+    assert phrases.declining + phrases.other == 1500
