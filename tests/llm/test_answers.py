@@ -242,6 +242,15 @@ def test_context_counts_cover_all_answers(spark):
     assert all(r["c"] == cell_of(r["a"], r["b"]) for r in frame.select("a", "b", cell_column(frame["a"], frame["b"]).alias("c")).collect())
 
 
+def test_contexts_cover_answers_of_16_million_characters(spark):
+    """They were counted over some 12 million characters of the answers."""
+    long = spark.range(4000).selectExpr("concat('l', id) as result_id", "repeat('Margins rose. ', 286) as answer")
+    short = spark.range(31).selectExpr("concat('s', id) as result_id", "concat('Year ', id, ': costs fell') as answer")
+    results = long.unionByName(short).selectExpr("result_id", "'v' as variant", "'How did the year go?' as question", "answer").repartition(4)
+    cells = truncation.answer_evidence(results, False).where("result_id like 's%'").groupBy("cell").count().collect()
+    assert [tuple(r) for r in cells] == [(cell_of(30, 0), 31)]
+
+
 def test_phrases_cover_all_answers(spark):
     """They were counted over some 2 million characters of the answers."""
     rows = [(f"r{k}", "zebra " + "lorem ipsum dolor " * 120 + str(k)) for k in range(1500)]
