@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioforge.__main__ import main
 from folioforge.plans import experiments, pipeline, seams
+from folioforge.queries import queries
 
 
 def tables(spark):
@@ -28,6 +29,22 @@ def test_experiment_runs_resumes_and_reports(spark, tmp_path):
     assert "| hybrid |" in experiments.report(experiment, runs)
 
 
+def test_every_question_is_answered(spark, tmp_path):
+    words = ["red fox", "blue whale", "green frog", "grey wolf"]
+    spark.createDataFrame([(f"doc_{n}", f"the {w} lives here") for n, w in enumerate(words)], "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(f"golden_{n:09d}", f"where is the {w}") for n, w in zip((1, 20, 33, 41), words)] + [("golden_000000040", None), ("golden_000000007", None)]
+    spark.createDataFrame(asked, "id string, question string").write.parquet(str(tmp_path / "golden_qa.parquet"))
+    prompts = dict(queries()["answer_pipeline"](spark, str(tmp_path)).collect())
+    assert {k: v.split("\n")[1] for k, v in prompts.items()} == {k: f"the {w} lives here" for (k, _), w in zip(asked, words)}
+
+
+def test_all_golden_questions_have_a_prompt(spark):
+    folder = "/root/testdata/sf0.001"
+    asked = spark.read.parquet(f"{folder}/golden_qa.parquet").where("question is not null")
+    prompts = [r["id"] for r in queries()["answer_pipeline"](spark, folder).collect()]
+    assert sorted(prompts) == sorted(r["id"] for r in asked.collect()) and len(prompts) == 30
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         pipeline.Settings(method="guess")
